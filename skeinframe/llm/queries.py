@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, ngram_lm, quality_rules, substring_dedup, url_filter, warc
+from . import decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 #: The rules that op9 judges by.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -30,6 +30,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,10 @@ def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -64,7 +76,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op6_license_scan, op7_ngram_scores, op9_url_filter, op10_decontamination)}
+    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination)}
     return made
 
 
