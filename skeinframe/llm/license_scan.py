@@ -6,7 +6,7 @@ sides go through the same expressions, so `known` may hold texts in any layout.
 known table is broadcast only if it has at most MOST_KNOWN rows, otherwise Spark's shuffled join takes over.
 
 Cases. Null text: as empty; an empty canonical form matches nothing. If several known texts have one canonical form the
-smallest name wins. Rows that repeat a doc_id are scanned each. Empty tables: no rows, or no matches. Extra columns are
+smallest name wins. Rows that repeat a doc_id are scanned each by itself. Empty tables: no rows, or no matches. Extra columns are
 dropped.
 """
 
@@ -52,17 +52,34 @@ Permission is granted to anyone to use this software for any purpose, including
     "notice: MIT": "Released under the MIT License.",
 }
 
-COPYRIGHT_LINE = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)\s|©)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)\s|©)[^\n]*$"
 
 
-def canonical(text: F.Column) -> F.Column:
-    """The canonical form as a column expression."""
-    text = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
-    text = F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
-    spelled = text
+def _gate() -> str:
+    """The spellings as one pattern, branched by first letter, so that most words fail at one character."""
+    by_letter: dict[str, list[str]] = {}
+    for written, _ in SPELLINGS:
+        by_letter.setdefault(written[0], []).append(written[1:])
+    return r"\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by_letter.items())) + r")\b"
+
+
+def with_form(rows: DataFrame, text: str = "text", name: str = "lines") -> DataFrame:
+    """rows with their canonical lines that hold anything. A text's canonical form is its lines joined by a space.
+
+    Each step is a projection of its own: an expression that names the one before twice would work it out twice.
+    """
+    keep = [c for c in rows.columns if c != name]
+    step = lambda df, column: df.select(*keep, column.alias(name))
+    x = F.col(name)
+    rows = step(rows, F.lower(F.coalesce(F.col(text), F.lit(""))))
+    noted = x.contains("copyright") | x.contains("(c)") | x.contains("©")
+    rows = step(rows, F.when(noted, F.regexp_replace(x, COPYRIGHT_LINE, "")).otherwise(x))
+    rows = step(rows, F.regexp_replace(x, "[^a-z0-9\n]+", " "))
+    spelled = x
     for written, one in SPELLINGS:
         spelled = F.regexp_replace(spelled, rf"\b{written}\b", one)
-    return F.when(text.rlike(r"\b(?:" + "|".join(w for w, _ in SPELLINGS) + r")\b"), spelled).otherwise(text)
+    rows = step(rows, F.when(x.rlike(_gate()), spelled).otherwise(x))
+    return step(rows, F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != ""))
 
 
 def digest(form: F.Column) -> F.Column:
@@ -73,8 +90,8 @@ def known_licences(spark: SparkSession, known: dict[str, str] | DataFrame | None
     """(digest, licence) of known texts: a dict, a DataFrame (licence, text), or the ones above."""
     if not isinstance(known, DataFrame):
         known = spark.createDataFrame(sorted((known or KNOWN).items()), "licence string, text string")
-    table = only(known, licence="string", text="string").withColumn("form", canonical(F.col("text")))
-    return table.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    table = with_form(only(known, licence="string", text="string")).where(F.size("lines") > 0)
+    return table.groupBy(F.sha2(F.array_join("lines", " "), 256).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -84,20 +101,23 @@ def _bounded(table: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(doc_id, text_digest, licence, line_licences): of the whole text, and of its lines (sorted, distinct).
 
-    Texts are never shuffled: a row of whole texts carries its digest, and lines become digests before they are joined.
+    One pass over the texts, which are never shuffled: a row becomes digests, of the whole and of each distinct line, that
+    are joined together. Of line digests only those with a licence go on.
     """
     table = _bounded(known_licences(docs.sparkSession, known))
-    rows = only(docs, doc_id="long", text="string")
-    lines = rows.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("doc_id", digest(canonical(F.col("line"))).alias("digest"))
-    lines = lines.join(table, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"))
-    whole = rows.select("doc_id", digest(canonical(F.col("text"))).alias("digest")).join(table, "digest", "left")
-    whole = whole.withColumnRenamed("digest", "text_digest").withColumnRenamed("doc_id", "own_id")
-    joined = whole.join(lines, F.expr("own_id <=> doc_id"), "left")
-    return joined.select(F.col("own_id").alias("doc_id"), "text_digest", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"))
+    rows = with_form(only(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id()))
+    whole = F.struct(F.lit(True).alias("whole"), digest(F.array_join("lines", " ")).alias("digest"))
+    each = F.transform(F.array_distinct("lines"), lambda s: F.struct(F.lit(False).alias("whole"), F.sha2(s, 256).alias("digest")))
+    found = rows.select("row", "doc_id", F.inline_outer(F.concat(F.array(whole), each))).join(table, "digest", "left").where("whole OR licence IS NOT NULL")
+    return found.groupBy("row", "doc_id").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"),
+        F.max(F.when(F.col("whole"), F.col("licence"))).alias("licence"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("licence")))), ",").alias("line_licences"),
+    ).drop("row")
 
 
 def _sql_canonical(text: str) -> str:
-    form = f"lower(regexp_replace(coalesce({text}, ''), '{COPYRIGHT_LINE}', '', 'g'))"
+    form = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g')"
     form = f"trim(regexp_replace({form}, '[^a-z0-9]+', ' ', 'g'))"
     for written, one in SPELLINGS:
         form = f"regexp_replace({form}, '\\b{written}\\b', '{one}', 'g')"
