@@ -126,62 +126,81 @@ def units(text: bytes) -> list[bytes]:
     return UNIT.findall(b" " + text.replace(MARK.encode(), b" ")) if text else []
 
 
-def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(x, s) for x, (_, s) in model.scores.items()]
-    return F.broadcast(spark.createDataFrame(rows, "piece string, score double"))
+def piece_table(spark: SparkSession, scores: dict[str, float]) -> tuple[DataFrame, list[float]]:
+    """(piece, rank), broadcast, and the score of each rank: falling, equal scores share a rank."""
+    ranked = sorted(set(scores.values()), reverse=True)
+    at = {s: i for i, s in enumerate(ranked)}
+    return F.broadcast(spark.createDataFrame([(x, at[s]) for x, s in scores.items()], "piece string, rank long")), ranked
+
+
+def _shift(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 2) -> DataFrame:
-    """words (unit) -> (unit, n, edges): edges (order, start, end, score, ends, inner) sorted by falling score and start.
+    """words (owner, unit), distinct -> (owner, unit, n, edges): every match of a piece, as rank << 16 | start << 8 | end, sorted.
 
-    ends and inner are the bits of an edge's two boundaries and of those between. Units without an edge stay.
+    Rows are dealt out by owner before they are exploded, and grouped within it, so nothing after that is shuffled. A
+    match is three numbers; the unit itself travels in one of its rows.
     """
-    rows = words.select("unit").withColumns({"uid": F.xxhash64("unit"), "n": F.length("unit")}).repartition("uid")
+    rows = words.select("owner", "unit").repartition("owner").withColumns({"uid": F.monotonically_increasing_id(), "n": F.length("unit")})
     # explode_outer: for explode() Spark adds a filter that builds each array twice
-    starts = rows.select("uid", "unit", "n", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    parts = starts.select("uid", "unit", "n", "s", F.explode_outer(F.when(F.col("n") - F.col("s") >= shortest, F.sequence(F.col("s") + shortest, F.least("n", F.col("s") + longest)))).alias("e"))
-    edges = parts.join(pieces, F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")) == F.col("piece"), "left")
-    one = "shiftleft(1L, {})".format
-    edge = F.struct(
-        (-F.col("score")).alias("cost"), "s", "e", F.expr(f"{one('s')} | {one('e')}").alias("ends"), F.expr(f"({one('e')} - 1L) & ~({one('s + 1')} - 1L)").alias("inner")
-    )
-    grouped = edges.groupBy("uid", "unit", "n").agg(F.collect_list(F.when(F.col("piece").isNotNull(), edge)).alias("edges"))
-    return grouped.select("unit", "n", F.array_sort("edges").alias("edges"))
-
-
-def merge_path(n: Column, edges: Column) -> Column:
-    """Boundaries left by BPE merges, as bits 0 to n. edges: sorted by falling score, then start."""
-    every = F.expr("shiftleft(1L, n + 1) - 1L")
-    fits = lambda state: F.filter(edges, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
+    starts = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    ends = F.when(F.col("n") - F.col("s") >= shortest, F.sequence(F.col("s") + shortest, F.least("n", F.col("s") + longest)))
+    parts = starts.select("*", F.posexplode_outer(ends).alias("i", "e"))
+    joined = parts.join(pieces, F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")) == F.col("piece"), "left")
+    lead = (F.col("s") == 0) & F.coalesce(F.col("i") == 0, F.lit(True))
+    found = joined.where(F.col("rank").isNotNull() | lead).select("owner", "uid", F.when(lead, F.col("unit")).alias("unit"), F.expr("shiftleft(rank, 16) | shiftleft(s, 8) | e").alias("edge"))
+    grouped = found.groupBy("owner", "uid").agg(F.max("unit").alias("unit"), F.collect_list("edge").alias("edges"))
+    return grouped.select("owner", "unit", F.length("unit").alias("n"), F.array_sort("edges").alias("edges"))
+
+
+def merge_path(found: DataFrame) -> DataFrame:
+    """(owner, unit, bits) for lattice(): the boundaries 0 to n that BPE merges leave, as bits."""
+
+    def spans(p: Column) -> Column:
+        start, end = F.shiftright(p, 8).bitwiseAND(F.lit(255)), p.bitwiseAND(F.lit(255))
+        return F.struct(_shift(start).bitwiseOR(_shift(end)).alias("ends"), (_shift(end) - 1).bitwiseAND(F.bitwise_not(_shift(start + 1) - 1)).alias("inner"))
+
+    rows = found.select("owner", "unit", "n", F.transform("edges", spans).alias("edges"))
+    every = _shift(F.col("n") + 1) - 1
+    fits = lambda state: F.filter("edges", lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
     step = lambda state, _: state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits(state), F.lit(0))["inner"], F.lit(0).cast("long"))))
-    return F.when((n > 1) & (F.size(edges) > 0), F.aggregate(F.sequence(F.lit(1), n - 1), every, step)).otherwise(every)
+    # each match can be merged once at most, and each merge takes a boundary
+    rounds = F.least(F.col("n") - 1, F.size("edges"))
+    return rows.select("owner", "unit", F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), rounds), every, step)).otherwise(every).alias("bits"))
 
 
-def best_path(n: Column, edges: Column) -> Column:
-    """Boundaries of the path with the highest sum of scores, as bits; of equal ones the one found from the left first."""
+def best_path(found: DataFrame, ranked: list[float], unknown: float) -> DataFrame:
+    """(owner, unit, bits) for lattice(shortest=1): boundaries of the path with the highest sum of scores.
+
+    A character that is no piece scores `unknown`. Of equal paths the one found first from the left stays.
+    """
+    scores = F.split(F.lit(",".join(map(repr, ranked))), ",").cast("array<double>")
+    edge = lambda p: F.struct(F.shiftright(p, 8).bitwiseAND(F.lit(255)).cast("int").alias("s"), p.bitwiseAND(F.lit(255)).cast("int").alias("e"), F.get(scores, F.shiftright(p, 16).cast("int")).alias("score"))
+    rows = found.select("owner", "unit", "n", F.transform("edges", edge).alias("edges"))
+    missing = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: ~F.exists("edges", lambda e: (e["s"] == i) & (e["e"] == i + 1)))
+    single = F.transform(missing, lambda i: F.struct(i.alias("s"), (i + 1).alias("e"), F.lit(unknown).alias("score")))
+    rows = rows.select("owner", "unit", "n", F.array_sort(F.concat("edges", single)).alias("edges"))
     place = F.struct(F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("bits"))
-    start = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits"))).otherwise(place))
+    start = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits"))).otherwise(place))
 
     def step(best: Column, e: Column) -> Column:
         come = F.get(best, e["s"])
-        score = come["score"] - e["cost"]
+        score = come["score"] + e["score"]
         better = lambda x, i: (i == e["e"]) & score.isNotNull() & (x["score"].isNull() | (score > x["score"]))
-        return F.transform(best, lambda x, i: F.when(better(x, i), F.struct(score.alias("score"), come["bits"].bitwiseOR(e["ends"]).alias("bits"))).otherwise(x))
+        return F.transform(best, lambda x, i: F.when(better(x, i), F.struct(score.alias("score"), come["bits"].bitwiseOR(_shift(e["e"])).alias("bits"))).otherwise(x))
 
-    in_order = F.array_sort(edges, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["e"] - b["e"]))
-    return F.aggregate(in_order, start, step, lambda best: F.get(best, n)["bits"])
+    return rows.select("owner", "unit", F.aggregate("edges", start, step, lambda best: F.get(best, F.col("n"))["bits"]).alias("bits"))
 
 
-def segment(words: DataFrame, pieces: DataFrame, longest: int, merges: bool, unknown: float | None = None) -> DataFrame:
-    """(unit, bits) for words (unit). unknown: for best_path, the score of a character that is no piece."""
+def segment(words: DataFrame, scores: dict[str, float], merges: bool, unknown: float | None = None) -> DataFrame:
+    """(owner, unit, bits) for distinct words (owner, unit). unknown: by default 10 below the lowest score."""
+    pieces, ranked = piece_table(words.sparkSession, scores)
+    longest = max(map(len, scores), default=1)
     if merges:
-        return lattice(words, pieces, longest).select("unit", "n", "edges").select("unit", merge_path(F.col("n"), F.col("edges")).alias("bits"))
-    found = lattice(words, pieces, longest, 1)
-    known = F.transform(F.filter("edges", lambda e: e["e"] - e["s"] == 1), lambda e: e["s"])
-    missing = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: ~F.array_contains(F.col("known"), i))
-    single = F.transform(missing, lambda i: F.struct(F.lit(-(unknown or 0.0)).alias("cost"), i.alias("s"), (i + 1).alias("e"), F.call_function("shiftleft", F.lit(3).cast("long"), i).alias("ends"), F.lit(0).cast("long").alias("inner")))
-    found = found.withColumn("known", known).select("unit", "n", F.concat("edges", single).alias("edges"))
-    return found.select("unit", best_path(F.col("n"), F.col("edges")).alias("bits"))
+        return merge_path(lattice(words, pieces, longest))
+    return best_path(lattice(words, pieces, longest, 1), ranked, min(ranked, default=0.0) - 10 if unknown is None else unknown)
 
 
 def _ask_units(owners: int):
@@ -216,7 +235,6 @@ def _unpack_units(data: bytes) -> list[bytes]:
 
 def _encode(docs: DataFrame, model: Model, what, schema: str) -> DataFrame:
     """what(block, ids of each unit) for each block, with rows of schema."""
-    spark = docs.sparkSession
     docs = only(docs, doc_id="long", text="string")
     owners = B.owner_count(docs)
     asked = B.ask(docs, units, _ask_units(owners))
@@ -226,17 +244,7 @@ def _encode(docs: DataFrame, model: Model, what, schema: str) -> DataFrame:
         return pd.DataFrame({"owner": pdf.owner.iloc[0], "unit": [w.decode() for w in found]})
 
     words = asked.groupBy("owner").applyInPandas(distinct, "owner long, unit string")
-    longest = max(map(len, model.scores), default=1)
-    unknown = min((s for _, s in model.scores.values()), default=0.0) - 10
-    bits = segment(words, piece_table(spark, model), longest, model.merges, unknown)
-    width = (1 << 64) // owners + 1
-
-    def owner_of(units_: pd.Series) -> pd.Series:
-        import xxhash
-
-        return pd.Series([xxhash.xxh3_64_intdigest(u.encode()) // width for u in units_], dtype="int64")
-
-    bits = bits.withColumn("owner", F.pandas_udf(owner_of, "long")("unit"))
+    bits = segment(words, {x: s for x, (_, s) in model.scores.items()}, model.merges)
 
     def reply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip((u.encode() for u in right.unit), right.bits, strict=True))

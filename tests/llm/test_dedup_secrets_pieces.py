@@ -246,7 +246,8 @@ def test_heap_merges_as_the_fold(spark):
     model = piece_lattice.Model.load()
     r = random.Random(9)
     words = sorted({" " + "".join(r.choice(["tion", "in", "ter", "a", "s", "é", "日", " "]) for _ in range(r.randint(1, 10))) for _ in range(200)})
-    found = piece_lattice.segment(spark.createDataFrame([(w,) for w in words], "unit string"), piece_lattice.piece_table(spark, model), 16, True).collect()
+    rows = spark.createDataFrame([(i % 5, w) for i, w in enumerate(words)], "owner long, unit string")
+    found = piece_lattice.segment(rows, {x: s for x, (_, s) in model.scores.items()}, True).collect()
     assert len(found) == len(words)
     for x in found:
         assert [i for i in range(1, len(x.unit) + 1) if x.bits >> i & 1] == model.merge(x.unit)
@@ -255,7 +256,6 @@ def test_heap_merges_as_the_fold(spark):
 def test_best_path(spark):
     """The Viterbi fold for unigram pieces against all segmentations."""
     scores = {"a": -3.1, "b": -2.2, "ab": -4.0, "aba": -4.4, "ba": -3.5, "bab": -5.05, "abab": -7.9}
-    pieces = spark.createDataFrame(list(scores.items()), "piece string, score double")
     words = ["ab", "abab", "ababab", "bbab", "axb", "x", "aabbaabab"]
 
     def best(w):
@@ -273,7 +273,8 @@ def test_best_path(spark):
                     stack.append((e, s + scores.get(p, -20.0), [*ends, e]))
         return out, ways
 
-    for r in piece_lattice.segment(spark.createDataFrame([(w,) for w in words], "unit string"), pieces, 4, False, -20.0).collect():
+    rows = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)], "owner long, unit string")
+    for r in piece_lattice.segment(rows, scores, False, -20.0).collect():
         ends = [i for i in range(1, len(r.unit) + 1) if r.bits >> i & 1]
         score = sum(scores.get(r.unit[a:b], -20.0) for a, b in zip([0, *ends], ends, strict=False))
         assert score == pytest.approx(best(r.unit)[0][0])
