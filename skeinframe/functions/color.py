@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,8 +47,8 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
 
 
 def hex_to_lab(code: Column) -> Column:
-    rgb = hex_to_rgb(code)
-    return F.when(rgb.isNotNull(), rgb_to_lab(rgb["r"], rgb["g"], rgb["b"]))
+    """Lab of a hex code, or null. Meant for palettes; the channels are bound once by transform() over one element."""
+    return F.transform(F.array(hex_to_rgb(code)), lambda c: F.when(c.isNotNull(), rgb_to_lab(c["r"], c["g"], c["b"])))[0]
 
 
 def lab_chroma(lab: Column) -> Column:
@@ -80,27 +80,40 @@ def _cos(degrees: Column) -> Column:
     return F.cos(F.radians(degrees))
 
 
-def ciede2000(p: Column, q: Column) -> Column:
-    """Colour difference of two Lab structs, kL = kC = kH = 1."""
+def with_ciede2000(df: DataFrame, p: str, q: str, name: str = "de") -> DataFrame:
+    """df with the colour difference of its Lab struct columns p and q, kL = kC = kH = 1.
+
+    Each intermediate value is a column of its own projection, so it is worked out once, in generated code. inline() at
+    the end keeps later filters on the difference from being pushed below and taking it all apart again.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns]
     seventh = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
-    stretch = 1 + 0.5 * (1 - seventh((lab_chroma(p) + lab_chroma(q)) / 2))
-    a1, a2 = p["a"] * stretch, q["a"] * stretch
-    c1, c2 = F.sqrt(a1 * a1 + p["b"] * p["b"]), F.sqrt(a2 * a2 + q["b"] * q["b"])
-    h1, h2 = hue_of(p["b"], a1), hue_of(q["b"], a2)
-    grey = (c1 * c2) == 0
-    turn = h2 - h1
-    turn = F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    both = h1 + h2
-    mean_h = F.when(grey, both).when(F.abs(h1 - h2) <= 180, both / 2).when(both < 360, both / 2 + 180).otherwise(both / 2 - 180)
-    mean_l, mean_c = (p["l"] + q["l"]) / 2, (c1 + c2) / 2
-    weight = 1 - 0.17 * _cos(mean_h - 30) + 0.24 * _cos(2 * mean_h) + 0.32 * _cos(3 * mean_h + 6) - 0.2 * _cos(4 * mean_h - 63)
-    off = (mean_l - 50) * (mean_l - 50)
-    dl = (q["l"] - p["l"]) / (1 + 0.015 * off / F.sqrt(20 + off))
-    dc = (c2 - c1) / (1 + 0.045 * mean_c)
-    dh = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(turn / 2)) / (1 + 0.015 * mean_c * weight)
-    bend = (mean_h - 275) / 25
-    rotation = -F.sin(F.radians(60 * F.exp(-bend * bend))) * 2 * seventh(mean_c)
-    return F.sqrt(dl * dl + dc * dc + dh * dh + rotation * dc * dh)
+    t = lambda c: F.col(f"__de_{c}")
+
+    def stage(rows: DataFrame, carried: tuple[str, ...], **new: Column) -> DataFrame:
+        return rows.select(*keep, *map(t, carried), *[v.alias(f"__de_{k}") for k, v in new.items()])
+
+    lab = {f"{k}{i}": F.col(f"{c}.{k}") for i, c in ((1, p), (2, q)) for k in "lab"}
+    rows = stage(df, (), **lab)
+    rows = stage(rows, tuple(lab), s=1 + 0.5 * (1 - seventh((F.sqrt(t("a1") * t("a1") + t("b1") * t("b1")) + F.sqrt(t("a2") * t("a2") + t("b2") * t("b2"))) / 2)))
+    rows = stage(rows, ("l1", "l2", "b1", "b2"), p1=t("a1") * t("s"), p2=t("a2") * t("s"))
+    rows = stage(rows, ("l1", "l2"), c1=F.sqrt(t("p1") * t("p1") + t("b1") * t("b1")), c2=F.sqrt(t("p2") * t("p2") + t("b2") * t("b2")), h1=hue_of(t("b1"), t("p1")), h2=hue_of(t("b2"), t("p2")))
+    rows = stage(rows, ("l1", "l2", "c1", "c2"), grey=t("c1") * t("c2") == 0, turn=t("h2") - t("h1"), both=t("h1") + t("h2"))
+    turn = F.when(t("grey"), 0.0).when(t("turn") > 180, t("turn") - 360).when(t("turn") < -180, t("turn") + 360).otherwise(t("turn"))
+    mean_h = F.when(t("grey"), t("both")).when(F.abs(t("turn")) <= 180, t("both") / 2).when(t("both") < 360, t("both") / 2 + 180).otherwise(t("both") / 2 - 180)
+    rows = stage(rows, ("c1", "c2"), turn=turn, mh=mean_h, mc=(t("c1") + t("c2")) / 2, off=(t("l1") + t("l2")) / 2 - 50, dl=t("l2") - t("l1"))
+    weight = 1 - 0.17 * _cos(t("mh") - 30) + 0.24 * _cos(2 * t("mh")) + 0.32 * _cos(3 * t("mh") + 6) - 0.2 * _cos(4 * t("mh") - 63)
+    bend = (t("mh") - 275) / 25
+    rows = stage(
+        rows,
+        (),
+        dl=t("dl") / (1 + 0.015 * t("off") * t("off") / F.sqrt(20 + t("off") * t("off"))),
+        dc=(t("c2") - t("c1")) / (1 + 0.045 * t("mc")),
+        dh=2 * F.sqrt(t("c1") * t("c2")) * F.sin(F.radians(t("turn") / 2)) / (1 + 0.015 * t("mc") * weight),
+        rt=-F.sin(F.radians(60 * F.exp(-bend * bend))) * 2 * seventh(t("mc")),
+    )
+    total = F.sqrt(t("dl") * t("dl") + t("dc") * t("dc") + t("dh") * t("dh") + t("rt") * t("dc") * t("dh"))
+    return rows.select(*keep, F.inline(F.array(F.struct(total.alias(name)))))
 
 
 def weighted_lab_distance(source: Column, thread: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions import labmath
-from skeinframe.functions.color import ciede2000, is_plain_white, lab_chroma, lab_dist_sq, lab_hue, rgb_to_lab
+from skeinframe.functions.color import is_plain_white, lab_chroma, lab_dist_sq, lab_hue, rgb_to_lab, with_ciede2000
 from skeinframe.operators.quality import cell_of
 from skeinframe.operators.regions import label_regions
 
@@ -108,7 +108,8 @@ def merge_near_duplicates(palette: DataFrame, usage: DataFrame, contacts: DataFr
     rows = palette.join(usage, ["chart_id", "pal_idx"], "left").fillna(0, ["n"]).withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     free = rows.where(~F.col("pal_idx").isin(list(protected)))
     side = lambda s: free.select("chart_id", F.col("pal_idx").alias(f"i{s}"), F.col("n").alias(f"n{s}"), F.col("lab").alias(f"lab{s}"))
-    pairs = side("a").join(side("b"), "chart_id").where("ia < ib AND na + nb > 0").withColumn("de", ciede2000(F.col("laba"), F.col("labb"))).where(F.col("de") < max_de)
+    pairs = side("a").join(side("b"), "chart_id").where("ia < ib AND na + nb > 0")
+    pairs = with_ciede2000(pairs, "laba", "labb").where(F.col("de") < max_de)
     if max_minority is not None:
         pairs = pairs.where(F.least("na", "nb") < max_minority * (F.col("na") + F.col("nb")))
     if min_interleave is not None:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinframe.functions.color import ciede2000, lab_chroma, lab_hue, rgb_to_lab, weighted_lab_distance
+from skeinframe.functions.color import lab_chroma, lab_hue, rgb_to_lab, weighted_lab_distance, with_ciede2000
 from skeinframe.operators.threads import small
 
 
@@ -23,7 +23,7 @@ def _nearest(colours: DataFrame, palette: DataFrame, distance, top_n: int) -> Da
     """
     threads = small(with_lab(palette).select("pos", "brand", "code", F.col("lab").alias("thread_lab")))
     rows = with_lab(colours.select("r", "g", "b").distinct()).join(threads, F.lit(True))
-    scored = rows.select("r", "g", "b", F.struct(distance(F.col("lab"), F.col("thread_lab")).alias("distance"), "pos", "brand", "code").alias("t"))
+    scored = distance(rows).select("r", "g", "b", F.struct("distance", "pos", "brand", "code").alias("t"))
     if top_n == 1:
         best = scored.groupBy("r", "g", "b").agg(F.min("t").alias("t")).withColumn("at", F.lit(0))
     else:
@@ -33,12 +33,12 @@ def _nearest(colours: DataFrame, palette: DataFrame, distance, top_n: int) -> Da
 
 def match_threads(colours: DataFrame, palette: DataFrame, top_n: int = 1) -> DataFrame:
     """Nearest threads by CIEDE2000, ties in palette order (pos)."""
-    return _nearest(colours, palette, ciede2000, top_n)
+    return _nearest(colours, palette, lambda df: with_ciede2000(df, "lab", "thread_lab", "distance"), top_n)
 
 
 def weighted_match(colours: DataFrame, palette: DataFrame) -> DataFrame:
     """Nearest thread by the hue-weighted distance."""
-    return _nearest(colours, palette, weighted_lab_distance, 1)
+    return _nearest(colours, palette, lambda df: df.withColumn("distance", weighted_lab_distance(F.col("lab"), F.col("thread_lab"))), 1)
 
 
 def _pairs(palette: DataFrame) -> DataFrame:
@@ -50,13 +50,13 @@ def _pairs(palette: DataFrame) -> DataFrame:
 
 def thread_collisions(palette: DataFrame, jnd: float = 2.3) -> DataFrame:
     """Pairs of one brand's threads closer than jnd; sort by de to read them."""
-    pairs = _pairs(palette).where("pos_a < pos_b").withColumn("de", ciede2000(F.col("lab_a"), F.col("lab_b")))
+    pairs = with_ciede2000(_pairs(palette).where("pos_a < pos_b"), "lab_a", "lab_b")
     return pairs.where(F.col("de") < jnd).select("brand", "code_a", "code_b", "de")
 
 
 def nearest_neighbours(palette: DataFrame) -> DataFrame:
     """For each thread the closest other one of its brand, ties in palette order."""
-    pairs = _pairs(palette).where("pos_a <> pos_b").withColumn("de", ciede2000(F.col("lab_a"), F.col("lab_b")))
+    pairs = with_ciede2000(_pairs(palette).where("pos_a <> pos_b"), "lab_a", "lab_b")
     best = pairs.groupBy("brand", "code_a").agg(F.min(F.struct("de", "pos_b", "code_b")).alias("n"))
     return best.select("brand", F.col("code_a").alias("code"), F.col("n.code_b").alias("nearest"), F.col("n.de").alias("de"))
 

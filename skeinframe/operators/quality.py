@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinframe.functions.color import ciede2000, is_plain_white, rgb_to_lab
+from skeinframe.functions.color import is_plain_white, rgb_to_lab, with_ciede2000
 from skeinframe.operators.grid import neighbours
 from skeinframe.operators.regions import label_regions, region_stats
 
@@ -25,7 +25,7 @@ def chartability(cells: DataFrame, palette: DataFrame, background: list[int], va
     used = rows.where("fg").groupBy("chart_id", value).agg(F.count("*").alias("n")).join(palette, ["chart_id", value]).withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     colours = used.groupBy("chart_id").agg(F.count("*").alias("colours"))
     a, b = used.select("chart_id", F.col(value).alias("i"), F.col("lab").alias("p")), used.select("chart_id", F.col(value).alias("j"), F.col("lab").alias("q"))
-    closest = a.join(b, "chart_id").where("i < j").groupBy("chart_id").agg(F.min(ciede2000(F.col("p"), F.col("q"))).alias("min_de"))
+    closest = with_ciede2000(a.join(b, "chart_id").where("i < j"), "p", "q").groupBy("chart_id").agg(F.min("de").alias("min_de"))
     stats = region_stats(label_regions(rows.where("fg"), value), value)
     pieces = stats.groupBy("chart_id").agg(F.count("*").alias("regions"), F.count_if(F.col("size") <= 2).alias("specks"), (F.max("size") / F.sum("size")).alias("largest"))
     near = neighbours(rows.withColumn("m", F.col("fg").cast("int")), "m", eight=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinframe.functions.color import ciede2000, rgb_to_lab
+from skeinframe.functions.color import rgb_to_lab, with_ciede2000
 from skeinframe.functions.text import stash_key
 
 
@@ -53,7 +53,7 @@ def suggest_from_stash(needs: DataFrame, stash: DataFrame, threads: DataFrame, m
     pairs = want.join(own.withColumnRenamed("key", "own_key"), "user_id").select("need_key", "own_key").distinct()
     pairs = pairs.join(shades.select(F.col("key").alias("need_key"), F.col("lab").alias("need_lab")), "need_key").join(shades.select(F.col("key").alias("own_key"), F.col("lab").alias("own_lab")), "own_key", "left")
     same = F.col("need_key") == F.col("own_key")
-    close = pairs.select("need_key", "own_key", F.when(same, 0.0).otherwise(ciede2000(F.col("need_lab"), F.col("own_lab"))).alias("de")).where(F.col("de") <= max_de)
+    close = with_ciede2000(pairs, "need_lab", "own_lab").select("need_key", "own_key", F.when(same, 0.0).otherwise(F.col("de")).alias("de")).where(F.col("de") <= max_de)
     found = want.join(own.withColumnRenamed("key", "own_key"), "user_id").join(close, ["need_key", "own_key"])
     best = found.groupBy("user_id", "need_key").agg(F.min(F.struct((F.col("need_key") != F.col("own_key")).alias("other"), "de", "own_key", "quantity")).alias("b"))
     return best.select("user_id", F.col("need_key").alias("key"), F.col("b.own_key").alias("suggested_key"), F.col("b.de").alias("de"), (~F.col("b.other")).alias("exact"), F.col("b.quantity").alias("quantity"))

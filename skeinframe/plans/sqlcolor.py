@@ -24,6 +24,6 @@ SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32
 SELECT *, (l1 + l2) / 2 AS ml, (c1 + c2) / 2 AS mc, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS dh,
  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh FROM (
 SELECT *, sqrt(p1 * p1 + b1 * b1) AS c1, sqrt(p2 * p2 + b2 * b2) AS c2, {hue("b1", "p1")} AS h1, {hue("b2", "p2")} AS h2 FROM (
-SELECT *, a1 * (1 + g) AS p1, a2 * (1 + g) AS p2 FROM (
-SELECT *, 0.5 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + pow(25.0::DOUBLE, 7)))) AS g FROM (
-SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cb FROM ({source})))))))))"""
+SELECT *, a1 * (1 + stretch) AS p1, a2 * (1 + stretch) AS p2 FROM (
+SELECT *, 0.5 * (1 - sqrt(pow(cb, 7) / (pow(cb, 7) + pow(25.0::DOUBLE, 7)))) AS stretch FROM (
+SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cb FROM ({source}))))))))"""
