@@ -366,3 +366,449 @@ def s8(spark, d):
     base = view(spark, d, "designs").select("design_id", "brand")
     changes = base.where("design_id % 3 = 0").select((F.col("design_id") + 3).alias("design_id"), F.lit("new").alias("brand"), (F.col("design_id") % 2 == 1).alias("deleted"))
     return tables.merge_rows(base, changes, ["design_id"], "deleted")
+
+
+# --- charts and codecs -----------------------------------------------------------------------------------------------
+
+RUNS_SQL = ", lagged AS (SELECT *, CASE WHEN pal_idx = lag(pal_idx) OVER (PARTITION BY chart_id ORDER BY idx) THEN 0 ELSE 1 END AS fresh FROM v_cells), grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY chart_id ORDER BY idx) AS run FROM lagged), runs AS (SELECT chart_id, min(idx) AS start, min(pal_idx) AS pal_idx, count(*) AS len FROM grouped GROUP BY chart_id, run)"
+
+
+@query("s3_cell_runs", with_views(RUNS_SQL + " SELECT chart_id, start, pal_idx, len FROM runs", "cells"))
+def s3_runs(spark, d):
+    return codec.cell_runs(view(spark, d, "cells"), "pal_idx")
+
+
+def coded(spark, d):
+    """cells with a code and, of three threads, their dimension."""
+    names = spark.createDataFrame([("c0", "Red", "Warm", "#FF0000"), ("c1", "Blue", None, "#0000FF"), ("c2", "Pink", "Warm", "#FFC0CB")], "code string, name string, family string, hex string")
+    cells = view(spark, d, "cells").withColumn("code", F.concat(F.lit("c"), F.col("pal_idx").cast("string")))
+    dims = cells.groupBy("chart_id").agg(F.count("*").alias("n")).select("chart_id", F.lit(20).alias("width"), F.ceil(F.col("n") / 20).cast("int").alias("height"))
+    return cells, dims, names
+
+
+@query("s1_s3_chart_json", with_views(", firsts AS (SELECT chart_id, pal_idx, min(idx) AS f, count(*) AS n FROM v_cells GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY f) - 1 AS i FROM firsts) SELECT chart_id, CAST(i AS INT) AS pal_idx, 'c' || CAST(pal_idx AS VARCHAR) AS code, n AS cell_count, substr('ABC', i + 1, 1) AS symbol FROM k", "cells"))
+def s1(spark, d):
+    """Charts built from cells, written as JSON text and parsed again."""
+    cells, dims, names = coded(spark, d)
+    stored = codec.cells_to_chart(cells, dims, names).select("chart_id", F.to_json("chart").alias("chart_data"))
+    parsed = tables.parse_designs(stored).select("chart_id", "chart", F.posexplode("chart.palette").alias("pal_idx", "p"))
+    key = F.col("pal_idx").cast("string")
+    return parsed.select("chart_id", "pal_idx", F.col("p.id").alias("code"), F.col("chart.usage")[key].alias("cell_count"), F.col("chart.symMap")[key].alias("symbol"))
+
+
+@query("s2_chart_to_cells", with_views(" SELECT chart_id, idx, y, x, 'c' || CAST(pal_idx AS VARCHAR) AS code FROM v_cells", "cells"))
+def s2(spark, d):
+    cells, dims, names = coded(spark, d)
+    return codec.chart_to_cells(codec.cells_to_chart(cells, dims, names)).select("chart_id", "idx", "y", "x", "code")
+
+
+@query("s4_corpus_to_cells", with_views(" SELECT chart_id AS label, CAST(floor(idx / 25) AS INT) AS r, CAST(idx % 25 AS INT) AS col, pal_idx AS val FROM v_cells", "cells"))
+def s4(spark, d):
+    grids = view(spark, d, "cells").groupBy(F.col("chart_id").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "pal_idx"))), lambda s: s["pal_idx"]).alias("grid"), F.lit(25).alias("gw"))
+    return codec.corpus_to_cells(grids)
+
+
+@query("s5_s9_motifs", with_views(", box AS (SELECT chart_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM v_cells WHERE pal_idx = 2 AND y < 6 GROUP BY 1) SELECT b.chart_id AS motif_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CASE WHEN v.idx IS NULL THEN '-' ELSE 'c2' END AS code FROM box b CROSS JOIN range(6) t(r) CROSS JOIN range(20) u(c) LEFT JOIN v_cells v ON v.chart_id = b.chart_id AND v.y = b.y0 + r AND v.x = b.x0 + c AND v.pal_idx = 2 WHERE r <= y1 - y0 AND c <= x1 - x0", "cells"))
+def s5(spark, d):
+    cells, _, _ = coded(spark, d)
+    return codec.motif_cells(codec.cells_to_motif(cells.where("pal_idx = 2 AND y < 6"), "-").withColumnRenamed("chart_id", "motif_id"))
+
+
+@query("s6_s7_progress_text", with_views(" SELECT DISTINCT chart_id AS design_id, idx FROM v_cells WHERE pal_idx <> 0", "cells"))
+def s6(spark, d):
+    """Done cells as progress text and back."""
+    cells = view(spark, d, "cells").withColumnRenamed("chart_id", "design_id")
+    dims = cells.select("design_id").distinct().withColumns({"w": F.lit(20), "h": F.lit(20)})
+    text = codec.encode_progress(cells.where("pal_idx <> 0"), dims)
+    return codec.decode_progress(text).select("design_id", F.explode("done").alias("idx"))
+
+
+@query("s7_encode_progress", with_views(", done AS (SELECT chart_id, idx, idx - row_number() OVER (PARTITION BY chart_id ORDER BY idx) AS island FROM v_cells WHERE pal_idx <> 0), runs AS (SELECT chart_id, count(DISTINCT island) AS n, min(idx) AS f FROM done GROUP BY 1) SELECT chart_id AS design_id, 'P1|20|20|' || CAST(f AS VARCHAR) AS head, n AS runs FROM runs", "cells"))
+def s7(spark, d):
+    cells = view(spark, d, "cells").withColumnRenamed("chart_id", "design_id")
+    text = codec.encode_progress(cells.where("pal_idx <> 0"), cells.select("design_id").distinct().withColumns({"w": F.lit(20), "h": F.lit(20)}))
+    return text.select("design_id", F.regexp_extract("stitch_progress", r"^P1\|20\|20\|[0-9]+", 0).alias("head"), F.floor(F.size(F.split("stitch_progress", r"\.")) / 2).cast("long").alias("runs"))
+
+
+@query("a1_usage_counts", with_views(" SELECT chart_id, pal_idx, count(*) AS cell_count FROM v_cells GROUP BY 1, 2", "cells"))
+def a1(spark, d):
+    return usage.usage_counts(codec.cells_to_runs(view(spark, d, "cells")))
+
+
+@query("j1_usage_lines", with_views(" SELECT chart_id, 'c' || CAST(pal_idx AS VARCHAR) AS id, CASE pal_idx WHEN 0 THEN 'Red' WHEN 1 THEN 'Blue' END AS label, count(*) AS count FROM v_cells WHERE pal_idx < 2 GROUP BY chart_id, pal_idx", "cells"))
+def j1(spark, d):
+    cells, dims, names = coded(spark, d)
+    charts = codec.cells_to_chart(cells, dims, names).select("chart_id", "chart.palette", "chart.usage")
+    return usage.usage_lines(charts, exclude=("c2",))
+
+
+@query("k1_legend", with_views(", n AS (SELECT chart_id, pal_idx, count(*) AS cell_count FROM v_cells GROUP BY 1, 2) SELECT chart_id, CAST(row_number() OVER (PARTITION BY chart_id ORDER BY cell_count DESC, pal_idx) AS INT) AS place, 'c' || CAST(pal_idx AS VARCHAR) AS code, cell_count, substr('ABC', pal_idx + 1, 1) AS symbol FROM n", "cells"))
+def k1(spark, d):
+    palette = view(spark, d, "cells").select("chart_id", "pal_idx").distinct().select("chart_id", "pal_idx", F.concat(F.lit("c"), F.col("pal_idx").cast("string")).alias("code"), F.lit("n").alias("name"), F.lit("#000000").alias("hex"), F.lit(None).cast("string").alias("symbol"))
+    counts = usage.usage_counts(codec.cells_to_runs(view(spark, d, "cells")))
+    return usage.legend(palette, usage.assign_symbols(palette), counts).select("chart_id", "place", "code", "cell_count", "symbol")
+
+
+@query("w7_assign_symbols", with_views(" SELECT chart_id, pal_idx, CASE pal_idx WHEN 0 THEN 'C' WHEN 1 THEN 'A' ELSE 'B' END AS symbol FROM (SELECT DISTINCT chart_id, pal_idx FROM v_cells)", "cells"))
+def w7(spark, d):
+    palette = view(spark, d, "cells").select("chart_id", "pal_idx").distinct().withColumns({"code": F.col("pal_idx").cast("string"), "symbol": F.when(F.col("pal_idx") == 0, "C")})
+    return usage.assign_symbols(palette)
+
+
+@query("k2_colours_in_selection", with_views(" SELECT chart_id, pal_idx, count(*) AS n FROM v_cells WHERE y BETWEEN 3 AND 9 AND x > 4 AND pal_idx <> 2 GROUP BY 1, 2", "cells"))
+def k2(spark, d):
+    cells = view(spark, d, "cells")
+    return usage.colours_in_selection(cells, cells.where("y BETWEEN 3 AND 9 AND x > 4"), sentinel=2)
+
+
+# --- grids -----------------------------------------------------------------------------------------------------------
+
+
+@query("p6_pattern_fill", with_views(" SELECT chart_id, idx, CASE WHEN pal_idx = 0 THEN CASE (floor((y + CASE x % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END) / 2) % 3)::INT WHEN 0 THEN 10 WHEN 1 THEN 11 ELSE 12 END ELSE pal_idx END AS pal_idx FROM v_cells", "cells"))
+def p6(spark, d):
+    cells = view(spark, d, "cells")
+    spec = {"type": "bargello", "steps": [2, 1, -3], "width": 2, "tones": 3, "colours": [10, 11, 12]}
+    return grid.pattern_fill(cells, cells.where("pal_idx = 0"), spec, "pal_idx").select("chart_id", "idx", "pal_idx")
+
+
+@query("p6_gingham", with_views(" SELECT chart_id, idx, CAST((floor(y / 3) % 2 + floor(x / 3) % 2) AS INT) AS pal_idx FROM v_cells", "cells"))
+def p6g(spark, d):
+    cells = view(spark, d, "cells")
+    return grid.pattern_fill(cells, cells, {"type": "gingham", "width": 3, "colours": [0, 1, 2]}, "pal_idx").select("chart_id", "idx", "pal_idx")
+
+
+@query("p7_rotate_cells", with_views(" SELECT chart_id, x AS y, 19 - y AS x, pal_idx FROM v_cells", "cells"))
+def p7(spark, d):
+    cells = view(spark, d, "cells").withColumns({"width": F.lit(20), "height": F.lit(20)})
+    return grid.rotate_cells(cells, 90).select("chart_id", "y", "x", "pal_idx")
+
+
+@query("p8_recolour", with_views(" SELECT chart_id, idx, CASE WHEN pal_idx = 1 AND y < 10 THEN 7 ELSE pal_idx END AS pal_idx FROM v_cells", "cells"))
+def p8(spark, d):
+    cells = view(spark, d, "cells")
+    return grid.recolour(cells, 1, 7, cells.where("y < 10"), "pal_idx").select("chart_id", "idx", "pal_idx")
+
+
+def layered(spark, d):
+    """One 3x3 motif layer at double size and a 4x1 border layer on every chart, with clipped and transparent cells."""
+    cells = view(spark, d, "cells").withColumn("code", F.concat(F.lit("c"), F.col("pal_idx").cast("string")))
+    charts = cells.select("chart_id").distinct()
+    dims = charts.withColumns({"width": F.lit(20), "height": F.lit(20)})
+    motif = charts.select("chart_id", F.concat(F.lit("m"), F.col("chart_id").cast("string")).alias("layer_id"), F.lit(1).alias("z"), F.lit("motif").alias("kind"), (F.col("chart_id") % 10 - 2).cast("int").alias("off_x"), F.lit(3).alias("off_y"), F.lit(2).alias("scale"))
+    border = charts.select("chart_id", F.concat(F.lit("b"), F.col("chart_id").cast("string")).alias("layer_id"), F.lit(2).alias("z"), F.lit("border").alias("kind"), F.lit(0).alias("off_x"), F.lit(4).alias("off_y"), F.lit(1).alias("scale"))
+    grid_of = lambda rows, h, w: rows.select("layer_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("row")).select("layer_id", "row", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("col"))
+    own = grid_of(motif, 3, 3).withColumn("code", F.when((F.col("row") == 1) & (F.col("col") == 1), "-").otherwise("M")).unionByName(grid_of(border, 1, 4).withColumn("code", F.lit("B")))
+    return cells, motif.unionByName(border), own, dims
+
+
+TOP_SQL = "CASE WHEN y = 4 AND x < 4 THEN 'B' WHEN y BETWEEN 3 AND 8 AND x - (chart_id % 10 - 2) BETWEEN 0 AND 5 AND NOT (floor((y - 3) / 2) = 1 AND floor((x - (chart_id % 10 - 2)) / 2) = 1) THEN 'M' ELSE 'c' || CAST(pal_idx AS VARCHAR) END"
+
+
+@query("j10_composite_layers", with_views(f" SELECT chart_id, idx, {TOP_SQL} AS code FROM v_cells", "cells"))
+def j10(spark, d):
+    cells, layers, own, dims = layered(spark, d)
+    return grid.composite_layers(cells.select("chart_id", "idx", "code"), layers, own, dims, "-")
+
+
+@query("j11_merge_edits", with_views(" SELECT chart_id, idx, CASE WHEN x = 5 THEN 9 ELSE pal_idx + CASE WHEN y = 2 THEN 1 ELSE 0 END END AS pal_idx FROM v_cells", "cells"))
+def j11(spark, d):
+    cells = view(spark, d, "cells").select("chart_id", "idx", "y", "x", "pal_idx")
+    base = cells.withColumn("pal_idx", F.col("pal_idx") + F.when(F.col("y") == 2, 1).otherwise(0))
+    after = cells.withColumn("pal_idx", F.when(F.col("x") == 5, 9).otherwise(F.col("pal_idx")))
+    return grid.merge_edits(base, cells, after, "pal_idx")
+
+
+@query("j12_attribute_edits", with_views(f", t AS (SELECT *, {TOP_SQL} AS code FROM v_cells), e AS (SELECT * FROM t WHERE x < 6 AND y BETWEEN 3 AND 4) SELECT chart_id, count(*) AS changed, count(CASE WHEN code = 'B' THEN 1 END) AS discarded FROM e GROUP BY chart_id", "cells"))
+def j12(spark, d):
+    """The rows 3 and 4 of the first six columns repainted; every changed cell is counted exactly once."""
+    cells, layers, own, dims = layered(spark, d)
+    base = cells.select("chart_id", "idx", "code")
+    before = grid.composite_layers(base, layers, own, dims, "-")
+    after = before.withColumn("code", F.when((F.col("idx") % 20 < 6) & F.floor(F.col("idx") / 20).isin(3, 4), "X").otherwise(F.col("code")))
+    _, _, counts = grid.attribute_edits(base, before, after, layers, own, dims, "-")
+    return counts.select("chart_id", (F.col("touched") + F.col("discarded") + F.col("refused")).alias("changed"), "discarded")
+
+
+@query("j13_diff_charts", with_views(" SELECT chart_id, count(*) AS n_diff, min(idx) AS first_idx FROM v_cells WHERE pal_idx = 1 AND x > 10 GROUP BY chart_id", "cells"))
+def j13(spark, d):
+    cells = view(spark, d, "cells")
+    other = grid.recolour(cells, 1, 4, cells.where("x > 10"), "pal_idx")
+    return grid.diff_charts(cells, other, value="pal_idx").where("n_diff > 0").select("chart_id", "n_diff", F.col("first")[0]["idx"].alias("first_idx"))
+
+
+@query("j14_shape_mask", with_views(" SELECT chart_id AS shape_id, round(avg(CASE WHEN (x + 0.5) + (y + 0.5) < 20 - chart_id % 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS fraction FROM v_cells GROUP BY chart_id", "cells"))
+def j14(spark, d):
+    """A right triangle whose size depends on the chart."""
+    cells = view(spark, d, "cells").withColumnRenamed("chart_id", "shape_id")
+    size = (20 - F.col("shape_id") % 3).cast("double")
+    edge = lambda a, b, c, e: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), e.alias("y2"))
+    zero = F.lit(0.0)
+    edges = cells.select("shape_id").distinct().select("shape_id", F.inline(F.array(edge(zero, zero, size, zero), edge(size, zero, zero, size), edge(zero, size, zero, zero))))
+    return grid.stitchable_fraction(grid.shape_mask(cells, edges)).select("shape_id", r6("fraction").alias("fraction"))
+
+
+@query("j15_tile_fill", with_views(" SELECT chart_id, idx, CASE WHEN pal_idx = 1 THEN '-' ELSE CAST(floor(((y - 1 + 6) % 6) / 2) * 2 + floor(((x - 2 + 4) % 4) / 2) AS INT)::VARCHAR END AS code FROM v_cells", "cells"))
+def j15(spark, d):
+    cells = view(spark, d, "cells")
+    motif = spark.createDataFrame([(r, c, str(2 * r + c)) for r in range(3) for c in range(2)], "row int, col int, code string")
+    return grid.tile_fill(cells, motif, 2, 3, (2, 1), 2.0, "-", cells.where("pal_idx <> 1")).select("chart_id", "idx", "code")
+
+
+@query("a13_downsample_cells", with_views(", n AS (SELECT chart_id, floor(y / 3) AS cy, floor(x / 3) AS cx, pal_idx, count(*) AS n, min(y * 20 + x) AS f FROM v_cells WHERE y < 18 AND x < 18 GROUP BY 1, 2, 3, 4) SELECT chart_id, CAST(cy AS INT) AS y, CAST(cx AS INT) AS x, arg_max(pal_idx, n * 1000 - f) AS pal_idx FROM n GROUP BY chart_id, cy, cx", "cells"))
+def a13(spark, d):
+    return grid.downsample_cells(view(spark, d, "cells"), 3, 20, 20)
+
+
+@query("a17_colour_contacts", with_views(", p AS (SELECT DISTINCT a.chart_id, a.idx, a.pal_idx AS a, b.pal_idx AS b FROM v_cells a JOIN v_cells b ON a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.pal_idx <> b.pal_idx) SELECT chart_id, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3", "cells"))
+def a17(spark, d):
+    return grid.colour_contacts(view(spark, d, "cells")).select("chart_id", "a", "b", "n")
+
+
+@query("w1_linear_runs", with_views(", s AS (SELECT c.chart_id, c.idx, k.d, k.dy, k.dx, c.y, c.x, c.pal_idx FROM v_cells c CROSS JOIN (VALUES (0, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, -1)) k(d, dy, dx)), t AS (SELECT a.chart_id, a.y, a.x, a.dy, a.dx FROM s a JOIN v_cells b ON b.chart_id = a.chart_id AND b.y = a.y + a.dy AND b.x = a.x + a.dx AND b.pal_idx = a.pal_idx JOIN v_cells c ON c.chart_id = a.chart_id AND c.y = a.y + 2 * a.dy AND c.x = a.x + 2 * a.dx AND c.pal_idx = a.pal_idx), m AS (SELECT DISTINCT chart_id, y + i * dy AS y, x + i * dx AS x FROM t CROSS JOIN range(3) r(i)) SELECT c.chart_id, c.idx, m.chart_id IS NOT NULL AS in_run FROM v_cells c LEFT JOIN m ON m.chart_id = c.chart_id AND m.y = c.y AND m.x = c.x", "cells"))
+def w1(spark, d):
+    return grid.linear_runs(view(spark, d, "cells")).select("chart_id", "idx", "in_run")
+
+
+@query("w2_despeckle", with_views(", n AS (SELECT a.chart_id, a.idx, a.pal_idx AS own, b.pal_idx AS v, count(*) AS n FROM v_cells a JOIN v_cells b ON a.chart_id = b.chart_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1 GROUP BY 1, 2, 3, 4), k AS (SELECT chart_id, idx, own, max(CASE WHEN v = own THEN 1 ELSE 0 END) AS supported, arg_max(v, n * 10 - v) AS best, max(n) AS n FROM n GROUP BY 1, 2, 3) SELECT chart_id, idx, CASE WHEN supported = 0 AND n >= 6 THEN best ELSE own END AS pal_idx FROM k", "cells"))
+def w2(spark, d):
+    return grid.despeckle(view(spark, d, "cells")).select("chart_id", "idx", "pal_idx")
+
+
+@query("w8_edge_depth", with_views(" SELECT chart_id, idx, least(3, x, y, 19 - x, 19 - y) AS depth FROM v_cells WHERE chart_id IN (SELECT chart_id FROM v_cells GROUP BY 1 HAVING count(*) = 400)", "cells"))
+def w8(spark, d):
+    cells = view(spark, d, "cells")
+    whole = cells.groupBy("chart_id").agg(F.count("*").alias("n")).where("n = 400").select("chart_id")
+    return grid.edge_depth(cells.join(whole, "chart_id").withColumn("inside", F.lit(True)), 3).select("chart_id", "idx", "depth")
+
+
+@query("a2_progress_stats", with_views(" SELECT chart_id, count(*) AS total, count(CASE WHEN x < y THEN 1 END) AS completed, floor(count(CASE WHEN x < y THEN 1 END)::DOUBLE / count(*) * 1000 + 0.5) / 10 AS percent FROM v_cells WHERE pal_idx <> 2 GROUP BY chart_id", "cells"))
+def a2(spark, d):
+    cells = view(spark, d, "cells")
+    return progress.progress_stats(cells, cells.where("x < y"), "pal_idx", 2).select("chart_id", "total", "completed", "percent")
+
+
+@query("a3_progress_by_colour", with_views(" SELECT chart_id, pal_idx, count(*) AS total, count(CASE WHEN x >= y THEN 1 END) AS remaining FROM v_cells GROUP BY 1, 2", "cells"))
+def a3(spark, d):
+    cells = view(spark, d, "cells")
+    return progress.progress_by_colour(cells, cells.where("x < y"), "pal_idx").select("chart_id", "pal_idx", "total", "remaining")
+
+
+@query("m13_progress_status", with_views(" SELECT chart_id AS design_id, CASE chart_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'needsMigration' END AS status FROM (SELECT DISTINCT chart_id FROM v_cells)", "cells"))
+def m13(spark, d):
+    designs = view(spark, d, "cells").select(F.col("chart_id").alias("design_id")).distinct().withColumns({"width": F.lit(2), "height": F.lit(3)})
+    saved = designs.select("design_id", F.when(F.col("design_id") % 3 == 1, "P1|2|3|2.1.3").when(F.col("design_id") % 3 == 2, "P1|3|2|6").alias("stitch_progress"))
+    return progress.progress_status(designs, codec.decode_progress(saved))
+
+
+# --- regions ---------------------------------------------------------------------------------------------------------
+
+
+@query("r1_region_sizes", with_views(" SELECT chart_id, count(*) AS cells FROM v_cells GROUP BY chart_id", "cells"))
+def r1_sizes(spark, d):
+    """Sizes of all regions add up to the cells."""
+    return regions.region_stats(regions.label_regions(view(spark, d, "cells"))).groupBy("chart_id").agg(F.sum("size").alias("cells"))
+
+
+@query("r1_label_regions")
+def r1(spark, d):
+    return regions.region_stats(regions.label_regions(view(spark, d, "cells")))
+
+
+@query("r2_find_confetti", with_views(" SELECT a.chart_id, a.idx AS region, a.pal_idx FROM v_cells a WHERE NOT EXISTS (SELECT 1 FROM v_cells b WHERE a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.pal_idx = b.pal_idx)", "cells"))
+def r2(spark, d):
+    return regions.find_confetti(view(spark, d, "cells"), 1).select("chart_id", "region", "pal_idx")
+
+
+@query("r3_confetti_plan", with_views(", lone AS (SELECT a.* FROM v_cells a WHERE NOT EXISTS (SELECT 1 FROM v_cells b WHERE a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.pal_idx = b.pal_idx)), n AS (SELECT a.chart_id, a.idx, b.pal_idx AS v, count(*) AS n, min(CASE WHEN b.y < a.y THEN 0 WHEN b.y > a.y THEN 1 WHEN b.x < a.x THEN 2 ELSE 3 END) AS f FROM lone a JOIN v_cells b ON a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3) SELECT chart_id, idx, arg_max(v, n * 10 - f) AS replacement FROM n GROUP BY 1, 2", "cells"))
+def r3(spark, d):
+    return regions.confetti_plan(view(spark, d, "cells"), 1).select("chart_id", "idx", "replacement")
+
+
+@query("r3_confetti_counts")
+def r3c(spark, d):
+    return regions.confetti_counts(view(spark, d, "cells"), 2)
+
+
+@query("r4_background_region")
+def r4(spark, d):
+    return regions.background_region(view(spark, d, "cells"))
+
+
+@query("r5_hole_fill")
+def r5(spark, d):
+    cells = view(spark, d, "cells")
+    backgrounds = cells.select("chart_id").distinct().withColumn("background", F.lit(2))
+    return regions.hole_fill(cells, backgrounds)
+
+
+@query("r5_gap_bridge")
+def r5g(spark, d):
+    cells = view(spark, d, "cells")
+    return regions.gap_bridge(cells, cells.select("chart_id").distinct().withColumn("background", F.lit(2)))
+
+
+@query("r6_cluster_patches")
+def r6_patches(spark, d):
+    return regions.cluster_patches(view(spark, d, "cells"), "pal_idx")
+
+
+@query("r7_engine_confetti")
+def r7(spark, d):
+    cells = view(spark, d, "cells")
+    return regions.engine_confetti(cells, 4, [0], grid.linear_runs(cells).where("in_run"))
+
+
+@query("r8_region_profile")
+def r8(spark, d):
+    return regions.region_profile(view(spark, d, "cells"))
+
+
+# --- quality and images ----------------------------------------------------------------------------------------------
+
+
+@query("a23_chartability")
+def a23(spark, d):
+    cells = view(spark, d, "cells")
+    palette = cells.select("chart_id", "pal_idx").distinct().select("chart_id", "pal_idx", (F.col("pal_idx") * 90 + 20).alias("r"), (200 - F.col("pal_idx") * 60).alias("g"), F.lit(90).alias("b"))
+    out = quality.chartability(cells, palette, [0])
+    return out.select(*[r6(c).alias(c) if t == "double" else F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in out.dtypes])
+
+
+@query("a24_verdict_matrix", with_views(", p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Perfect' WHEN doc_id % 3 = 1 THEN 'Poor' ELSE 'Minor' END AS predicted, verdict AS rated FROM v_ratings) SELECT predicted, rated, CAST(grouping(predicted) * 2 + grouping(rated) AS INT) AS level, count(*) AS n FROM p GROUP BY CUBE (predicted, rated)", "ratings"))
+def a24(spark, d):
+    rated = view(spark, d, "ratings")
+    guessed = rated.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "Perfect").when(F.col("doc_id") % 3 == 1, "Poor").otherwise("Minor").alias("verdict"))
+    return quality.verdict_matrix(guessed, rated, "doc_id")
+
+
+@query("a11_source_census", with_views(" SELECT image_id, min(r + g + b) AS darkest, count(CASE WHEN r + g + b < 250 THEN 1 END) AS n_250, round(count(CASE WHEN r + g + b < 450 THEN 1 END)::DOUBLE / count(*), 5) AS f_450 FROM v_pixels GROUP BY image_id", "pixels"))
+def a11(spark, d):
+    return quality.source_census(view(spark, d, "pixels")).select("image_id", "darkest", "n_250", "f_450")
+
+
+@query("a12_mode_cells", with_views(", n AS (SELECT image_id, floor(y / 2) AS cy, floor(x / 2) AS cx, r // 48 AS r, g // 48 AS g, b // 48 AS b, count(*) AS n FROM v_pixels GROUP BY ALL), c AS (SELECT image_id, cy, cx, max(n) / sum(n) AS top FROM n GROUP BY 1, 2, 3) SELECT image_id, count(*) AS cells, count(CASE WHEN top < 0.6 THEN 1 END) AS mixed FROM c GROUP BY image_id", "pixels"))
+def a12(spark, d):
+    return quality.mode_cells(view(spark, d, "pixels"), 4, 4, 8, 8).select("image_id", "cells", "mixed")
+
+
+@query("w3_local_range", with_views(", n AS (SELECT a.image_id, a.idx, greatest(max(b.r) - min(b.r), max(b.g) - min(b.g), max(b.b) - min(b.b)) AS range FROM v_pixels a JOIN v_pixels b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2) SELECT image_id, idx, range, CASE WHEN range <= 8 THEN 'flat' WHEN range <= 40 THEN 'ramp' ELSE 'edge' END AS kind FROM n", "pixels"))
+def w3(spark, d):
+    return quality.local_range(view(spark, d, "pixels")).select("image_id", "idx", "range", "kind")
+
+
+@query("w4_input_type")
+def w4(spark, d):
+    return quality.input_type(view(spark, d, "pixels"))
+
+
+@query("w5_sub_stitch_share")
+def w5(spark, d):
+    return quality.sub_stitch_share(view(spark, d, "pixels"), 4, 8, white=150)
+
+
+@query("w6_smallest_fit")
+def w6(spark, d):
+    return quality.smallest_fit(view(spark, d, "pixels"), 8, 8, [2, 4, 8])
+
+
+@query("a25_box_average", with_views(" SELECT image_id, CAST(floor(y / 2) AS INT) AS y, CAST(floor(x / 2) AS INT) AS x, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(g) + 0.5) AS INT) AS g, CAST(floor(avg(b) + 0.5) AS INT) AS b FROM v_pixels GROUP BY 1, 2, 3", "pixels"))
+def a25(spark, d):
+    return image.box_average(view(spark, d, "pixels"), 4, 4, 8, 8).select("image_id", "y", "x", "r", "g", "b")
+
+
+def clusters(spark, d):
+    corner = F.col("idx").isin(0, 21, 42, 63)
+    rows = view(spark, d, "pixels").where(corner)
+    return rows.select("image_id", (F.col("idx") / 21).cast("int").alias("cluster_id"), "r", "g", "b", F.lit(16).cast("long").alias("population"), F.lit(False).alias("protected"))
+
+
+NEAREST_SQL = ", c AS (SELECT image_id, CAST(idx / 21 AS INT) AS cluster_id, r, g, b FROM v_pixels WHERE idx IN (0, 21, 42, 63)), named AS (SELECT p.image_id, p.idx, p.y, p.x, p.r + p.g + p.b AS s, arg_min(c.cluster_id, ((p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2) * 10 + c.cluster_id) AS cluster_id FROM v_pixels p JOIN c USING (image_id) GROUP BY ALL)"
+
+
+@query("a14_nearest_cluster", with_views(NEAREST_SQL + " SELECT p.image_id, p.idx, n.cluster_id FROM v_pixels p JOIN named n USING (image_id, idx)", "pixels"))
+def a14n(spark, d):
+    pixels = view(spark, d, "pixels")
+    return pixels.join(image.nearest_cluster(pixels, clusters(spark, d)), ["image_id", "r", "g", "b"]).select("image_id", "idx", "cluster_id")
+
+
+@query("a14_vote_cells")
+def a14(spark, d):
+    own = clusters(spark, d)
+    named = own.select("image_id", "cluster_id", F.concat(F.lit("t"), F.col("cluster_id").cast("string")).alias("code"))
+    return image.vote_cells(view(spark, d, "pixels"), own, named, "bg", 4, 4, 8, 8)
+
+
+def image_palette(spark, d):
+    rows = view(spark, d, "pixels").where("idx % 8 = 0").select(F.col("image_id").alias("chart_id"), (F.col("idx") / 8).cast("int").alias("pal_idx"), "r", "g", "b")
+    return rows, rows.select("chart_id", "pal_idx", ((F.col("r") * 7 + F.col("pal_idx") * 13) % 97).cast("long").alias("n"))
+
+
+PALETTE_SQL = f", pal AS (SELECT image_id AS chart_id, CAST(idx / 8 AS INT) AS pal_idx, r, g, b, (r * 7 + CAST(idx / 8 AS INT) * 13) % 97 AS n, {sqlcolor.lab_columns()} FROM v_pixels WHERE idx % 8 = 0)"
+
+
+@query("a15_limit_palette", with_views(PALETTE_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY n DESC, pal_idx) <= 4 OR pal_idx = 7 AS kept FROM pal) SELECT a.chart_id, a.pal_idx, CASE WHEN a.kept THEN a.pal_idx ELSE arg_min(b.pal_idx, (a.lab_l - b.lab_l) ** 2 + (a.lab_a - b.lab_a) ** 2 + (a.lab_b - b.lab_b) ** 2 + b.pal_idx * 1e-9) END AS kept_idx FROM k a JOIN k b ON a.chart_id = b.chart_id AND b.kept GROUP BY a.chart_id, a.pal_idx, a.kept", "pixels"))
+def a15(spark, d):
+    palette, counts = image_palette(spark, d)
+    return image.limit_palette(counts, palette, 4, [7])
+
+
+@query("a16_outline_colours", with_views(PALETTE_SQL + ", m AS (SELECT *, sum(n) OVER (PARTITION BY chart_id) AS t, sum(n * lab_l) OVER (PARTITION BY chart_id) / sum(n) OVER (PARTITION BY chart_id) AS mean FROM pal) SELECT chart_id, pal_idx, n > 0 AND n <= 0.03 * t AND mean - lab_l >= 20 AS outline FROM m", "pixels"))
+def a16(spark, d):
+    palette, counts = image_palette(spark, d)
+    return image.outline_colours(palette, counts)
+
+
+@query("a18_merge_near_duplicates")
+def a18(spark, d):
+    palette, counts = image_palette(spark, d)
+    return image.merge_near_duplicates(palette, counts, max_minority=0.4)
+
+
+@query("a19_cull_tiny")
+def a19(spark, d):
+    palette, counts = image_palette(spark, d)
+    return image.cull_tiny(palette, counts, protected=[0])
+
+
+@query("a20_derive_clusters")
+def a20(spark, d):
+    return image.derive_clusters(view(spark, d, "pixels"), 8)
+
+
+@query("a21_merge_clusters")
+def a21(spark, d):
+    return image.merge_clusters(image.derive_clusters(view(spark, d, "pixels"), 8), 400.0, 5)
+
+
+@query("a22_natural_colour_count")
+def a22(spark, d):
+    return image.natural_colour_count(view(spark, d, "pixels"))
+
+
+@query("r9_salient_islands")
+def r9(spark, d):
+    return image.salient_islands(image.box_average(view(spark, d, "pixels"), 8, 8, 8, 8), radius=3)
+
+
+# --- marks -----------------------------------------------------------------------------------------------------------
+
+
+@query("x1_apply_marks", with_views(" SELECT design_id, idx, arg_max(done, struct_pack(t := ts, m := mark_id)) AS done FROM v_marks GROUP BY 1, 2", "marks"))
+def x1(spark, d):
+    """Two batches; the second is older and must not override."""
+    rows = view(spark, d, "marks")
+    late = F.col("mark_id") % 2 == 0
+    return marks_.merge_marks(marks_.apply_marks(rows.where(~late)).select("design_id", "idx", "done", "ts", "mark_id"), rows.where(late)).select("design_id", "idx", "done")
+
+
+@query("x1_expand_marks", with_views(", r AS (SELECT mark_id, design_id, least(idx % 20, (idx * 7) % 20) AS lx, greatest(idx % 20, (idx * 7) % 20) AS hx, idx % 20 AS y FROM v_marks) SELECT mark_id, design_id, count(*) AS cells FROM r CROSS JOIN range(20) t(x) WHERE x BETWEEN lx AND hx GROUP BY 1, 2", "marks"))
+def x1e(spark, d):
+    i = F.col("idx")
+    rows = view(spark, d, "marks").select("design_id", "mark_id", "ts", "done", F.lit("rect").alias("kind"), (i % 20).cast("int").alias("x0"), (i % 20).cast("int").alias("y0"), (i * 7 % 20).cast("int").alias("x1"), (i % 20).cast("int").alias("y1"), F.lit(None).cast("string").alias("code"))
+    dims = rows.select("design_id").distinct().withColumns({"width": F.lit(20), "height": F.lit(20)})
+    return marks_.expand_marks(rows, dims).groupBy("mark_id", "design_id").agg(F.count("*").alias("cells"))
+
+
+@query("x2_autosave", with_views(", g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY design_id ORDER BY ts) + INTERVAL 1500 MILLISECONDS THEN 0 ELSE 1 END AS fresh FROM v_marks), s AS (SELECT *, sum(fresh) OVER (PARTITION BY design_id ORDER BY ts) AS burst FROM g) SELECT design_id, min(ts) AS saved_from, max(ts) + INTERVAL 1500 MILLISECONDS AS saved_at, count(*) AS n_marks, arg_max(idx, struct_pack(t := ts, m := mark_id)) AS last_idx FROM s GROUP BY design_id, burst", "marks"))
+def x2(spark, d):
+    return marks_.autosave(marks_.without_repeats(view(spark, d, "marks"))).select("design_id", "saved_from", "saved_at", "n_marks", "last_idx")
