@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -255,36 +256,45 @@ def _encode(docs: DataFrame, model: Model, what, schema: str) -> DataFrame:
 
     def met(_: int, block: B.Block, said) -> pd.DataFrame:
         order, _ = _short_order(block)
-        ids: list[list[int] | None] = [None] * len(block.words)
-        masks = np.concatenate([B.unpack_ints(p, np.int64) for _, p in said]).tolist() if said else []
-        for i, mask in zip(order.tolist(), masks, strict=True):
-            mask >>= 1
-            ends, at = [], 1
-            while mask:
-                if mask & 1:
-                    ends.append(at)
-                mask >>= 1
-                at += 1
-            ids[i] = model.piece_ids(block.words[i].decode(), ends)
-        for i, x in enumerate(ids):
-            if x is None:
-                unit = block.words[i].decode()
-                ids[i] = model.piece_ids(unit, model.merge(unit))
-        return what(block, ids)
+        masks = np.concatenate([B.unpack_ints(p, np.int64) for _, p in said]) if said else np.zeros(0, np.int64)
+        return what(block, _unit_ids(block, model, order, masks))
 
     return B.meet(B.blocks(docs, units), replies, met, schema)
 
 
+def _unit_ids(block: B.Block, model: Model, order: np.ndarray, masks: np.ndarray) -> list[list[int]]:
+    """Ids of each unit: of those in order from their boundary bits, of the others by the heap."""
+    out: list[list[int]] = [[]] * len(block.words)
+    texts = [block.words[i].decode() for i in order.tolist()]
+    bits = np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, 1:]
+    unit, end = np.nonzero(bits)
+    end += 1
+    count = np.bincount(unit, minlength=len(order))
+    first = np.cumsum(count) - count
+    start = np.zeros_like(end)
+    start[1:] = np.where(unit[1:] == unit[:-1], end[:-1], 0)
+    known = {x: i for x, (i, _) in model.scores.items()}
+    found = [known.get(texts[u][a:b]) for u, a, b in zip(unit.tolist(), start.tolist(), end.tolist(), strict=True)]
+    for i, u, a, n in zip(order.tolist(), range(len(order)), first.tolist(), count.tolist(), strict=True):
+        ids = found[a : a + n]
+        out[i] = ids if None not in ids else model.piece_ids(texts[u], end[a : a + n].tolist())
+    for i in set(range(len(block.words))) - set(order.tolist()):
+        text = block.words[i].decode()
+        out[i] = model.piece_ids(text, model.merge(text))
+    return out
+
+
 def _by_document(block: B.Block, ids: list[list[int]]):
     """Each document's ids as an int32 array."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
     first = np.cumsum(sizes) - sizes
-    for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
-        own = block.tokens[a:b]
-        n = sizes[own]
-        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        yield flat[at]
+    n = sizes[block.tokens]
+    at = np.repeat(first[block.tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    pieces = flat[at]
+    ends = np.append(0, np.cumsum(n))[block.ends] if len(block.ids) else np.zeros(0, np.int64)
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+        yield pieces[a:b]
 
 
 def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -314,10 +324,12 @@ def digests(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def rows(block: B.Block, ids) -> pd.DataFrame:
         out = []
+        decoded = [b"".join([model.texts[i] for i in unit]) for unit in ids]
+        right = np.fromiter((a == b for a, b in zip(decoded, block.words, strict=True)), bool, len(decoded))
         for own, a, b in zip(_by_document(block, ids), block.starts.tolist(), block.ends.tolist(), strict=True):
-            text = b"".join([model.texts[i] for i in own.tolist()])[1:]
-            same = text == b"".join([block.words[i] for i in block.tokens[a:b].tolist()])[1:]
-            out.append((len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), same))
+            tokens = block.tokens[a:b]
+            text = b"".join([decoded[i] for i in tokens.tolist()])[1:]
+            out.append((len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), bool(right[tokens].all())))
         frame = pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "text_sha256", "round_trip"])
         frame.insert(0, "doc_id", B.id_column(block.ids))
         return frame
