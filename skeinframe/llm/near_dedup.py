@@ -10,9 +10,9 @@ shares would weigh less with every copy, and the group would fall below the thre
 2. For each other text and each sample k, ICWS draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from a shingle's hash, sets
    t = floor(ln w / r + beta) and keeps the smallest ln c - r (t - beta + 1). Two texts agree in a sample with the
    probability of their weighted Jaccard similarity.
-3. Samples are banded by `rows`. Texts that share a band are compared with its leader, a row each, never in all pairs; a
-   second key of each band (two samples more) does so once more among closer texts. The similarity is exact. Texts that
-   fail elect another leader among themselves, in every band whose leader found any.
+3. Samples are banded by `rows`. Texts that share a band are compared with its leader, a row each; a second key of each
+   band (two samples more) does so once more among closer texts. The similarity is exact. Then bands go on, with more
+   leaders a round, until none holds two texts of different classes that were not compared or ruled out by a bound.
 4. Verified links become classes by alternating star contractions, over tables in the shared folder.
 
 Cases. Null or wordless text: a class of its own. Null doc_id: null class, never a duplicate. Rows that share a doc_id
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -90,7 +90,7 @@ def samples(keys: np.ndarray, log_w: np.ndarray, starts: np.ndarray, count: int)
 
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
-    """Two keys a band: its rows, and these with two samples of the next band."""
+    """Two keys a band: its rows (even), and these with two samples of the next band (odd)."""
     n, count = values.shape
     bits = np.ascontiguousarray(values).view(np.uint32).astype(U64)
     keys = []
@@ -99,7 +99,7 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
             key = np.full(n, U64(2 * band + (extra > 0) + 1))
             for j in range(rows + extra):
                 key = B.mix(key * U64(0x9E3779B97F4A7C15) + bits[:, (band * rows + j) % count])
-            keys.append(key)
+            keys.append((key & ~U64(1)) | U64(extra > 0))
     return np.stack(keys, axis=1).view(np.int64)
 
 
@@ -263,37 +263,74 @@ def similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def links(texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified (doc_id, other), other the smaller: enough of them to connect what shares a band. texts: rows of TEXT.
+#: Texts of a band, outside its largest class, that are compared with all its others in the first round; times GROWTH in each next one.
+LEADERS = 32
+GROWTH = 8
+
 
-    A band's texts are compared with its leader, the one that shares bands with most others (what all its near copies
-    were made from, if it is there). Those that fail elect a new leader among themselves, as long as leaders find any.
+def links(texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, other): other is the smallest id of the class that doc_id is linked to. texts: rows of TEXT.
+
+    First each band's texts are compared with its leader, the one that shares bands with most others (what all its near
+    copies were made from, if it is there). Then bands whose texts are of several classes go on: texts outside a band's
+    largest class are compared with all its texts of other classes and leave it, until it holds one class. So of any two
+    texts that share a band, both are in one class, or they were compared, or a bound rules them out: similarity is at
+    most the ratio of total weights, and 1 - similarity is a metric, so two texts differ by no less than their
+    differences from the leader do.
     """
     similarity = F.pandas_udf(similarities, "double")
     vectors = texts.where("vector IS NOT NULL").select("doc_id", "weight", "vector")
     first, second = (vectors.select(F.col("doc_id").alias(n), F.col("weight").alias(f"{n}_weight"), F.col("vector").alias(f"{n}_vector")) for n in ("doc_id", "other"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(doc_id, other, s) of pairs; without those whose total weights differ by more than the threshold."""
+        both = pairs.distinct().join(first, "doc_id").join(second, "other")
+        both = both.where(F.least("doc_id_weight", "other_weight") >= threshold * F.greatest("doc_id_weight", "other_weight"))
+        return cut(both.select("doc_id", "other", similarity("doc_id_vector", "other_vector").alias("s")))
+
+    def pair(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("doc_id"), F.least(a, b).alias("other")]
+
     members = texts.select("doc_id", F.explode("keys").alias("key")).distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    members = cut(members.join(degree, "doc_id"))
-    found = None
+    # a doc_id with several texts has a range of weights, and no one difference from a leader
+    weights = vectors.groupBy("doc_id").agg(F.min("weight").alias("light"), F.max("weight").alias("heavy"), (F.count("*") == 1).alias("one"))
+    members = cut(members.join(degree.join(weights, "doc_id"), "doc_id"))
+    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "heavy", "one")).alias("b")
+    leaders = members.groupBy("key").agg(best, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("b.minus")).alias("leader"), F.col("b.heavy").alias("leader_weight"), (F.col("b.one")).alias("leader_one"))
+    tries = cut(members.join(leaders, "key"))
+    scored = compared(tries.where("doc_id <> leader").select(*pair("doc_id", "leader")))
+    named = components(scored.where(F.col("s") >= threshold).select("doc_id", "other"))
+
+    told = scored.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.max("s").alias("s"))
+    told = tries.join(told, (F.greatest("doc_id", "leader") == F.col("a")) & (F.least("doc_id", "leader") == F.col("b")), "left")
+    exact = F.col("one") & F.col("leader_one")
+    most = F.least("heavy", "leader_weight") / F.greatest("heavy", "leader_weight")
+    near = F.when(~exact, 0.0).when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", most))
+    far = F.when(~exact, 1.0).when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0)))
+    # texts that share a second key share the first one too
+    members = cut(told.where("key & 1 = 0").select("doc_id", "key", "light", "heavy", near.alias("near"), far.alias("far")))
+    several = LEADERS
     while True:
-        best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("b")
-        leaders = members.groupBy("key").agg(best, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("b.minus")).alias("leader"))
-        tries = cut(members.join(leaders, "key").where("doc_id <> leader"))
-        if tries.isEmpty():
-            break
-        pair = [F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("other")]
-        both = tries.select(*pair).distinct().join(first, "doc_id").join(second, "other")
-        # no pair is similar enough whose total weights differ by more than the threshold
-        both = both.where(F.least("doc_id_weight", "other_weight") >= threshold * F.greatest("doc_id_weight", "other_weight"))
-        new = cut(both.select("doc_id", "other", similarity("doc_id_vector", "other_vector").alias("s")).where(F.col("s") >= threshold).select("doc_id", "other"))
-        found = new if found is None else found.unionByName(new)
-        same = new.select(F.col("doc_id").alias("a"), F.col("other").alias("b"), F.lit(True).alias("same"))
-        told = tries.join(same, (F.greatest("doc_id", "leader") == F.col("a")) & (F.least("doc_id", "leader") == F.col("b")), "left")
-        going = told.where("same").select("key").distinct()
-        members = cut(told.where("same IS NULL").select("doc_id", "key", "degree").join(going, "key", "left_semi"))
-    return found if found is not None else texts.where("false").select("doc_id", F.col("original").alias("other"))
+        own = cut(members.join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+        sizes = own.groupBy("key", "class_id").agg(F.count("*").alias("n"))
+        bands = sizes.groupBy("key").agg(F.max(F.struct("n", "class_id")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+        own = own.join(bands.select("key", F.col("most.class_id").alias("largest"), (F.col("n") - F.col("most.n")).alias("outside")), "key")
+        leads = (F.col("class_id") != F.col("largest")) & (F.pmod(F.xxhash64("doc_id", "key", F.lit(several)), F.col("outside")) < several)
+        own = cut(own.withColumn("leads", leads).drop("largest", "outside"))
+        if own.isEmpty():
+            return named.select("doc_id", F.col("class_id").alias("other"))
+        x, y = own.where("leads").alias("x"), own.alias("y")
+        able = (F.col("x.heavy") >= threshold * F.col("y.light")) & (F.col("y.heavy") >= threshold * F.col("x.light"))
+        able &= (F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far")) <= 1 - threshold + 1e-9)
+        once = ~F.col("y.leads") | (F.col("x.doc_id") < F.col("y.doc_id"))
+        tries = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") != F.col("y.class_id")) & once & able).select(*pair("x.doc_id", "y.doc_id"))
+        new = compared(tries).where(F.col("s") >= threshold).select("doc_id", "other")
+        if not new.isEmpty():
+            named = components(named.select("doc_id", F.col("class_id").alias("other")).unionByName(new))
+        members = cut(own.where("NOT leads").select("doc_id", "key", "light", "heavy", "near", "far"))
+        several *= GROWTH
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -319,7 +356,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 9, rows: int = 4) -> DataFrame:
     """(doc_id, class_id) for each document: class_id is the smallest doc_id of its near-duplicates."""
     texts = cut(prepared(only(docs, doc_id="long", text="string"), bands, rows))
-    named = components(links(texts, threshold)).select(F.col("doc_id").alias("original"), "class_id")
+    named = links(texts, threshold).select(F.col("doc_id").alias("original"), F.col("other").alias("class_id"))
     return texts.select("doc_id", "original").join(named, "original", "left").select("doc_id", F.coalesce("class_id", "original").alias("class_id"))
 
 

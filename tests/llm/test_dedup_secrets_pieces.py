@@ -87,6 +87,28 @@ def test_near_dedup(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(i for i, _ in rows if i is None or got[i] == i)
 
 
+def text_rows(spark, texts):
+    """Rows of near_dedup.TEXT from {doc_id: (keys, elements)}, each element of weight 1."""
+    rows = []
+    for i, (keys, elements) in texts.items():
+        key = np.array(sorted(elements), np.uint64) << np.uint64(32)
+        rows.append((i, i, keys, len(key), near_dedup.pack_vector(key, np.ones(len(key), np.uint32))))
+    return spark.createDataFrame(rows, near_dedup.TEXT).repartition(3)
+
+
+def joined(spark, texts):
+    found = near_dedup.components(near_dedup.links(text_rows(spark, texts), 0.8)).collect()
+    return {r.doc_id: r.class_id for r in found}
+
+
+def test_links_of_a_text_like_a_matched_one_only(spark):
+    """A (1) is like leader L (0), B (2) like A but not like L; the leader shares most bands."""
+    leader, a, b = set(range(1, 101)), set(range(11, 111)), set(range(21, 121))
+    assert len(leader & a) / len(leader | a) >= 0.8 > len(leader & b) / len(leader | b)
+    texts = {0: ([10, 20, 30], leader), 1: ([10], a), 2: ([10], b)} | {k: ([20, 30], set(range(1000 * k, 1000 * k + 100))) for k in range(3, 6)}
+    assert joined(spark, texts) == {1: 0, 2: 0}
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.classes(table(spark, [(1, "x")]).where("false")).count() == 0
     assert near_dedup.classes(table(spark, [(1, None), (2, "")])).count() == 2
