@@ -109,6 +109,13 @@ def test_links_of_a_text_like_a_matched_one_only(spark):
     assert joined(spark, texts) == {1: 0, 2: 0}
 
 
+def test_links_under_a_leader_unlike_both(spark):
+    """Hub 0 shares most bands and leads the one of A (1) and B (2), which are like each other."""
+    a, b = set(range(1, 101)), set(range(6, 106))
+    texts = {0: ([10, 20, 30], set(range(500, 600))), 1: ([10], a), 2: ([10], b)} | {k: ([20, 30], set(range(1000 * k, 1000 * k + 100))) for k in range(3, 6)}
+    assert joined(spark, texts) == {2: 1}
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.classes(table(spark, [(1, "x")]).where("false")).count() == 0
     assert near_dedup.classes(table(spark, [(1, None), (2, "")])).count() == 2
