@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -116,6 +117,39 @@ def test_links_under_a_leader_unlike_both(spark):
     assert joined(spark, texts) == {2: 1}
 
 
+def drifting(seed=11, n=240):
+    """A chain, each text the one before with a few words changed, and texts that drift from one base each in their own way."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    chain = [[word() for _ in range(120)]]
+    for _ in range(n - 1):
+        w = list(chain[-1])
+        for _ in range(2):
+            w[r.randrange(len(w))] = word()
+        chain.append(w)
+    base = [word() for _ in range(120)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = word()
+        chain.append(w)
+    ids = list(range(2 * n))
+    r.shuffle(ids)
+    return [(i, " ".join(w)) for i, w in zip(ids, chain, strict=True)]
+
+
+def test_near_dedup_at_its_defaults(spark):
+    assert inspect.signature(near_dedup.classes).parameters["bands"].default >= 12
+    rows = near_corpus() + [(i + 1000, t) for i, t in drifting()]
+    docs = table(spark, rows)
+    want, _ = expected_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect() if r.doc_id is not None}
+    missed = [i for i in want if want[i] != got[i]]
+    assert not missed, missed
+    left = Counter(r.doc_id for r in near_dedup.one_of_each(docs).collect())
+    assert left == Counter(i for i, _ in rows if i is None or want[i] == i)
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.classes(table(spark, [(1, "x")]).where("false")).count() == 0
     assert near_dedup.classes(table(spark, [(1, None), (2, "")])).count() == 2
