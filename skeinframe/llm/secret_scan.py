@@ -9,9 +9,9 @@ independent": chi-squared over the alphabet, z_c = (X2 - (k-1)) / sqrt(2 (k-1) (
 runs of the upper and lower half, z_r; serial correlation at lag one, z_s. The statistic is the root of the sum of their
 squares: small for random strings, large for words, paths and counters.
 
-False discoveries. What ordinary text scores is taken from the corpus: every document gives one stretch of its letters
-and digits, at a hashed place, for each length class, and so each class has its own null distribution that grows with
-the input. A candidate's p-value is the share of its class's null at or below its statistic, weighted by length
+False discoveries. What ordinary text scores is taken from the corpus: every distinct text, without pattern spans and
+candidates, gives all stretches of its letters and digits for each length class, end to end, and so each class has its
+own null distribution that grows with the input. Copies count once. A candidate's p-value is the share of its class's null at or below its statistic, weighted by length
 (longer strings tell more). Benjamini-Hochberg over all candidates at level `fdr` sets one cutoff a class. Statistics
 are counted in steps of 1/8, rounded against the candidate, so only (class, step) counts are shuffled.
 
@@ -162,16 +162,15 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def null_steps(docs: DataFrame) -> DataFrame:
-    """(cls, step) of ordinary text: for each document and class one stretch of its letters and digits."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    longest = 4 * CLASSES[-1]
-    at = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - longest, F.lit(1))).cast("int") + 1
-    rows = docs.select(F.regexp_replace(F.substr(text, at, F.lit(longest)), "[^A-Za-z0-9]", "").alias("t"))
-    tokens = F.filter(F.transform(F.array(*map(F.lit, CLASSES)), lambda n: F.when(F.length("t") >= n, F.substr(F.col("t"), F.lit(1), n)).otherwise(F.lit(""))), lambda s: s != "")
-    rows = rows.select(tokens.alias("tokens"))
-    rows = rows.select(F.transform("tokens", codes).alias("coded"))
-    rows = rows.select(F.transform("coded", battery).alias("tested"))
-    return rows.select(F.explode_outer(F.transform("tested", lambda b: F.struct(class_of(b["n"]).alias("cls"), step_of(statistic(b)).alias("step")))).alias("x")).where("x IS NOT NULL").select("x.cls", "x.step")
+    """(cls, step) of ordinary text: for each distinct text and class all stretches of its letters and digits."""
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
+    # pattern spans and candidates are what is tested
+    plain = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), CANDIDATE, " ")
+    rows = rows.select(F.regexp_replace(plain, "[^A-Za-z0-9]", "").alias("t"))
+    rows = rows.select(F.explode(F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(f".{{{n}}}"), F.lit(0)) for n in CLASSES]))).alias("token"))
+    rows = rows.select(codes(F.col("token")).alias("coded"))
+    rows = rows.select(battery(F.col("coded")).alias("b"))
+    return rows.select(class_of(F.col("b")["n"]).alias("cls"), step_of(statistic(F.col("b"))).alias("step"))
 
 
 def cutoffs(found: DataFrame, docs: DataFrame, fdr: float) -> dict[int, int]:

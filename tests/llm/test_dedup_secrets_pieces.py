@@ -227,6 +227,24 @@ def test_secret_scan(spark):
     assert sum(c.isalpha() for c in caught) <= 0.05 * len(caught) + 1  # made of words; hex of 20 to 23 is random too
 
 
+def test_null_has_every_stretch_of_distinct_texts(spark):
+    rows, _ = secret_corpus()
+    plain = [re.sub("[^A-Za-z0-9]", "", re.sub(secret_scan.CANDIDATE, " ", re.sub(BASE[0][1], " ", t))) for t in {t or "" for _, t in rows}]
+    want = Counter({k: sum(len(t) // n for t in plain) for k, n in enumerate(secret_scan.CLASSES)})
+    copies = [(5000 + i, rows[0][1]) for i in range(200)]
+    got = secret_scan.null_steps(table(spark, rows + copies)).groupBy("cls").count().collect()
+    assert Counter({r.cls: r["count"] for r in got}) == want
+
+
+def test_secret_scan_at_its_default_fdr(spark):
+    rows, planted = secret_corpus()
+    found = secret_scan.scan(table(spark, rows)).collect()
+    texts = dict(rows)
+    caught = {texts[r.doc_id][a:b] for r in found for s in r.spans.split(",") if s.startswith("random") for a, b in [map(int, s.split(":")[1:])]}
+    assert sum(any(k in c or c in k for c in caught) for k in planted.values()) >= 0.9 * len(planted)
+    assert sum(c.isalpha() for c in caught) <= 0.05 * len(caught) + 1
+
+
 def test_redact(spark):
     rows, _ = secret_corpus()
     docs = table(spark, rows)
