@@ -43,6 +43,8 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 CRLF = b"\r\n"
 #: Bytes of an archive that one group of range reads covers.
 STRETCH = 32 << 20
+#: Records this close are fetched by one range read, of about so many bytes.
+GAP, READ = 1 << 16, 4 << 20
 
 
 def url_key(url: F.Column) -> F.Column:
@@ -84,8 +86,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in head.items()) + CRLF + block + CRLF + CRLF
 
 
-def parse_record(data: bytes) -> tuple:
-    """A row of RECORD from a record's bytes; digest and length of a response are taken from its payload anew."""
+def parse_record(data: bytes, keep: bool = True) -> tuple:
+    """A row of RECORD from a record's bytes; digest and length of a response are taken from its payload anew.
+
+    keep=False leaves out the payload itself.
+    """
     head, _, rest = data.partition(CRLF + CRLF)
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -98,7 +103,7 @@ def parse_record(data: bytes) -> tuple:
     digest = hashlib.sha256(payload).hexdigest()
     if field["WARC-Payload-Digest"] != f"sha256:{digest}":
         raise ValueError(f"payload of page {field['WARC-Record-ID']} doesn't fit its digest")
-    return id_("WARC-Record-ID"), field["WARC-Target-URI"], len(payload), digest, "response", None, payload
+    return id_("WARC-Record-ID"), field["WARC-Target-URI"], len(payload), digest, "response", None, payload if keep else None
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -192,28 +197,27 @@ class _Index:
         self.names, self.first = [s for s, _ in shards], [k for _, k in shards]
         self.shard, self.directory, self.keys, self.at, self.lines = None, [], [], None, []
 
-    def _block(self, shard: int, number: int) -> bool:
+    def _shard(self, shard: int) -> None:
         if self.shard != shard:
-            text = self.system.open_input_stream(f"{self.path}/{self.names[shard]}.directory", compression=None).read().decode()
-            self.directory = [line.split("\t") for line in text.split("\n")]
+            with self.system.open_input_stream(f"{self.path}/{self.names[shard]}.directory", compression=None) as f:
+                self.directory = [line.split("\t") for line in f.read().decode().split("\n")]
             self.keys, self.shard, self.at = [d[0] for d in self.directory], shard, None
-        if number >= len(self.directory):
-            return False
+
+    def _block(self, number: int) -> None:
         if self.at != number:
             _, offset, length = self.directory[number]
-            with self.system.open_input_file(f"{self.path}/{self.names[shard]}.gz") as f:
+            with self.system.open_input_file(f"{self.path}/{self.names[self.shard]}.gz") as f:
                 self.lines = [line.split("\t") for line in gzip.decompress(f.read_at(int(length), int(offset))).decode().split("\n")]
             self.at = number
-        return True
 
     def find(self, key: str) -> Iterator[tuple[str, int, int]]:
         """(archive, offset, length) of each capture with this key, wherever the blocks and shards were cut."""
         shard = max(0, bisect.bisect_left(self.first, key) - 1)
         while shard < len(self.names) and (self.first[shard] <= key or shard == 0):
-            self._block(shard, 0)
+            self._shard(shard)
             number = max(0, bisect.bisect_left(self.keys, key) - 1)
             while number < len(self.directory) and self.keys[number] <= key:
-                self._block(shard, number)
+                self._block(number)
                 i = bisect.bisect_left(self.lines, [key])
                 while i < len(self.lines) and self.lines[i][0] == key:
                     _, archive, offset, length = self.lines[i]
@@ -240,6 +244,16 @@ def lookup(keys: DataFrame, folder: str, shards: DataFrame, tasks: int) -> DataF
     return keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInPandas(find, "archive string, offset long, length long")
 
 
+def _runs(archives: list[str], offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches from..to of records, sorted by place, that one range read fetches."""
+    first = 0
+    for i in range(1, len(offsets) + 1):
+        near = i < len(offsets) and archives[i] == archives[first] and offsets[i] <= offsets[i - 1] + lengths[i - 1] + GAP and offsets[i] - offsets[first] < READ
+        if not near:
+            yield first, i
+            first = i
+
+
 def read_records(places: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """Rows of RECORD at the given places, by range reads in order within stretches of an archive."""
 
@@ -248,19 +262,16 @@ def read_records(places: DataFrame, folder: str, payload: bool = True) -> DataFr
         file, name = None, ""
         try:
             for pdf in batches:
-                rows = []
-                for archive, offset, length in zip(pdf.archive, pdf.offset, pdf.length, strict=True):
-                    if archive != name:
+                archives, offsets, lengths = pdf.archive.tolist(), pdf.offset.tolist(), pdf.length.tolist()
+                for a, b in _runs(archives, offsets, lengths) if len(pdf) else ():
+                    if archives[a] != name:
                         if file is not None:
                             file.close()
-                        file, name = system.open_input_file(f"{path}/{archive}"), archive
-                    record = parse_record(zlib.decompress(file.read_at(length, offset), wbits=31))
-                    rows.append(record if payload else (*record[:-1], None))
-                    if len(rows) == 500:
-                        yield _frame(rows, _names(RECORD))
-                        rows = []
-                if rows:
-                    yield _frame(rows, _names(RECORD))
+                        file, name = system.open_input_file(f"{path}/{archives[a]}"), archives[a]
+                    data = memoryview(file.read_at(offsets[b - 1] + lengths[b - 1] - offsets[a], offsets[a]))
+                    rows = [parse_record(zlib.decompress(data[offsets[i] - offsets[a] : offsets[i] - offsets[a] + lengths[i]], wbits=31), payload) for i in range(a, b)]
+                    for i in range(0, len(rows), 500):
+                        yield _frame(rows[i : i + 500], _names(RECORD))
         finally:
             if file is not None:
                 file.close()
