@@ -16,6 +16,7 @@ DERIVED_RATES = {12: 1.2, 14: 1.44}
 FALLBACK_RATE = 1.75
 SAFETY_RATE = 2.0
 
+# Units of stash lines.
 UNITS = ("skein", "card", "hank", "spool")
 
 

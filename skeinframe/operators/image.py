@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skeinframe.functions import labmath
 from skeinframe.functions.color import is_plain_white, lab_chroma, lab_dist_sq, lab_hue, rgb_to_lab, with_ciede2000
-from skeinframe.operators.quality import cell_of
+from skeinframe.operators.quality import cell_of, in_windows
 from skeinframe.operators.regions import label_regions
 
 CLUSTER = "image_id long, cluster_id int, r int, g int, b int, population long, protected boolean"
@@ -30,35 +30,45 @@ def box_average(pixels: DataFrame, grid_w: int, grid_h: int, src_w: int, src_h:
 
 
 def nearest_cluster(pixels: DataFrame, clusters: DataFrame, white: int = 244) -> DataFrame:
-    """(image_id, r, g, b, cluster_id) of distinct colours: -1 for plain white, else the nearest by squared RGB distance.
+    """(image_id, r, g, b, cluster_id) of distinct colours: -1 for plain white, else the nearest by squared Lab distance.
 
     Colours are matched once an image, not once a pixel; ties go to the lower cluster_id.
     """
     colours = pixels.select("image_id", "r", "g", "b").distinct()
-    fixed = clusters.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "r", "g", "b"))).alias("clusters"))
-    rows = colours.join(fixed, "image_id", "left")
-    square = lambda c, k: (F.col(k) - c[k]) * (F.col(k) - c[k])
-    best = F.array_min(F.transform("clusters", lambda c: F.struct((square(c, "r") + square(c, "g") + square(c, "b")).alias("d"), c["cluster_id"].alias("id"))))
+    lab = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    fixed = clusters.withColumn("lab", lab).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "lab"))).alias("clusters"))
+    rows = colours.withColumn("lab", lab).join(fixed, "image_id", "left")
+    best = F.array_min(F.transform("clusters", lambda c: F.struct(lab_dist_sq(F.col("lab"), c["lab"]).alias("d"), c["cluster_id"].alias("id"))))
     return rows.select("image_id", "r", "g", "b", F.when(is_plain_white(F.col("r"), F.col("g"), F.col("b"), white), F.lit(-1)).otherwise(F.coalesce(best["id"], F.lit(-1))).alias("cluster_id"))
 
 
-def vote_cells(pixels: DataFrame, clusters: DataFrame, threads: DataFrame, background: str, grid_w: int, grid_h: int, src_w: int, src_h: int, dark: float = 0.05) -> DataFrame:
+def vote_cells(pixels: DataFrame, clusters: DataFrame, threads: DataFrame, background: str, grid_w: int, grid_h: int, src_w: int, src_h: int, dark: float = 0.05, fitted: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(image_id, y, x, code): the majority thread of each cell's pixels.
 
     threads (image_id, cluster_id, code). Ties go to the first pixel. Where the background wins but 5 % of the pixels are
-    dark (channel sum under 350), the commonest dark thread wins unless it is the background.
+    dark (channel sum under 350), the commonest dark thread wins unless it is the background; ties go to the thread whose
+    first dark pixel comes first. Windows are mirror-exact. fitted: (x, y, width, height) of the cells that the image
+    covers, by default all; cells around it are background.
     """
     named = nearest_cluster(pixels, clusters).join(threads.select("image_id", "cluster_id", "code"), ["image_id", "cluster_id"], "left")
     named = named.select("image_id", "r", "g", "b", F.coalesce("code", F.lit(background)).alias("code"))
-    cy, cx = cell_of(grid_w, grid_h, src_w, src_h)
-    rows = pixels.join(named, ["image_id", "r", "g", "b"]).select("image_id", cy.alias("cy"), cx.alias("cx"), "code", (F.col("y").cast("long") * src_w + F.col("x")).alias("at"), ((F.col("r") + F.col("g") + F.col("b")) < 350).alias("dark"))
-    counts = rows.groupBy("image_id", "cy", "cx", "code").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.count_if("dark").alias("n_dark"))
+    ox, oy, rw, rh = fitted or (0, 0, grid_w, grid_h)
+    rows = in_windows(pixels.select("image_id", "y", "x", "r", "g", "b").join(named, ["image_id", "r", "g", "b"]), rw, rh, src_w, src_h, mirror=True)
+    rows = rows.select("image_id", (F.col("cy") + oy).alias("cy"), (F.col("cx") + ox).alias("cx"), "code", (F.col("y").cast("long") * src_w + F.col("x")).alias("at"), ((F.col("r") + F.col("g") + F.col("b")) < 350).alias("dark"))
+    counts = rows.groupBy("image_id", "cy", "cx", "code").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.count_if("dark").alias("n_dark"), F.min(F.when(F.col("dark"), F.col("at"))).alias("first_dark"))
     cells = counts.groupBy("image_id", "cy", "cx").agg(
         F.max_by("code", F.struct("n", -F.col("first"))).alias("top"), F.sum("n").alias("n"), F.sum("n_dark").alias("n_dark"),
-        F.max(F.struct(F.col("n_dark").alias("k"), (-F.col("first")).alias("f"), "code")).alias("darkest"),
+        F.max(F.struct(F.col("n_dark").alias("k"), (-F.col("first_dark")).alias("f"), "code")).alias("darkest"),
     )
     lifted = (F.col("top") == background) & (F.col("n_dark") >= dark * F.col("n")) & (F.col("n_dark") > 0) & (F.col("darkest.code") != background)
-    return cells.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"), F.when(lifted, F.col("darkest.code")).otherwise(F.col("top")).alias("code"))
+    voted = cells.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x"), F.when(lifted, F.col("darkest.code")).otherwise(F.col("top")).alias("code"))
+    if fitted is None:
+        return voted
+    every = pixels.select("image_id").distinct()
+    for axis, n in (("y", grid_h), ("x", grid_w)):
+        every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(axis))
+    around = every.where(~(F.col("x").between(ox, ox + rw - 1) & F.col("y").between(oy, oy + rh - 1)))
+    return voted.unionByName(around.withColumn("code", F.lit(background)))
 
 
 def limit_palette(usage: DataFrame, palette: DataFrame, max_colours: int, protected: list[int] = ()) -> DataFrame:
@@ -193,30 +203,43 @@ def _representative(box: np.ndarray, fusion: float = 12.0, near: float = 6.0) ->
     return np.floor(best.mean(axis=0) + 0.5)
 
 
-def derive_clusters(pixels: DataFrame, target: int, sample: int = 24_000, skip_white: int | None = None) -> DataFrame:
-    """Rows of CLUSTER: reserved vivid colours (by 60 degree hue buckets), then a median cut of the other pixels.
+def derive_clusters(pixels: DataFrame, target: int, sample: int = 24_000, skip_white: int | None = None, flat: str | None = None) -> DataFrame:
+    """Rows of CLUSTER: reserved vivid colours (by 60 degree hue buckets) and neutral tones, then a median cut of the rest.
 
     Pixels are sampled by stride in Spark before they reach Python: at most `sample` an image, a size of the method
-    itself. Vivid: chroma at or over the image's 80th percentile and 20.
+    itself. flat: a boolean column; only its pixels count where they are 200 and 5 % of the sample at least. Vivid: chroma
+    at or over the image's 80th percentile and 20, for at most a third of the target. Neutral: of bands of 18 L with
+    chroma up to 6, 20 pixels and 0.15 %, the darkest and the largest other one. An image of skipped white only has one
+    white cluster.
     """
     n = F.count("*").over(Window.partitionBy("image_id"))
     rows = pixels.withColumn("stride", F.greatest(F.lit(1), F.ceil(n / sample))).where(F.col("idx") % F.col("stride") == 0)
-    if skip_white is not None:
-        rows = rows.where(~is_plain_white(F.col("r"), F.col("g"), F.col("b"), skip_white))
+    white = F.lit(False) if skip_white is None else is_plain_white(F.col("r"), F.col("g"), F.col("b"), skip_white)
+    rows = rows.withColumns({"skipped": white, "plain": F.lit(True) if flat is None else F.coalesce(F.col(flat), F.lit(False))})
+
+    def neutral_bands(lab: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
+        """Masks of the darkest and the largest other band of neutral tones."""
+        band = np.where(free & (np.hypot(lab[:, 1], lab[:, 2]) <= 6), np.floor(lab[:, 0] / 18), -1)
+        viable = [m for b in np.unique(band[band >= 0]) if (m := band == b).sum() >= max(20, 0.0015 * len(lab))]
+        return viable[:1] + sorted(viable[1:], key=lambda m: -m.sum())[:1] if len(lab) >= 50 else []
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb = pdf.sort_values("idx")[["r", "g", "b"]].to_numpy(np.int64)
+        pdf = pdf.sort_values("idx")
+        own = pdf[~pdf.skipped]
+        chosen = own[own.plain] if own.plain.sum() >= max(200, 0.05 * len(own)) else own
+        rgb = chosen[["r", "g", "b"]].to_numpy(np.int64) if len(chosen) else np.array([[255, 255, 255]])
         lab = labmath.rgb_to_lab(rgb)
         chroma = np.hypot(lab[:, 1], lab[:, 2])
         vivid = (chroma >= np.sort(chroma)[min(len(chroma) - 1, int(0.8 * len(chroma)))]) & (chroma >= 20)
         bucket = (np.degrees(np.arctan2(lab[:, 2], lab[:, 1])) % 360 // 60).astype(int)
         groups = [(vivid & (bucket == h)) for h in range(6)]
-        groups = [g for g in groups if g.sum() >= max(4, 0.002 * len(rgb))][: max(0, target - 1)]
+        groups = [g for g in groups if g.sum() >= max(4, 0.002 * len(rgb))][: max(1, target // 3)]
+        groups += neutral_bands(lab, ~np.any(groups, axis=0) if groups else np.ones(len(rgb), bool))
         rest = ~np.any(groups, axis=0) if groups else np.ones(len(rgb), bool)
         out = [(rgb[g], True) for g in groups] + [(b, False) for b in _median_cut(rgb[rest], max(1, target - len(groups)))]
         return pd.DataFrame([(pdf.image_id.iloc[0], i, *map(int, _representative(b)), len(b), p) for i, (b, p) in enumerate(out)], columns=["image_id", "cluster_id", "r", "g", "b", "population", "protected"])
 
-    return rows.select("image_id", "idx", "r", "g", "b").groupBy("image_id").applyInPandas(cut, CLUSTER)
+    return rows.select("image_id", "idx", "r", "g", "b", "skipped", "plain").groupBy("image_id").applyInPandas(cut, CLUSTER)
 
 
 def merge_clusters(clusters: DataFrame, threshold: float, ceiling: int, patches: DataFrame | None = None) -> DataFrame:
@@ -264,17 +287,19 @@ def merge_clusters(clusters: DataFrame, threshold: float, ceiling: int, patches:
     return rows.groupBy("image_id").applyInPandas(merge, CLUSTER)
 
 
-def natural_colour_count(pixels: DataFrame, distance: int = 40, sample: int = 40_000, most: int = 300) -> DataFrame:
+def natural_colour_count(pixels: DataFrame, distance: int = 40, sample: int = 40_000, most: int = 300, flat: str | None = None) -> DataFrame:
     """(image_id, colours): groups of samples within an L1 distance of a group's first one, in pixel order.
 
     Groups of 6 samples and over 0.1 % count; at least 2, or 3 without samples. Past `most` groups a sample joins the
-    nearest, as the method has it; samples are taken by stride in Spark.
+    nearest, as the method has it; samples are taken by stride in Spark. flat: a boolean column, other pixels don't count.
     """
     n = F.count("*").over(Window.partitionBy("image_id"))
     rows = pixels.withColumn("stride", F.greatest(F.lit(1), F.ceil(n / sample))).where(F.col("idx") % F.col("stride") == 0)
 
+    rows = rows.withColumn("plain", F.lit(True) if flat is None else F.coalesce(F.col(flat), F.lit(False)))
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb = pdf.sort_values("idx")[["r", "g", "b"]].to_numpy(np.int64)
+        rgb = pdf[pdf.plain].sort_values("idx")[["r", "g", "b"]].to_numpy(np.int64)
         rest, sizes, heads = rgb, [], []
         while len(rest) and len(heads) < most:  # the first one left founds a group; all within reach of it join
             near = np.abs(rest - rest[0]).sum(axis=1) <= distance
@@ -287,7 +312,7 @@ def natural_colour_count(pixels: DataFrame, distance: int = 40, sample: int = 40
         found = max(2, sum(s >= 6 and s / total > 0.001 for s in sizes)) if total else 3
         return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "colours": [found]})
 
-    return rows.select("image_id", "idx", "r", "g", "b").groupBy("image_id").applyInPandas(count, "image_id long, colours int")
+    return rows.select("image_id", "idx", "r", "g", "b", "plain").groupBy("image_id").applyInPandas(count, "image_id long, colours int")
 
 
 def colour_budget(kind: Column, whole: Column, flat: Column, max_colours: int, multiplier: float = 2.0, requested: int | None = None) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinframe.functions import labmath
 from skeinframe.functions.color import lab_chroma, lab_hue, rgb_to_lab, weighted_lab_distance, with_ciede2000
 from skeinframe.operators.threads import small
 
@@ -61,21 +62,28 @@ def nearest_neighbours(palette: DataFrame) -> DataFrame:
     return best.select("brand", F.col("code_a").alias("code"), F.col("n.code_b").alias("nearest"), F.col("n.de").alias("de"))
 
 
+#: A palette that is sent to tasks whole has at most so many threads.
+MOST_THREADS = 50_000
+
+
 def match_family_shade(clusters: DataFrame, threads: DataFrame, budget: int = 48) -> DataFrame:
     """(image_id, cluster_id, code): a thread for each cluster, family first, then shade.
 
     clusters (image_id, cluster_id, r, g, b, population, protected). Family: least hue difference plus 0.35 of the chroma
     difference; for greys (chroma under 3.5) families of mean chroma up to 8, by twice the chroma difference; 25 more if
-    L lies over 14 outside the family's range. Shade: dL^2 + 0.25 dC^2, unused ones first. A cluster under 150 pixels gets
-    no thread of its own unless near-white, protected, or of 24 pixels and 25 from all chosen; nor one over the budget.
-    The used set makes it sequential: one numpy call an image, of at most a few dozen rows.
+    L lies over 14 outside the family's range. Shade: dL^2 + 0.25 dC^2, unused ones first; where no family fits, the
+    nearest thread by the weighted distance. A cluster under 150 pixels gets no thread of its own unless near-white,
+    protected, or of 24 pixels and 25 in CIEDE2000 from all chosen; nor one over the budget. It takes the nearest of the
+    whole palette, which does not count as chosen. The used set makes it sequential: one numpy call an image, of at most a
+    few dozen rows.
     """
     fields = ["pos", "code", "family", "l", "a", "b2", "r", "g", "b"]
     table = with_lab(threads).select("pos", "code", "family", F.col("lab.l").alias("l"), F.col("lab.a").alias("a"), F.col("lab.b").alias("b2"), "r", "g", "b")
-    folded = table.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("threads"))
+    if table.limit(MOST_THREADS + 1).count() > MOST_THREADS:
+        raise ValueError(f"over {MOST_THREADS} threads; the palette goes to every task")
     rows = with_lab(clusters).withColumns({"c": lab_chroma(F.col("lab")), "h": lab_hue(F.col("lab"))})
     rows = rows.select("image_id", "cluster_id", "r", "g", "b", "population", "protected", F.col("lab.l").alias("l"), F.col("lab.a").alias("a"), F.col("lab.b").alias("b2"), "c", "h")
-    palette = pd.DataFrame([x.asDict() for x in folded.first().threads])  # a palette: a few hundred rows
+    palette = table.select(*fields).orderBy("pos").toPandas()  # MOST_THREADS rows at most
 
     def per_image(pdf: pd.DataFrame) -> pd.DataFrame:
         return assign_shades(pdf, palette, budget)
@@ -96,11 +104,19 @@ def assign_shades(pdf: pd.DataFrame, palette: pd.DataFrame, budget: int) -> pd.D
         hue = np.degrees(np.arctan2((vivid.b2 / vivid.c).sum(), (vivid.a / vivid.c).sum())) % 360 if len(vivid) else None
         families[name] = (hue, f.c.mean(), f.l.min(), f.l.max())
     used: set[str] = set()
-    chosen: list[tuple[float, float, float]] = []
+    chosen: list[np.ndarray] = []
     out = []
     lab = p[["l", "a", "b2"]].to_numpy()
+    c2 = p.c.to_numpy()
+
+    def nearest(x) -> int:
+        """Place of the nearest thread by the hue-weighted distance."""
+        weight = 1 + 1.8 * min(1.0, max(0.0, (x.c - 2) / 6))
+        chord = np.maximum(0, (lab[:, 1] - x.a) ** 2 + (lab[:, 2] - x.b2) ** 2 - (c2 - x.c) ** 2)
+        return p.index[int(np.argmin((lab[:, 0] - x.l) ** 2 + 0.49 * (c2 - x.c) ** 2 + weight**2 * chord))]
+
     for x in pdf.sort_values(["population", "cluster_id"], ascending=[False, True]).itertuples():
-        far = all(np.sqrt(sum((np.array(c) - (x.l, x.a, x.b2)) ** 2)) >= 25 for c in chosen)
+        far = not chosen or labmath.ciede2000(np.array([x.l, x.a, x.b2]), np.array(chosen)).min() >= 25
         white = x.r + x.g + x.b > 680
         own = x.population >= 150 or white or x.protected or (x.population >= 24 and far)
         if (own and len(used) < budget) or (own and x.protected):
@@ -114,20 +130,17 @@ def assign_shades(pdf: pd.DataFrame, palette: pd.DataFrame, budget: int) -> pd.D
                 return s + (25 if x.l < low - 14 or x.l > high + 14 else 0)
 
             family = min(families, key=lambda n: score(families[n]))
-            f = p[p.family == family]
-            cost = (f.l - x.l) ** 2 + 0.25 * (f.c - x.c) ** 2
-            free = ~f.code.isin(used)
-            best = (cost[free] if free.any() else cost).idxmin()
+            if np.isinf(score(families[family])):
+                best = nearest(x)
+            else:
+                f = p[p.family == family]
+                cost = (f.l - x.l) ** 2 + 0.25 * (f.c - x.c) ** 2
+                free = ~f.code.isin(used)
+                best = (cost[free] if free.any() else cost).idxmin()
+            if p.code[best] not in used:
+                used.add(p.code[best])
+                chosen.append(lab[p.index.get_loc(best)])
         else:
-            c2 = p.c.to_numpy()
-            weight = 1 + 1.8 * min(1.0, max(0.0, (x.c - 2) / 6))
-            chord = np.maximum(0, (lab[:, 1] - x.a) ** 2 + (lab[:, 2] - x.b2) ** 2 - (c2 - x.c) ** 2)
-            distance = (lab[:, 0] - x.l) ** 2 + 0.49 * (c2 - x.c) ** 2 + weight**2 * chord
-            pool = p.code.isin(used).to_numpy() if used else np.ones(len(p), bool)
-            best = p.index[int(np.argmin(np.where(pool, distance, np.inf)))]
-        code = p.code[best]
-        if code not in used:
-            used.add(code)
-            chosen.append(tuple(lab[p.index.get_loc(best)]))
-        out.append((x.image_id, x.cluster_id, code))
+            best = nearest(x)
+        out.append((x.image_id, x.cluster_id, p.code[best]))
     return pd.DataFrame(out, columns=["image_id", "cluster_id", "code"])

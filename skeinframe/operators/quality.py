@@ -82,15 +82,35 @@ def source_census(pixels: DataFrame, top: int = 6) -> DataFrame:
 
 
 def cell_of(grid_w: int, grid_h: int, src_w: int, src_h: int) -> tuple[Column, Column]:
-    """(cell y, cell x) of a pixel."""
+    """(cell y, cell x) of a pixel, rounded down."""
     return F.floor(F.col("y") * grid_h / src_h).cast("int"), F.floor(F.col("x") * grid_w / src_w).cast("int")
 
 
+def cell_windows(cells: int, length: int, mirror: bool = False) -> list[tuple[int, int]]:
+    """(from, to) of the pixels of each cell along a side: k * length / cells, rounded down, up to the next, one at least.
+
+    mirror: bounds of the second half mirror those of the first, so that a cell and its mirror image see mirrored pixels.
+    """
+    bounds = [k * length // cells for k in range(cells + 1)]
+    if mirror:
+        bounds = [b if k <= cells - k else length - bounds[cells - k] for k, b in enumerate(bounds)]
+    return [(a, min(max(a + 1, b), length)) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def in_windows(pixels: DataFrame, grid_w: int, grid_h: int, src_w: int, src_h: int, mirror: bool = False) -> DataFrame:
+    """pixels with cy and cx, a row for each cell whose window holds the pixel. Joined to tables of one side's pixels each."""
+    spark = pixels.sparkSession
+    for axis, cells, length in (("y", grid_h, src_h), ("x", grid_w, src_w)):
+        rows = [(p, k) for k, (a, b) in enumerate(cell_windows(cells, length, mirror)) for p in range(a, b)]
+        pixels = pixels.join(F.broadcast(spark.createDataFrame(rows, f"{axis} int, c{axis} int")), axis)  # at most length + cells rows
+    return pixels
+
+
 def mode_cells(pixels: DataFrame, grid_w: int, grid_h: int, src_w: int, src_h: int, share: float = 0.6, bucket: int = 48) -> DataFrame:
     """(image_id, cells, mixed, mixed_share): output cells whose commonest colour bucket has under `share` of the pixels."""
-    cy, cx = cell_of(grid_w, grid_h, src_w, src_h)
     coarse = F.struct(*[F.floor(F.col(c) / bucket).alias(c) for c in "rgb"])
-    counts = pixels.select("image_id", cy.alias("cy"), cx.alias("cx"), coarse.alias("bucket")).groupBy("image_id", "cy", "cx", "bucket").agg(F.count("*").alias("n"))
+    windows = in_windows(pixels.select("image_id", "y", "x", "r", "g", "b"), grid_w, grid_h, src_w, src_h)
+    counts = windows.select("image_id", "cy", "cx", coarse.alias("bucket")).groupBy("image_id", "cy", "cx", "bucket").agg(F.count("*").alias("n"))
     cells = counts.groupBy("image_id", "cy", "cx").agg((F.max("n") / F.sum("n")).alias("top"))
     out = cells.groupBy("image_id").agg(F.count("*").alias("cells"), F.count_if(F.col("top") < share).alias("mixed"))
     return out.withColumn("mixed_share", F.col("mixed") / F.col("cells"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.operators.grid import neighbours
@@ -116,17 +116,23 @@ def background_region(cells: DataFrame, value: str = "pal_idx") -> DataFrame:
     return best.select("chart_id", (-F.col("b.minus")).alias("region"), f"b.{value}", "b.size", "b.sides")
 
 
-def fill_holes(grid: np.ndarray, background: int, passes: int = 5) -> np.ndarray:
-    """Enclosed background cells with three or more coloured 4-neighbours take their majority, in place, row by row."""
+def fill_holes(grid: np.ndarray, backgrounds, protected: np.ndarray | None = None, passes: int = 5) -> np.ndarray:
+    """Enclosed background cells with three or more coloured 4-neighbours take their majority, in place, row by row.
+
+    backgrounds: one colour or several, which count as one ground. Protected cells stay.
+    """
     g = grid.copy()
     h, w = g.shape
+    ground = set(np.atleast_1d(backgrounds).tolist())
+    kept = np.zeros(g.shape, bool) if protected is None else protected
     for _ in range(passes):
-        labels = label_grid(g, g == background)
+        open_ = np.isin(g, list(ground))
+        labels = label_grid(open_.astype(np.int64), open_)
         border = np.unique(np.concatenate([labels[0], labels[-1], labels[:, 0], labels[:, -1]]))
-        enclosed = (g == background) & ~np.isin(labels, border[border >= 0])
+        enclosed = open_ & ~np.isin(labels, border[border >= 0]) & ~kept
         changed = False
         for y, x in zip(*np.nonzero(enclosed), strict=True):
-            near = [int(g[b, a]) for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w and g[b, a] != background]
+            near = [v for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w and (v := int(g[b, a])) not in ground]
             if len(near) >= 3:
                 g[y, x] = max(dict.fromkeys(near), key=near.count)
                 changed = True
@@ -135,42 +141,54 @@ def fill_holes(grid: np.ndarray, background: int, passes: int = 5) -> np.ndarray
     return g
 
 
-def bridge_gaps(grid: np.ndarray, background: int, passes: int = 2) -> np.ndarray:
-    """Inner background cells between two equal colours in a row, else in a column, take that colour, in place."""
+def bridge_gaps(grid: np.ndarray, backgrounds, protected: np.ndarray | None = None, passes: int = 2) -> np.ndarray:
+    """Inner background cells between two equal colours in a column, else in a row, take that colour, in place."""
     g = grid.copy()
-    h, w = g.shape
+    ground = set(np.atleast_1d(backgrounds).tolist())
+    inner = np.isin(g, list(ground))
+    inner[[0, -1]], inner[:, [0, -1]] = False, False
+    if protected is not None:
+        inner &= ~protected
     for _ in range(passes):
-        for y, x in zip(*np.nonzero(g == background), strict=True):
-            if 0 < y < h - 1 and 0 < x < w - 1:
-                for a, b in ((g[y, x - 1], g[y, x + 1]), (g[y - 1, x], g[y + 1, x])):
-                    if a == b and a != background:
-                        g[y, x] = a
-                        break
+        for y, x in zip(*np.nonzero(inner & np.isin(g, list(ground))), strict=True):
+            for a, b in ((g[y - 1, x], g[y + 1, x]), (g[y, x - 1], g[y, x + 1])):
+                if a == b and int(a) not in ground:
+                    g[y, x] = a
+                    break
     return g
 
 
-def _per_chart(cells: DataFrame, value: str, work) -> DataFrame:
+def _per_chart(cells: DataFrame, backgrounds: DataFrame, protected: DataFrame | None, value: str, work) -> DataFrame:
+    """work(grid, backgrounds, protected) for each chart: order within a chart matters, so it is a helper for each."""
     kinds = dict(cells.dtypes)
+    rows = cells.select("chart_id", "idx", "y", "x", value).join(backgrounds.groupBy("chart_id").agg(F.array_sort(F.collect_set("background")).alias("grounds")), "chart_id")
+    if protected is None:
+        rows = rows.withColumn("kept", F.lit(False))
+    else:
+        marked = protected.select("chart_id", "idx").distinct().withColumn("kept", F.lit(True))
+        rows = rows.join(marked, ["chart_id", "idx"], "left").fillna(False, ["kept"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
-        grid = np.full((int(y.max()) + 1, int(x.max()) + 1), int(pdf.background.iloc[0]), np.int64)
-        grid[y, x] = pdf[value].to_numpy()
+        grounds = np.asarray(pdf.grounds.iloc[0], np.int64)
+        grid = np.full((int(y.max()) + 1, int(x.max()) + 1), grounds[0], np.int64)
+        kept = np.zeros(grid.shape, bool)
+        grid[y, x], kept[y, x] = pdf[value].to_numpy(), pdf.kept.to_numpy(bool)
         out = pdf[["chart_id", "idx", "y", "x", value]].copy()
-        out[value] = work(grid, int(pdf.background.iloc[0]))[y, x].astype(pdf[value].dtype)
+        out[value] = work(grid, grounds, kept)[y, x].astype(pdf[value].dtype)
         return out
 
-    return cells.groupBy("chart_id").applyInPandas(run, f"chart_id {kinds['chart_id']}, idx {kinds['idx']}, y int, x int, {value} {kinds[value]}")
+    return rows.groupBy("chart_id").applyInPandas(run, f"chart_id {kinds['chart_id']}, idx {kinds['idx']}, y int, x int, {value} {kinds[value]}")
 
 
-def hole_fill(cells: DataFrame, backgrounds: DataFrame, value: str = "pal_idx") -> DataFrame:
-    """cells with holes filled; backgrounds (chart_id, background). Order within a chart matters: a helper for each chart."""
-    return _per_chart(cells.select("chart_id", "idx", "y", "x", value).join(backgrounds, "chart_id"), value, fill_holes)
+def hole_fill(cells: DataFrame, backgrounds: DataFrame, value: str = "pal_idx", protected: DataFrame | None = None) -> DataFrame:
+    """cells with holes filled; backgrounds (chart_id, background), one or more for each chart; protected (chart_id, idx)."""
+    return _per_chart(cells, backgrounds, protected, value, fill_holes)
 
 
-def gap_bridge(cells: DataFrame, backgrounds: DataFrame, value: str = "pal_idx") -> DataFrame:
-    """cells with gaps bridged; backgrounds (chart_id, background)."""
-    return _per_chart(cells.select("chart_id", "idx", "y", "x", value).join(backgrounds, "chart_id"), value, bridge_gaps)
+def gap_bridge(cells: DataFrame, backgrounds: DataFrame, value: str = "pal_idx", protected: DataFrame | None = None) -> DataFrame:
+    """cells with gaps bridged; backgrounds and protected as in hole_fill()."""
+    return _per_chart(cells, backgrounds, protected, value, bridge_gaps)
 
 
 def cluster_patches(cells: DataFrame, value: str = "cluster_id") -> DataFrame:
@@ -179,24 +197,68 @@ def cluster_patches(cells: DataFrame, value: str = "cluster_id") -> DataFrame:
     return stats.groupBy("chart_id", value).agg(F.max("size").alias("largest"), F.count("*").alias("patches"))
 
 
+def has_run(y: np.ndarray, x: np.ndarray, n: int = 3) -> bool:
+    """Whether n of the places follow one another in a row, a column or a diagonal."""
+    own = set(zip(y.tolist(), x.tolist(), strict=True))
+    return any(all((a + i * dy, b + i * dx) in own for i in range(1, n)) for a, b in own for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)))
+
+
+def clean_confetti(grid: np.ndarray, present: np.ndarray, min_size: int, protected_colours: set[int], kept: np.ndarray) -> np.ndarray:
+    """Small 8-connected regions take the commonest colour of the 8 neighbours of their cells, one after another.
+
+    Regions are those of the grid as it was, in the order of their first cells; neighbours are read as they are by then.
+    Ties go to the lowest colour. Protected colours, regions with a kept cell and those with a run of three stay.
+    """
+    g = grid.copy()
+    h, w = g.shape
+    labels = label_grid(grid, present, eight=True).ravel()
+    order = np.argsort(labels, kind="stable")
+    order = order[labels[order] >= 0]
+    starts = np.flatnonzero(np.append(True, labels[order][1:] != labels[order][:-1])) if len(order) else []
+    sizes = np.diff(np.append(starts, len(order)))
+    for a, n in zip(np.asarray(starts)[sizes <= min_size].tolist(), sizes[sizes <= min_size].tolist(), strict=True):
+        y, x = np.divmod(order[a : a + n], w)
+        own = int(grid[y[0], x[0]])
+        if own in protected_colours or kept[y, x].any() or has_run(y, x):
+            continue
+        tally: dict[int, int] = {}
+        for cy, cx in zip(y.tolist(), x.tolist(), strict=True):
+            for b in range(max(0, cy - 1), min(h, cy + 2)):
+                for c in range(max(0, cx - 1), min(w, cx + 2)):
+                    if present[b, c] and (v := int(g[b, c])) != own:
+                        tally[v] = tally.get(v, 0) + 1
+        if tally:
+            g[y, x] = max(sorted(tally), key=tally.get)
+    return g
+
+
 def engine_confetti(cells: DataFrame, min_size: int, protected_colours: list[int], protected_cells: DataFrame, value: str = "pal_idx") -> DataFrame:
-    """(chart_id, idx, replacement): 8-connected regions under min_size, except protected ones.
+    """(chart_id, idx, replacement) of the cells that clean_confetti() changes: regions of up to min_size cells.
 
-    Protected: a listed colour, or a region with a cell in protected_cells (chart_id, idx), such as linear runs. Ties go to
-    the lowest colour. All is planned on one snapshot, where an editor would change the grid as it goes.
+    protected_cells (chart_id, idx). The grid changes as it goes, so it is a helper for each chart.
     """
-    labelled = label_regions(cells, value, eight=True)
-    guarded = labelled.join(protected_cells.select("chart_id", "idx").distinct(), ["chart_id", "idx"], "left_semi").select("chart_id", "region").distinct()
-    small = region_stats(labelled, value).where((F.col("size") < min_size) & ~F.col(value).isin(protected_colours)).join(guarded, ["chart_id", "region"], "left_anti")
-    best = _surrounding(labelled, small, value, None, -F.col("v"))
-    return labelled.join(best, ["chart_id", "region"]).select("chart_id", "idx", "replacement")
+    kinds = dict(cells.dtypes)
+    marked = protected_cells.select("chart_id", "idx").distinct().withColumn("kept", F.lit(True))
+    rows = cells.select("chart_id", "idx", "y", "x", value).join(marked, ["chart_id", "idx"], "left").fillna(False, ["kept"])
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+        shape = (int(y.max()) + 1, int(x.max()) + 1)
+        grid, present, kept = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+        grid[y, x], present[y, x], kept[y, x] = pdf[value].to_numpy(), True, pdf.kept.to_numpy(bool)
+        new = clean_confetti(grid, present, min_size, set(protected_colours), kept)[y, x]
+        out = pdf[["chart_id", "idx"]].assign(replacement=new.astype(pdf[value].dtype))
+        return out[new != pdf[value].to_numpy()]
 
-def region_profile(cells: DataFrame, rejected: Column | None = None, value: str = "pal_idx") -> DataFrame:
+    return rows.groupBy("chart_id").applyInPandas(run, f"chart_id {kinds['chart_id']}, idx {kinds['idx']}, replacement {kinds[value]}")
+
+
+def region_profile(cells: DataFrame, rejected: Column | None = None, value: str = "pal_idx", siblings: DataFrame | None = None) -> DataFrame:
     """Regions with fill ratio, elongation, hollow and kind: too-small, sparse-composite, thin-stroke, gappy-rectangle, solid-blob.
 
-    Hollow: over 30 % of the box's inside is of other colours. A gappy rectangle is hollow and has a sibling: another such
-    region of its colour and size class (powers of two). rejected: which regions are looked at, over region_stats columns.
+    Hollow: over 30 % of the box's inside is of other colours. A gappy rectangle is hollow and has a sibling; which regions
+    have one is the caller's to say: siblings (chart_id, region), by default none, or same_box_siblings(). rejected: which
+    regions are looked at, over region_stats columns.
     """
     labelled = label_regions(cells, value)
     stats = region_stats(labelled, value)
@@ -210,12 +272,20 @@ def region_profile(cells: DataFrame, rejected: Column | None = None, value: str
         "elongation": F.greatest("bh", "bw") / F.least("bh", "bw"),
         "hollow": (room > 0) & ((room - F.col("own_inner")) / F.greatest(room, F.lit(1)) > 0.3),
     })
-    twins = stats.groupBy("chart_id", value, F.floor(F.log2("size")).alias("magnitude")).agg(F.count("*").alias("twins"))
-    rows = rows.withColumn("magnitude", F.floor(F.log2("size"))).join(twins, ["chart_id", value, "magnitude"], "left")
+    if siblings is None:
+        rows = rows.withColumn("sibling", F.lit(False))
+    else:
+        rows = rows.join(siblings.select("chart_id", "region").distinct().withColumn("sibling", F.lit(True)), ["chart_id", "region"], "left").fillna(False, ["sibling"])
     kind = (
         F.when((F.col("bh") < 5) | (F.col("bw") < 5), "too-small")
         .when(F.col("fill") < 0.30, F.when(F.col("size") >= 300, "sparse-composite").otherwise("thin-stroke"))
-        .when(F.col("hollow") & (F.col("twins") > 1), "gappy-rectangle")
+        .when(F.col("hollow") & F.col("sibling"), "gappy-rectangle")
         .otherwise("solid-blob")
     )
     return rows.withColumn("kind", kind).select("chart_id", "region", value, "size", "fill", "elongation", "hollow", "kind")
+
+
+def same_box_siblings(stats: DataFrame, value: str = "pal_idx") -> DataFrame:
+    """(chart_id, region) of regions with another one of their colour whose box has the same height and width."""
+    boxes = stats.select("chart_id", "region", value, (F.col("y1") - F.col("y0")).alias("bh"), (F.col("x1") - F.col("x0")).alias("bw"))
+    return boxes.withColumn("n", F.count("*").over(Window.partitionBy("chart_id", value, "bh", "bw"))).where("n > 1").select("chart_id", "region")

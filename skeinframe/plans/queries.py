@@ -140,9 +140,9 @@ def a7(spark, d):
 LAB_SHADES = f", shades AS (SELECT *, {sqlcolor.lab_columns()} FROM v_threads)"
 
 
-@query("j4_suggest_from_stash", with_views(REQ_SQL + INDEX_SQL + LAB_SHADES + ", wants AS (SELECT DISTINCT user_id, lower(trim(brand)) || '::' || lower(trim(code)) AS need_key FROM requirements WHERE CAST(code AS BIGINT) % 10 = 0), own AS (SELECT user_id, key AS own_key, sum(quantity) AS quantity FROM owned WHERE quantity > 0 GROUP BY 1, 2), named AS (SELECT lower(trim(brand)) || '::' || lower(trim(code)) AS key, lab_l, lab_a, lab_b FROM shades), pairs AS (SELECT DISTINCT need_key, own_key FROM wants JOIN own USING (user_id)), de AS (" + sqlcolor.ciede2000("SELECT need_key, own_key, n.lab_l AS l1, n.lab_a AS a1, n.lab_b AS b1, o.lab_l AS l2, o.lab_a AS a2, o.lab_b AS b2 FROM pairs JOIN named n ON need_key = n.key LEFT JOIN named o ON own_key = o.key", "need_key, own_key") + "), close AS (SELECT need_key, own_key, CASE WHEN need_key = own_key THEN 0 ELSE de END AS de FROM de), ranked AS (SELECT w.user_id, w.need_key, o.own_key, c.de, row_number() OVER (PARTITION BY w.user_id, w.need_key ORDER BY w.need_key <> o.own_key, round(c.de, 9), o.own_key) AS n FROM wants w JOIN own o USING (user_id) JOIN close c ON c.need_key = w.need_key AND c.own_key = o.own_key WHERE c.de <= 5) SELECT user_id, need_key AS key, own_key AS suggested_key, round(de, 6) AS de, need_key = own_key AS exact FROM ranked WHERE n = 1", "usage", "designs", "stash", "threads"))
+@query("j4_suggest_from_stash", with_views(REQ_SQL + INDEX_SQL + LAB_SHADES + ", wants AS (SELECT DISTINCT user_id, lower(trim(brand)) || '::' || lower(trim(code)) AS need_key FROM requirements), own AS (SELECT user_id, key AS own_key, sum(quantity) AS quantity FROM owned WHERE quantity > 0 GROUP BY 1, 2), named AS (SELECT lower(trim(brand)) || '::' || lower(trim(code)) AS key, lab_l, lab_a, lab_b FROM shades), pairs AS (SELECT DISTINCT need_key, own_key FROM wants JOIN own USING (user_id)), de AS (" + sqlcolor.ciede2000("SELECT need_key, own_key, n.lab_l AS l1, n.lab_a AS a1, n.lab_b AS b1, o.lab_l AS l2, o.lab_a AS a2, o.lab_b AS b2 FROM pairs JOIN named n ON need_key = n.key LEFT JOIN named o ON own_key = o.key", "need_key, own_key") + "), close AS (SELECT need_key, own_key, CASE WHEN need_key = own_key THEN 0 ELSE de END AS de FROM de), ranked AS (SELECT w.user_id, w.need_key, o.own_key, c.de, row_number() OVER (PARTITION BY w.user_id, w.need_key ORDER BY w.need_key <> o.own_key, round(c.de, 9), o.own_key) AS n FROM wants w JOIN own o USING (user_id) JOIN close c ON c.need_key = w.need_key AND c.own_key = o.own_key WHERE c.de <= 5) SELECT user_id, need_key AS key, own_key AS suggested_key, round(de, 6) AS de, need_key = own_key AS exact FROM ranked WHERE n = 1", "usage", "designs", "stash", "threads"))
 def j4(spark, d):
-    wanted = requirements(spark, d).where("CAST(code AS BIGINT) % 10 = 0").select("user_id", "brand", "code").distinct()
+    wanted = requirements(spark, d).select("user_id", "brand", "code").distinct()
     return stash.suggest_from_stash(wanted, view(spark, d, "stash"), view(spark, d, "threads")).select("user_id", "key", "suggested_key", r6("de").alias("de"), "exact")
 
 
@@ -265,19 +265,16 @@ def a8(spark, d):
 
 
 def colours(spark, d):
-    return view(spark, d, "pixels").select("r", "g", "b").distinct().where("(r + g + b) % 4 = 0")
+    """The colours of all threads, to be matched with the threads of all brands."""
+    return view(spark, d, "threads").select("r", "g", "b").distinct()
 
 
-def one_brand(spark, d):
-    return view(spark, d, "threads").where("brand = 'brand#1'")
+COLOURS_SQL = ", colours AS (SELECT DISTINCT r, g, b FROM v_threads)"
 
 
-COLOURS_SQL = ", colours AS (SELECT DISTINCT r, g, b FROM v_pixels WHERE (r + g + b) % 4 = 0)"
-
-
-@query("j5_match_threads", with_views(LAB_SHADES + COLOURS_SQL + f", lc AS (SELECT *, {sqlcolor.lab_columns()} FROM colours), de AS (" + sqlcolor.ciede2000("SELECT c.r, c.g, c.b, s.code, s.pos, c.lab_l AS l1, c.lab_a AS a1, c.lab_b AS b1, s.lab_l AS l2, s.lab_a AS a2, s.lab_b AS b2 FROM lc c CROSS JOIN shades s WHERE s.brand = 'brand#1'", "r, g, b, code, pos") + "), k AS (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY round(de, 9), pos) AS n FROM de) SELECT r, g, b, CAST(n AS INT) AS rank, round(de, 6) AS distance FROM k WHERE n <= 2", "threads", "pixels"))
+@query("j5_match_threads", with_views(LAB_SHADES + COLOURS_SQL + f", lc AS (SELECT *, {sqlcolor.lab_columns()} FROM colours), de AS (" + sqlcolor.ciede2000("SELECT c.r, c.g, c.b, s.code, s.pos, c.lab_l AS l1, c.lab_a AS a1, c.lab_b AS b1, s.lab_l AS l2, s.lab_a AS a2, s.lab_b AS b2 FROM lc c CROSS JOIN shades s", "r, g, b") + "), k AS (SELECT r, g, b, min(de, 2) AS two FROM de GROUP BY 1, 2, 3) SELECT r, g, b, CAST(n AS INT) AS rank, round(two[n], 6) AS distance FROM k CROSS JOIN (VALUES (1), (2)) t(n)", "threads"))
 def j5(spark, d):
-    return matching.match_threads(colours(spark, d), one_brand(spark, d), 2).select("r", "g", "b", "rank", r6("distance").alias("distance"))
+    return matching.match_threads(colours(spark, d), view(spark, d, "threads"), 2).select("r", "g", "b", "rank", r6("distance").alias("distance"))
 
 
 @query("j6_thread_collisions", with_views(LAB_SHADES + ", de AS (" + sqlcolor.ciede2000("SELECT s.brand, s.code AS code_a, t.code AS code_b, s.lab_l AS l1, s.lab_a AS a1, s.lab_b AS b1, t.lab_l AS l2, t.lab_a AS a2, t.lab_b AS b2 FROM shades s JOIN shades t ON s.brand = t.brand AND s.pos < t.pos", "brand, code_a, code_b") + ") SELECT brand, code_a, code_b, round(de, 6) AS de FROM de WHERE de < 2.3", "threads"))
@@ -290,9 +287,9 @@ def j7(spark, d):
     return matching.nearest_neighbours(view(spark, d, "threads")).select("brand", "code", r6("de").alias("de"))
 
 
-@query("j8_weighted_match", with_views(LAB_SHADES + COLOURS_SQL + f", lc AS (SELECT *, {sqlcolor.lab_columns()} FROM colours), p AS (SELECT c.r, c.g, c.b, c.lab_l AS l1, s.lab_l AS l2, sqrt(c.lab_a ** 2 + c.lab_b ** 2) AS c1, sqrt(s.lab_a ** 2 + s.lab_b ** 2) AS c2, (c.lab_a - s.lab_a) ** 2 + (c.lab_b - s.lab_b) ** 2 AS ab FROM lc c CROSS JOIN shades s WHERE s.brand = 'brand#1'), q AS (SELECT r, g, b, (l1 - l2) ** 2 + 0.49 * (c1 - c2) ** 2 + (1 + 1.8 * greatest(0, least(1, (c1 - 2) / 6))) ** 2 * greatest(0, ab - (c1 - c2) ** 2) AS distance FROM p) SELECT r, g, b, round(min(distance), 4) AS distance FROM q GROUP BY r, g, b", "threads", "pixels"))
+@query("j8_weighted_match", with_views(LAB_SHADES + COLOURS_SQL + f", lc AS (SELECT *, {sqlcolor.lab_columns()} FROM colours), p AS (SELECT c.r, c.g, c.b, c.lab_l AS l1, s.lab_l AS l2, sqrt(c.lab_a ** 2 + c.lab_b ** 2) AS c1, sqrt(s.lab_a ** 2 + s.lab_b ** 2) AS c2, (c.lab_a - s.lab_a) ** 2 + (c.lab_b - s.lab_b) ** 2 AS ab FROM lc c CROSS JOIN shades s), q AS (SELECT r, g, b, (l1 - l2) ** 2 + 0.49 * (c1 - c2) ** 2 + (1 + 1.8 * greatest(0, least(1, (c1 - 2) / 6))) ** 2 * greatest(0, ab - (c1 - c2) ** 2) AS distance FROM p) SELECT r, g, b, round(min(distance), 4) AS distance FROM q GROUP BY r, g, b", "threads"))
 def j8(spark, d):
-    return matching.weighted_match(colours(spark, d), one_brand(spark, d)).select("r", "g", "b", r6("distance", 4).alias("distance"))
+    return matching.weighted_match(colours(spark, d), view(spark, d, "threads")).select("r", "g", "b", r6("distance", 4).alias("distance"))
 
 
 @query("m1_m4_colour_functions", with_views(LAB_SHADES + ", c AS (SELECT *, sqrt(lab_a * lab_a + lab_b * lab_b) AS c, CASE WHEN lab_a = 0 AND lab_b = 0 THEN 0 WHEN atan2(lab_b, lab_a) < 0 THEN degrees(atan2(lab_b, lab_a)) + 360 ELSE degrees(atan2(lab_b, lab_a)) END AS h FROM shades) SELECT code, printf('#%02X%02X%02X', r, g, b) AS hex, r AS back_r, b AS back_b, round(lab_l, 6) AS l, round(lab_a, 6) AS a, round(lab_b, 6) AS b, round(c, 6) AS chroma, round(h, 4) AS hue, round(CASE WHEN abs(h - 90) > 180 THEN 360 - abs(h - 90) ELSE abs(h - 90) END, 4) AS from_yellow FROM c", "threads"))
@@ -318,7 +315,7 @@ def m5(spark, d):
 @query("j9_match_family_shade")
 def j9(spark, d):
     clusters = view(spark, d, "pixels").groupBy("image_id", (F.col("idx") % 6).cast("int").alias("cluster_id")).agg(F.max("r").alias("r"), F.max("g").alias("g"), F.min("b").alias("b"), (F.count("*") * 30).alias("population"))
-    return matching.match_family_shade(clusters.withColumn("protected", F.col("cluster_id") == 5), one_brand(spark, d))
+    return matching.match_family_shade(clusters.withColumn("protected", F.col("cluster_id") == 5), view(spark, d, "threads"))
 
 
 # --- rows of users ---------------------------------------------------------------------------------------------------
@@ -603,13 +600,25 @@ def m13(spark, d):
 # --- regions ---------------------------------------------------------------------------------------------------------
 
 
+REGIONS_SQL = """, e AS (SELECT a.chart_id, a.idx AS i, b.idx AS j FROM v_cells a JOIN v_cells b ON a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.pal_idx = b.pal_idx),
+reach AS (SELECT chart_id, idx AS i, idx AS j FROM v_cells UNION SELECT r.chart_id, r.i, e.j FROM reach r JOIN e ON r.chart_id = e.chart_id AND r.j = e.i),
+lab AS (SELECT chart_id, j AS idx, min(i) AS region FROM reach GROUP BY 1, 2),
+own AS (SELECT c.*, l.region FROM v_cells c JOIN lab l ON c.chart_id = l.chart_id AND c.idx = l.idx),
+reg AS (SELECT chart_id, region, pal_idx, count(*) AS size, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM own GROUP BY 1, 2, 3)"""
+
+
+def over_regions(sql: str) -> str:
+    """SQL over the connected regions of v_cells: own (cells with their region) and reg (regions)."""
+    return with_views(REGIONS_SQL + sql, "cells").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("r1_region_sizes", with_views(" SELECT chart_id, count(*) AS cells FROM v_cells GROUP BY chart_id", "cells"))
 def r1_sizes(spark, d):
     """Sizes of all regions add up to the cells."""
     return regions.region_stats(regions.label_regions(view(spark, d, "cells"))).groupBy("chart_id").agg(F.sum("size").alias("cells"))
 
 
-@query("r1_label_regions")
+@query("r1_label_regions", over_regions(" SELECT * FROM reg"))
 def r1(spark, d):
     return regions.region_stats(regions.label_regions(view(spark, d, "cells")))
 
@@ -624,14 +633,15 @@ def r3(spark, d):
     return regions.confetti_plan(view(spark, d, "cells"), 1).select("chart_id", "idx", "replacement")
 
 
-@query("r3_confetti_counts")
+@query("r3_confetti_counts", over_regions(", small AS (SELECT chart_id, region, EXISTS (SELECT 1 FROM own a JOIN own b ON a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.pal_idx <> b.pal_idx WHERE a.chart_id = reg.chart_id AND a.region = reg.region) AS touches FROM reg WHERE size <= 2) SELECT chart_id, count(*) AS found, count(CASE WHEN touches THEN 1 END) AS cleaned FROM small GROUP BY chart_id"))
 def r3c(spark, d):
     return regions.confetti_counts(view(spark, d, "cells"), 2)
 
 
-@query("r4_background_region")
+@query("r4_background_region", over_regions(""", frame AS (SELECT chart_id, max(y) AS h, max(x) AS w FROM v_cells GROUP BY 1), edge AS (SELECT r.*, concat_ws(',', CASE WHEN y1 = h THEN 'bottom' END, CASE WHEN x0 = 0 THEN 'left' END, CASE WHEN x1 = w THEN 'right' END, CASE WHEN y0 = 0 THEN 'top' END) AS sides FROM reg r JOIN frame USING (chart_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY size DESC, region) AS n FROM edge WHERE sides <> '') SELECT chart_id, region, pal_idx, size, sides FROM k WHERE n = 1"""))
 def r4(spark, d):
-    return regions.background_region(view(spark, d, "cells"))
+    return regions.background_region(view(spark, d, "cells")).withColumn("sides", F.array_join("sides", ","))
 
 
 @query("r5_hole_fill")
@@ -647,7 +657,7 @@ def r5g(spark, d):
     return regions.gap_bridge(cells, cells.select("chart_id").distinct().withColumn("background", F.lit(2)))
 
 
-@query("r6_cluster_patches")
+@query("r6_cluster_patches", over_regions(" SELECT chart_id, pal_idx, max(size) AS largest, count(*) AS patches FROM reg GROUP BY 1, 2"))
 def r6_patches(spark, d):
     return regions.cluster_patches(view(spark, d, "cells"), "pal_idx")
 
@@ -658,9 +668,13 @@ def r7(spark, d):
     return regions.engine_confetti(cells, 4, [0], grid.linear_runs(cells).where("in_run"))
 
 
-@query("r8_region_profile")
+@query("r8_region_profile", over_regions(""", b AS (SELECT *, y1 - y0 + 1 AS bh, x1 - x0 + 1 AS bw, count(*) OVER (PARTITION BY chart_id, pal_idx, y1 - y0, x1 - x0) > 1 AS sibling FROM reg), i AS (SELECT o.chart_id, o.region, count(*) AS own_inner FROM own o JOIN b ON o.chart_id = b.chart_id AND o.region = b.region WHERE o.y > b.y0 AND o.y < b.y1 AND o.x > b.x0 AND o.x < b.x1 GROUP BY 1, 2),
+ p AS (SELECT b.*, greatest(bh - 2, 0) * greatest(bw - 2, 0) AS room, coalesce(own_inner, 0) AS own_inner, size / (bh * bw)::DOUBLE AS fill FROM b LEFT JOIN i ON b.chart_id = i.chart_id AND b.region = i.region), q AS (SELECT *, room > 0 AND (room - own_inner) / greatest(room, 1)::DOUBLE > 0.3 AS hollow FROM p)
+ SELECT chart_id, region, pal_idx, size, round(fill, 6) AS fill, round(greatest(bh, bw) / least(bh, bw)::DOUBLE, 6) AS elongation, hollow, CASE WHEN bh < 5 OR bw < 5 THEN 'too-small' WHEN fill < 0.3 THEN CASE WHEN size >= 300 THEN 'sparse-composite' ELSE 'thin-stroke' END WHEN hollow AND sibling THEN 'gappy-rectangle' ELSE 'solid-blob' END AS kind FROM q"""))
 def r8(spark, d):
-    return regions.region_profile(view(spark, d, "cells"))
+    cells = view(spark, d, "cells")
+    siblings = regions.same_box_siblings(regions.region_stats(regions.label_regions(cells)))
+    return regions.region_profile(cells, siblings=siblings).withColumns({"fill": r6("fill"), "elongation": r6("elongation")})
 
 
 # --- quality and images ----------------------------------------------------------------------------------------------
@@ -686,9 +700,9 @@ def a11(spark, d):
     return quality.source_census(view(spark, d, "pixels")).select("image_id", "darkest", "n_250", "f_450")
 
 
-@query("a12_mode_cells", with_views(", n AS (SELECT image_id, floor(y / 2) AS cy, floor(x / 2) AS cx, r // 48 AS r, g // 48 AS g, b // 48 AS b, count(*) AS n FROM v_pixels GROUP BY ALL), c AS (SELECT image_id, cy, cx, max(n) / sum(n) AS top FROM n GROUP BY 1, 2, 3) SELECT image_id, count(*) AS cells, count(CASE WHEN top < 0.6 THEN 1 END) AS mixed FROM c GROUP BY image_id", "pixels"))
+@query("a12_mode_cells", with_views(", n AS (SELECT image_id, cy, cx, r // 48 AS r, g // 48 AS g, b // 48 AS b, count(*) AS n FROM v_pixels JOIN (SELECT unnest(range(3)) AS cy) j ON y >= cy * 8 // 3 AND y < (cy + 1) * 8 // 3 JOIN (SELECT unnest(range(3)) AS cx) k ON x >= cx * 8 // 3 AND x < (cx + 1) * 8 // 3 GROUP BY ALL), c AS (SELECT image_id, cy, cx, max(n) / sum(n) AS top FROM n GROUP BY 1, 2, 3) SELECT image_id, count(*) AS cells, count(CASE WHEN top < 0.6 THEN 1 END) AS mixed FROM c GROUP BY image_id", "pixels"))
 def a12(spark, d):
-    return quality.mode_cells(view(spark, d, "pixels"), 4, 4, 8, 8).select("image_id", "cells", "mixed")
+    return quality.mode_cells(view(spark, d, "pixels"), 3, 3, 8, 8).select("image_id", "cells", "mixed")
 
 
 @query("w3_local_range", with_views(", n AS (SELECT a.image_id, a.idx, greatest(max(b.r) - min(b.r), max(b.g) - min(b.g), max(b.b) - min(b.b)) AS range FROM v_pixels a JOIN v_pixels b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2) SELECT image_id, idx, range, CASE WHEN range <= 8 THEN 'flat' WHEN range <= 40 THEN 'ramp' ELSE 'edge' END AS kind FROM n", "pixels"))
@@ -696,14 +710,19 @@ def w3(spark, d):
     return quality.local_range(view(spark, d, "pixels")).select("image_id", "idx", "range", "kind")
 
 
-@query("w4_input_type")
+RANGE_SQL = ", near AS (SELECT a.image_id, a.idx, greatest(max(b.r) - min(b.r), max(b.g) - min(b.g), max(b.b) - min(b.b)) AS range FROM v_pixels a JOIN v_pixels b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2)"
+
+
+@query("w4_input_type", with_views(RANGE_SQL + """, n AS (SELECT image_id, count(*)::DOUBLE AS n, count(CASE WHEN range <= 8 THEN 1 END) AS flat, count(CASE WHEN range > 8 AND range <= 40 THEN 1 END) AS ramp FROM near GROUP BY 1), s AS (SELECT image_id, flat / n AS f, CASE WHEN n > flat THEN ramp / (n - flat) ELSE 0 END AS q FROM n)
+ SELECT image_id, round(f, 6) AS flat_share, round(q, 6) AS ramp_share, CASE WHEN f < 0.15 OR q > 0.45 THEN 'photo' ELSE 'generated' END AS kind, round(greatest(0, least(1, 2 * CASE WHEN f < 0.15 THEN (0.15 - f) / 0.15 ELSE abs(q - 0.45) / 0.45 END)), 6) AS confidence FROM s""", "pixels"))
 def w4(spark, d):
-    return quality.input_type(view(spark, d, "pixels"))
+    return quality.input_type(view(spark, d, "pixels")).withColumns({c: r6(c) for c in ("flat_share", "ramp_share", "confidence")})
 
 
-@query("w5_sub_stitch_share")
+@query("w5_sub_stitch_share", with_views(""", i AS (SELECT image_id, y, x, CASE WHEN least(r, g, b) >= 150 AND greatest(r, g, b) - least(r, g, b) <= 8 THEN 0 ELSE 1 END AS ink FROM v_pixels), k AS (SELECT a.image_id, a.y, a.x, a.ink, sum(b.ink) = 9 AS whole FROM i a JOIN i b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL), s AS (SELECT image_id, avg(ink::DOUBLE) AS share, sum(ink) AS n, count(CASE WHEN whole THEN 1 END) AS kept FROM k GROUP BY 1)
+ SELECT image_id, round(share, 6) AS ink_share, round(CASE WHEN share > 0.02 AND share < 0.85 AND n > 50 THEN 1 - kept / n::DOUBLE END, 6) AS lost FROM s""", "pixels"))
 def w5(spark, d):
-    return quality.sub_stitch_share(view(spark, d, "pixels"), 4, 8, white=150)
+    return quality.sub_stitch_share(view(spark, d, "pixels"), 4, 8, white=150).withColumns({c: r6(c) for c in ("ink_share", "lost")})
 
 
 @query("w6_smallest_fit")
@@ -722,7 +741,7 @@ def clusters(spark, d):
     return rows.select("image_id", (F.col("idx") / 21).cast("int").alias("cluster_id"), "r", "g", "b", F.lit(16).cast("long").alias("population"), F.lit(False).alias("protected"))
 
 
-NEAREST_SQL = ", c AS (SELECT image_id, CAST(idx / 21 AS INT) AS cluster_id, r, g, b FROM v_pixels WHERE idx IN (0, 21, 42, 63)), named AS (SELECT p.image_id, p.idx, p.y, p.x, p.r + p.g + p.b AS s, arg_min(c.cluster_id, ((p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2) * 10 + c.cluster_id) AS cluster_id FROM v_pixels p JOIN c USING (image_id) GROUP BY ALL)"
+NEAREST_SQL = f", lp AS (SELECT *, {sqlcolor.lab_columns()} FROM v_pixels), ranked AS (SELECT p.image_id, p.idx, p.y, p.x, p.r + p.g + p.b AS s, CAST(c.idx / 21 AS INT) AS cluster_id, row_number() OVER (PARTITION BY p.image_id, p.idx ORDER BY (p.lab_l - c.lab_l) ** 2 + (p.lab_a - c.lab_a) ** 2 + (p.lab_b - c.lab_b) ** 2, c.idx) AS n FROM lp p JOIN lp c ON p.image_id = c.image_id AND c.idx IN (0, 21, 42, 63)), named AS (SELECT * EXCLUDE (n) FROM ranked WHERE n = 1)"
 
 
 @query("a14_nearest_cluster", with_views(NEAREST_SQL + " SELECT p.image_id, p.idx, n.cluster_id FROM v_pixels p JOIN named n USING (image_id, idx)", "pixels"))
@@ -731,11 +750,14 @@ def a14n(spark, d):
     return pixels.join(image.nearest_cluster(pixels, clusters(spark, d)), ["image_id", "r", "g", "b"]).select("image_id", "idx", "cluster_id")
 
 
-@query("a14_vote_cells")
+@query("a14_vote_cells", with_views(NEAREST_SQL + """, w AS (SELECT * FROM (VALUES (0, 0, 2), (1, 2, 6), (2, 6, 8)) v(k, lo, hi)), v AS (SELECT n.image_id, wy.k + 1 AS y, wx.k AS x, 't' || CAST(n.cluster_id AS VARCHAR) AS code, n.idx, n.s < 350 AS dark FROM named n JOIN w wy ON n.y >= wy.lo AND n.y < wy.hi JOIN w wx ON n.x >= wx.lo AND n.x < wx.hi),
+ t AS (SELECT image_id, y, x, code, count(*) AS n, min(idx) AS f, count(CASE WHEN dark THEN 1 END) AS nd, min(CASE WHEN dark THEN idx END) AS fd FROM v GROUP BY 1, 2, 3, 4), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY n DESC, f) AS place, row_number() OVER (PARTITION BY image_id, y, x ORDER BY nd DESC, fd) AS dplace, sum(n) OVER (PARTITION BY image_id, y, x) AS total, sum(nd) OVER (PARTITION BY image_id, y, x) AS dark FROM t),
+ c AS (SELECT image_id, y, x, max(CASE WHEN place = 1 THEN code END) AS top, max(CASE WHEN dplace = 1 THEN code END) AS darkest, max(total) AS total, max(dark) AS dark FROM k GROUP BY 1, 2, 3)
+ SELECT image_id, y, x, CASE WHEN top = 't0' AND dark > 0 AND dark >= 0.05 * total AND darkest <> 't0' THEN darkest ELSE top END AS code FROM c UNION ALL SELECT image_id, y, x, 't0' FROM (SELECT DISTINCT image_id FROM v_pixels) CROSS JOIN (SELECT CAST(unnest(range(5)) AS INT) AS y) CROSS JOIN (SELECT CAST(unnest(range(3)) AS INT) AS x) WHERE y IN (0, 4)""", "pixels"))
 def a14(spark, d):
     own = clusters(spark, d)
     named = own.select("image_id", "cluster_id", F.concat(F.lit("t"), F.col("cluster_id").cast("string")).alias("code"))
-    return image.vote_cells(view(spark, d, "pixels"), own, named, "bg", 4, 4, 8, 8)
+    return image.vote_cells(view(spark, d, "pixels"), own, named, "t0", 3, 5, 8, 8, fitted=(0, 1, 3, 3))
 
 
 def image_palette(spark, d):
