@@ -6,11 +6,11 @@ read. It sends each of its distinct keys (64-bit hashes) once to the key's *owne
 Owners are ranges of the hash, so a common key costs its owner one row for each block, however often documents have it.
 The owner merges what the blocks say and answers each block in the order of its question, so an answer needs no keys.
 
-    docs --mapInArrow--> questions --shuffle by owner--> answers --shuffle by block--> cogroup with the blocks
+    docs --mapInArrow--> blocks --shuffle by block--> questions --shuffle by owner--> answers --shuffle by block--> blocks
 
-A block is built twice from the same scan, once to ask and once to meet its answers. Its id covers its place and its
-document ids, so if a scan dealt rows differently the second time, answers are missing and the job fails rather than
-giving wrong counts. Input should be a plain scan (a written table), not the output of an unordered shuffle.
+A block is built once and shuffled once; questions and the meeting with the answers both read that shuffle. Its id covers
+its place and its document ids, so if a lost shuffle were worked out anew from rows in another order, answers would be
+missing and the job would fail rather than give wrong counts.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Ids(dict):
+class Numbers(dict):
     """Words to numbers in order of first use."""
 
     def __missing__(self, word: bytes) -> int:
@@ -121,6 +121,18 @@ class Block:
         """The document of each token, by place in the block."""
         return np.repeat(np.arange(len(self.ids)), self.lens)
 
+    def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct whole texts: their hashes in order, each one's smallest id, and each document's text by number."""
+        order = np.lexsort((self.sums[:, 1], self.sums[:, 0]))
+        ranked = self.sums[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        least = np.full(int(new.sum()), NO_ID)
+        np.minimum.at(least, number, self.ids)
+        return np.ascontiguousarray(ranked[new]), least, number
+
     def word_hashes(self) -> np.ndarray:
         digest = xxhash.xxh3_64_intdigest
         return np.fromiter((digest(w) for w in self.words), U64, len(self.words))
@@ -155,13 +167,13 @@ Splitter = Callable[[bytes], list[bytes]]
 def _built(batches: Iterable[pa.RecordBatch], split: Splitter) -> Iterator[tuple[int, Block]]:
     """Blocks of the rows (id, text) of one task, with ids."""
     part, n = TaskContext.get().partitionId(), 0
-    ids, lens, tokens, words, sums = array("q"), array("I"), array("I"), _Ids(), array("Q")
+    ids, lens, tokens, words, sums = array("q"), array("I"), array("I"), Numbers(), array("Q")
 
     def block() -> tuple[int, Block]:
         nonlocal ids, lens, tokens, words, sums, n
         made = Block(np.array(ids, np.int64), np.array(lens, np.uint32), np.array(tokens, np.uint32), list(words), np.array(sums, U64).reshape(-1, 2))
         key = xxhash.xxh3_64_intdigest(made.ids.tobytes() + made.lens.tobytes() + f"{part}/{n}".encode()) >> 1
-        ids, lens, tokens, words, sums = array("q"), array("I"), array("I"), _Ids(), array("Q")
+        ids, lens, tokens, words, sums = array("q"), array("I"), array("I"), Numbers(), array("Q")
         n += 1
         return key, made
 
@@ -204,26 +216,40 @@ Question = Callable[[Block], Iterable[tuple[int, bytes]]]
 Answer = Callable[[list[bytes]], Iterable[bytes]]
 
 
-def ask(docs: DataFrame, split: Splitter, question: Question) -> DataFrame:
-    """Each block's questions as rows of MESSAGE. docs: (id long, text string)."""
+def ask(packed: DataFrame, question: Question) -> DataFrame:
+    """Each block's questions as rows of MESSAGE. packed: blocks()."""
+
+    def asked(batches):
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1), strict=True):
+                if rows := list(question(Block.unpack(data.as_py()))):
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), pa.int64()), pa.array([o for o, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["block", "owner", "payload"])
+
+    return packed.mapInArrow(asked, MESSAGE)
+
+
+def ask_scan(docs: DataFrame, split: Splitter, question: Question) -> DataFrame:
+    """The same straight from docs, without a shuffle, where the blocks are shuffled in a later job anyway.
+
+    docs must give the same rows in the same places twice, as a written table does; otherwise the later job fails.
+    """
 
     def asked(batches):
         for key, block in _built(batches, split):
-            if not (rows := list(question(block))):
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([o for o, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["block", "owner", "payload"])
+            if rows := list(question(block)):
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([o for o, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["block", "owner", "payload"])
 
     return docs.mapInArrow(asked, MESSAGE)
 
 
 def blocks(docs: DataFrame, split: Splitter) -> DataFrame:
-    """Rows of BLOCK. docs: (id long, text string)."""
+    """Rows of BLOCK, dealt by block. docs: (id long, text string)."""
 
     def packed(batches):
         for key, block in _built(batches, split):
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block.pack()], pa.binary())], names=["block", "data"])
 
-    return docs.mapInArrow(packed, BLOCK)
+    return docs.mapInArrow(packed, BLOCK).repartition("block")
 
 
 def answers(messages: DataFrame, answer: Answer) -> DataFrame:
@@ -249,7 +275,7 @@ def meet(packed: DataFrame, said: DataFrame, what: Callable[[int, Block, list[tu
     return packed.groupBy("block").cogroup(said.where("block >= 0").groupBy("block")).applyInPandas(met, schema)
 
 
-# Questions and answers of the two plain kinds: sums of counts, and the smallest value.
+# Answers of the two plain kinds: sums of counts, and the smallest id.
 
 
 def summed(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -263,9 +289,15 @@ def summed(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return np.split(totals[place], cuts), distinct, totals
 
 
-def smallest(keys: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
-    """For each key of each array the smallest value that any array has for it."""
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    least = np.full(len(distinct), NO_ID)
-    np.minimum.at(least, place, np.concatenate(values))
-    return np.split(least[place], np.cumsum([len(k) for k in keys])[:-1])
+def smallest_of_texts(sums: list[np.ndarray], ids: list[np.ndarray]) -> list[np.ndarray]:
+    """For each whole text (two hashes) of each array the smallest id that any array has for it."""
+    every, values = np.concatenate(sums), np.concatenate(ids)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    ranked = every[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = np.full(int(new.sum()), NO_ID)
+    np.minimum.at(least, number, values)
+    return np.split(least[number], np.cumsum([len(s) for s in sums])[:-1])

@@ -6,7 +6,8 @@ that sums are exact. Frequencies are taken by word: with a frequency for each wh
 shares would weigh less with every copy, and the group would fall below the threshold because it is large.
 
 1. Blocks (blocks.py) ask the owners for the df of their words, over all documents, and for the smallest doc_id with the
-   same whole text (two 64-bit hashes). Exact copies take their original's class and go no further.
+   same whole text (two 64-bit hashes; a block sends each distinct text once). Exact copies take their original's class
+   and go no further.
 2. For each other text and each sample k, ICWS draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from a shingle's hash, sets
    t = floor(ln w / r + beta) and keeps the smallest ln c - r (t - beta + 1). Two texts agree in a sample with the
    probability of their weighted Jaccard similarity.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .shared import cut, only
-from .substring_dedup import _same_text, rolling
+from .substring_dedup import rolling
 
 U64 = B.U64
 SIZE = 5
@@ -174,8 +175,7 @@ def ask_frequencies(owners: int):
         hashes = block.word_hashes()
         order = np.argsort(hashes, kind="stable")
         hashes, counts = hashes[order], counts[order]
-        texts = np.argsort(block.sums[:, 0], kind="stable")
-        sums, ids = block.sums[texts], block.ids[texts]
+        sums, ids, _ = block.texts()
         said = {o: (a, b) for o, a, b in B.owner_ranges(hashes, owners)}
         whole = {o: (a, b) for o, a, b in B.owner_ranges(np.ascontiguousarray(sums[:, 0]), owners)}
         for o in sorted({*said, *whole}):
@@ -189,9 +189,7 @@ def tell_frequencies(payloads: list[bytes]):
     parts = [B.unpack_parts(p) for p in payloads]
     totals, _, _ = B.summed(payloads)
     sums = [np.frombuffer(p[2], U64).reshape(-1, 2) for p in parts]
-    all_ = np.concatenate(sums)
-    least = _same_text(all_[:, 0], all_[:, 1], np.concatenate([np.frombuffer(p[3], np.int64) for p in parts]))
-    for total, own in zip(totals, np.split(least, np.cumsum([len(s) for s in sums])[:-1]), strict=True):
+    for total, own in zip(totals, B.smallest_of_texts(sums, [np.frombuffer(p[3], np.int64) for p in parts]), strict=True):
         yield B.pack_parts(B.pack_ints(total), own.tobytes())
 
 
@@ -200,8 +198,7 @@ def _heard(block: B.Block, payloads: list[bytes], n_docs: int) -> tuple[np.ndarr
     parts = [B.unpack_parts(p) for p in payloads]
     df = np.empty(len(block.words), np.int64)
     df[np.argsort(block.word_hashes(), kind="stable")] = np.concatenate([B.unpack_ints(p[0], np.int64) for p in parts])
-    least = np.empty(len(block.ids), np.int64)
-    least[np.argsort(block.sums[:, 0], kind="stable")] = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
+    least = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])[block.texts()[2]]
     idf = np.rint(STEPS * (1 + np.log(np.maximum(n_docs, df) / df) / np.log(n_docs + 1.0)))
     original = np.where((block.lens > 0) & (least < block.ids) & (block.ids != B.NO_ID), least, block.ids)
     return idf, original, np.flatnonzero((block.lens > 0) & (original == block.ids) & (block.ids != B.NO_ID))
@@ -218,7 +215,7 @@ def prepared(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     n_docs = docs.count()
     owners = B.owner_count(docs)
     packed = B.blocks(docs, B.split_lower)
-    said = B.answers(B.ask(docs, B.split_lower, ask_frequencies(owners)), tell_frequencies).withColumns({"place": F.lit(None).cast("int"), "key": F.lit(None).cast("long")})
+    said = B.answers(B.ask(packed, ask_frequencies(owners)), tell_frequencies).withColumns({"place": F.lit(None).cast("int"), "key": F.lit(None).cast("long")})
 
     def sampled(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = B.Block.unpack(left.data.iloc[0])

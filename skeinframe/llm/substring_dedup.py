@@ -1,24 +1,29 @@
-"""Repeated passages: prefix-partitioned suffix trees over the words of all documents, cut at a depth of `window` words.
+"""Repeated passages: prefix-partitioned suffix trees over the words of all documents, down to a depth of `window` words.
 
 A *suffix* starts at each word of a document that has at least `window` words left. All suffixes together form a suffix
-tree; an internal node at depth `window` or below stands for a passage that occurs more than once, and runs of such
-starts are the maximal repeats. The tree is never built whole:
+tree; an internal node at depth `window` or below stands for a passage that occurs more than once, and a run of places
+whose suffixes have such a node is a maximal repeat. The tree is never held whole:
 
 1. Leaves first. Every window of the same words has the same *anchor*, its smallest 8-word hash, and anchors are some 20
    times fewer than suffixes. Blocks exchange (blocks.py) how many documents have each anchor. A suffix whose anchor one
    document alone has is a leaf. Copies of a whole text (128-bit hash) of a smaller doc_id need no suffixes either: all
-   their windows start there.
-2. Partition. The other suffixes go to the owner of their prefix: its first 8 words, or 24 or all `window` words where
-   many documents share the anchor. The lengths differ so that no group grows with a popular phrase. A block sends each
-   distinct window once with its smallest doc_id, so a passage in a third of all documents costs one row a block.
-3. Subtrees. An owner sorts its suffixes by prefix, then by the rest down to the depth limit (64-bit hashes as edge
-   labels). Each run of equal labels is a node at full depth, and gets the smallest doc_id below it.
-4. A word goes if a window that covers it has a node whose smallest doc_id is below the document's own. Windows are
-   judged on the input.
+   their windows start there. A block sends each distinct text and each distinct window once, with its smallest doc_id, so
+   a text or a passage in a third of all documents costs one row a block.
+2. Partition. The other suffixes go to the owner of their prefix. Its length varies so that a prefix's group fits memory:
+   8 words, or more where the documents that share the anchor could fill more than GROUP_BYTES (prefix_lengths()), at last
+   the whole window, whose group is a row a block.
+3. Subtrees. A suffix comes as its prefix and the edges below it, EDGE words each. An owner sorts its suffixes edge by
+   edge. The depth to which neighbours agree is that of the node they share; runs that agree down to the window are the
+   deep internal nodes, and each gets the smallest doc_id below it.
+4. Maximal repeats. A word goes if a window that covers it has a deep node whose smallest doc_id is below the document's
+   own. Neighbouring windows join to the longest run, the repeat's extent in this document. Windows are judged on the
+   input.
+
+Words, prefixes and edges are known by hashes (64 bits a prefix, 32 an edge): equal windows agree in at least 224 bits.
 
 Cases. Null text: no words. Fewer words than a window: nothing removed. A null doc_id is larger than all others and
 never the smaller one. Rows that share a doc_id are one document to each other: neither is smaller. Empty table: no
-rows. Extra columns are dropped. Memory: a block and its distinct windows.
+rows. Extra columns are dropped. Memory: a block and its distinct windows; an owner's groups.
 """
 
 from __future__ import annotations
@@ -34,10 +39,12 @@ from .shared import only
 
 U64 = B.U64
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
-#: Words of an anchor and of the shortest prefix.
+#: Words of an anchor and of the shortest prefix, and of an edge below a prefix.
 GRAM = 8
-#: Prefix lengths, each with the number of documents sharing the anchor from which the next is taken.
-PREFIXES = ((8, 1 << 12), (24, 1 << 16))
+EDGE = 7
+#: Bytes that the suffixes of one prefix may take, and bytes of a suffix as it travels.
+GROUP_BYTES = 4 << 20
+SUFFIX_BYTES = 64
 STEP = np.array([0x9E3779B97F4A7C15], U64)
 
 
@@ -70,6 +77,22 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(least[: len(values) - n + 1], least[n - have :])
 
 
+def prefix_lengths(window: int) -> list[tuple[int, int]]:
+    """(words, documents): prefixes in growing length, each with the documents up to which it is taken.
+
+    A document has few windows of one prefix, so its group takes about SUFFIX_BYTES a document. The shortest prefix is
+    left early, so that groups are mostly small; the last one, the whole window, has no limit and needs none.
+    """
+    most = GROUP_BYTES // SUFFIX_BYTES
+    steps = [(GRAM, most // 16), (GRAM + EDGE, most // 4), (GRAM + 2 * EDGE, most)]
+    return [(n, m) for n, m in steps if n < window]
+
+
+def edge_starts(window: int) -> list[int]:
+    """Where the edges below the shortest prefix begin; the last one ends with the window, so it may overlap."""
+    return sorted({min(i, max(0, window - EDGE)) for i in range(GRAM, window, EDGE)}) or [0]
+
+
 class Suffixes:
     """The suffixes of a block that have `window` words: their places, documents and anchors."""
 
@@ -82,7 +105,8 @@ class Suffixes:
         self.at = np.flatnonzero(place + window <= block.lens[doc])
         self.doc = doc[self.at]
         self.first = rolling(hashes, GRAM)
-        self.anchor = sliding_min(self.first, window - GRAM + 1)[self.at] if len(self.at) else np.zeros(0, U64)
+        # smallest values are all low ones; mixed, they spread over the owners
+        self.anchor = B.mix(sliding_min(self.first, window - GRAM + 1)[self.at]) if len(self.at) else np.zeros(0, U64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and the number of documents here that have each."""
@@ -102,7 +126,8 @@ class Suffixes:
         """The suffixes left after the leaves went, and their distinct windows.
 
         shared_by: documents of each of anchors(). copies: whether each document copies one with a smaller id. Gives the
-        left ones' indices, each one's number among the distinct windows, these by (prefix, label), and their least ids.
+        left ones' indices, each one's number among the distinct windows, and of these, in order of their prefixes, the
+        prefix, the edges and the least id.
         """
         keys = np.unique(self.anchor)
         by = shared_by[np.searchsorted(keys, self.anchor)] if len(keys) else np.zeros(0, np.int64)
@@ -110,9 +135,9 @@ class Suffixes:
         at, by = self.at[left], by[left]
         label = rolling(self.hashes, self.window)[at] if len(at) else np.zeros(0, U64)
         prefix = label.copy()
-        for words, most in reversed(PREFIXES):
-            if words < self.window and len(at):
-                prefix = np.where(by < most, rolling(self.hashes, words)[at], prefix)
+        for words, most in reversed(prefix_lengths(self.window)):
+            if len(at):
+                prefix = np.where(by <= most, rolling(self.hashes, words)[at], prefix)
         order = np.lexsort((label, prefix))
         p, x = prefix[order], label[order]
         new = np.ones(len(order), bool)
@@ -121,20 +146,10 @@ class Suffixes:
         number[order] = np.cumsum(new) - 1
         least = np.full(int(new.sum()), B.NO_ID)
         np.minimum.at(least, number, self.block.ids[self.doc[left]])
-        return left, number, p[new], x[new], least
-
-
-def _same_text(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each text, by its two hashes, the smallest id of its equals."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    least = np.full(int(new.sum()), B.NO_ID)
-    np.minimum.at(least, number, ids)
-    return least[number]
+        first = at[order[new]]
+        edge = rolling(self.hashes, min(EDGE, self.window))
+        edges = [(edge[first + i] >> U64(32)).astype(np.uint32) for i in edge_starts(self.window)]
+        return left, number, p[new], np.stack(edges, axis=1) if len(first) else np.zeros((0, len(edges)), np.uint32), least
 
 
 def leaf_question(window: int, owners: int):
@@ -142,8 +157,7 @@ def leaf_question(window: int, owners: int):
 
     def question(block: B.Block):
         anchors, counts = Suffixes(block, window).anchors()
-        order = np.argsort(block.sums[:, 0], kind="stable")
-        sums, ids = block.sums[order], block.ids[order]
+        sums, ids, _ = block.texts()
         said = {o: (anchors[a:b], counts[a:b]) for o, a, b in B.owner_ranges(anchors, owners)}
         texts = {o: (a, b) for o, a, b in B.owner_ranges(np.ascontiguousarray(sums[:, 0]), owners)}
         for o in sorted({*said, *texts}):
@@ -158,9 +172,7 @@ def leaf_answer(payloads: list[bytes]):
     parts = [B.unpack_parts(p) for p in payloads]
     totals, _, _ = B.summed(payloads)
     sums = [np.frombuffer(p[2], U64).reshape(-1, 2) for p in parts]
-    all_ = np.concatenate(sums)
-    least = _same_text(all_[:, 0], all_[:, 1], np.concatenate([np.frombuffer(p[3], np.int64) for p in parts]))
-    for total, own in zip(totals, np.split(least, np.cumsum([len(s) for s in sums])[:-1]), strict=True):
+    for total, own in zip(totals, B.smallest_of_texts(sums, [np.frombuffer(p[3], np.int64) for p in parts]), strict=True):
         yield B.pack_parts(B.pack_ints(total), own.tobytes())
 
 
@@ -170,27 +182,40 @@ def _heard(block: B.Block, replies: list[tuple[int, bytes]]) -> tuple[np.ndarray
     if not parts:
         return np.zeros(0, np.int64), np.zeros(len(block.ids), bool)
     shared_by = np.concatenate([B.unpack_ints(p[0], np.int64) for p in parts])
-    least = np.empty(len(block.ids), np.int64)
-    least[np.argsort(block.sums[:, 0], kind="stable")] = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
+    least = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])[block.texts()[2]]
     return shared_by, least < block.ids
 
 
-def subtree_answer(payloads: list[bytes]):
-    """Subtrees of the prefixes that one owner has; for each window asked, whether a smaller id is below its node."""
-    parts = [B.unpack_parts(p) for p in payloads]
-    prefix = np.concatenate([B.unpack_keys(p[0]) for p in parts])
-    label = np.concatenate([B.unpack_ints(p[1], U64) for p in parts])
-    ids = np.concatenate([B.unpack_ints(p[2], np.int64) for p in parts])
-    order = np.lexsort((label, prefix))  # the suffixes of each subtree in order; equal neighbours share a deep node
-    p, x = prefix[order], label[order]
-    node = np.ones(len(order), bool)
-    node[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(node))
-    smaller = np.empty(len(order), bool)
-    smaller[order] = least[np.cumsum(node) - 1] < ids[order]
-    lengths = [len(B.unpack_ints(p[2], np.int64)) for p in parts]
-    for own in np.split(smaller, np.cumsum(lengths)[:-1]):
-        yield np.packbits(own).tobytes()
+def suffix_order(prefix: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, edge by edge, and for each but the first the edges that it shares with the one before.
+
+    -1: not even the prefix.
+    """
+    order = np.lexsort((*edges.T[::-1], prefix))
+    ranked = edges[order]
+    same = np.cumprod(ranked[1:] == ranked[:-1], axis=1, dtype=np.int8).sum(axis=1)
+    return order, np.where(prefix[order][1:] == prefix[order][:-1], same, -1)
+
+
+def subtree_answer(window: int):
+    """Subtrees of the prefixes that one owner has; for each window asked, whether a smaller id is below its deep node."""
+    depth = len(edge_starts(window))
+
+    def answer(payloads: list[bytes]):
+        parts = [B.unpack_parts(p) for p in payloads]
+        ids = [B.unpack_ints(p[2], np.int64) for p in parts]
+        prefix = np.concatenate([B.unpack_keys(p[0]) for p in parts])
+        edges = np.concatenate([B.unpack_ints(p[1], np.uint32).reshape(depth, -1).T for p in parts])
+        order, common = suffix_order(prefix, edges)
+        deep = np.append(True, common < depth)  # where the next node at the window's depth begins
+        own = np.concatenate(ids)[order]
+        least = np.minimum.reduceat(own, np.flatnonzero(deep))
+        smaller = np.empty(len(order), bool)
+        smaller[order] = least[np.cumsum(deep) - 1] < own
+        for part in np.split(smaller, np.cumsum([len(x) for x in ids])[:-1]):
+            yield np.packbits(part).tobytes()
+
+    return answer
 
 
 #: Added to the owners of subtrees, to tell their answers from the first.
@@ -205,14 +230,14 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
     docs = only(docs, doc_id="long", text="string")
     owners = B.owner_count(docs)
     packed = B.blocks(docs, B.split_words)
-    leaves = B.answers(B.ask(docs, B.split_words, leaf_question(window, owners)), leaf_answer)
+    leaves = B.answers(B.ask(packed, leaf_question(window, owners)), leaf_answer)
 
     def windows(key: int, block: B.Block, replies) -> pd.DataFrame:
-        _, _, prefix, label, least = Suffixes(block, window).shared(*_heard(block, replies))
-        rows = [(key, SECOND + o, B.pack_parts(B.pack_keys(prefix[a:b]), B.pack_ints(label[a:b]), B.pack_ints(least[a:b]))) for o, a, b in B.owner_ranges(prefix, owners)]
+        _, _, prefix, edges, least = Suffixes(block, window).shared(*_heard(block, replies))
+        rows = [(key, SECOND + o, B.pack_parts(B.pack_keys(prefix[a:b]), B.pack_ints(edges[a:b].T), B.pack_ints(least[a:b]))) for o, a, b in B.owner_ranges(prefix, owners)]
         return pd.DataFrame(rows, columns=["block", "owner", "payload"])
 
-    trees = B.answers(B.meet(packed, leaves, windows, B.MESSAGE), subtree_answer)
+    trees = B.answers(B.meet(packed, leaves, windows, B.MESSAGE), subtree_answer(window))
 
     def kept(_: int, block: B.Block, replies) -> pd.DataFrame:
         shared_by, copies = _heard(block, [r for r in replies if r[0] < SECOND])
