@@ -38,10 +38,11 @@ def words(text: Column) -> Column:
 
 
 def with_shingles(rows: DataFrame) -> DataFrame:
-    """(id, shingles) for (id, text)."""
-    words_ = rows.select("id", words(F.col("text")).alias("words"))
+    """rows (id, text and others) with shingles in place of the text."""
+    keep = [c for c in rows.columns if c != "text"]
+    words_ = rows.select(*keep, words(F.col("text")).alias("words"))
     places = F.when(F.size("words") >= SIZE, F.sequence(F.lit(1), F.size("words") - (SIZE - 1))).otherwise(F.array().cast("array<int>"))
-    return words_.select("id", F.transform(places, lambda i: F.xxhash64(F.slice("words", i, SIZE))).alias("shingles"))
+    return words_.select(*keep, F.transform(places, lambda i: F.xxhash64(F.slice("words", i, SIZE))).alias("shingles"))
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
@@ -70,8 +71,17 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float, sketch: int,
     entries = cut(sketches(items, sketch, threshold))
     if entries.count() <= MOST_SKETCH:
         entries = F.broadcast(entries)
+    # a document of several rows may hold more shingles than any row, so its rows pass every size class
+    pooled = cut(docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.lit(True).alias("pooled")))
+    n_pooled = pooled.count()
+    size, any_size = F.size("shingles"), F.lit(2**31 - 1)
+    if 0 < n_pooled <= MOST_CANDIDATES:
+        docs = docs.join(F.broadcast(pooled), "id", "left")
+        size = F.when(F.col("pooled"), any_size).otherwise(size)
+    elif n_pooled:
+        size = any_size
     # explode_outer: for explode() Spark adds a filter that works the shingles out twice; nulls join with nothing
-    each = with_shingles(docs).select("id", F.size("shingles").alias("n"), F.explode_outer("shingles").alias("shingle"))
+    each = with_shingles(docs).select("id", size.alias("n"), F.explode_outer("shingles").alias("shingle"))
     hits = each.join(entries, "shingle").select("id", "n", F.inline("sketched")).where("n >= least")
     found = hits.groupBy("id", "item_id").agg(F.bit_count(F.bit_or("entries")).alias("hits")).where(F.col("hits") >= least_hits)
     return found.select(F.col("id").alias("doc_id"), "item_id")

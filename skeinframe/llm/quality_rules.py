@@ -2,13 +2,14 @@
 
 Measures. Every whole text gets word, symbol, line and repetition counts (`with_measures`), per row and without a shuffle.
 
-Thresholds. Each rule rejects a document whose ratio is above a cutoff. Cutoffs come from labelled documents, by stratum
-(lang): for each cutoff of a fixed grid, of the n good ones (quality = 1) k would be rejected. The hypothesis "more than
-alpha of good documents are rejected" is dismissed at the exact binomial tail P(Bin(n, alpha) <= k), the test behind the
-Clopper-Pearson bound. Along a rule's grid, from loose to strict, cutoffs are taken while each is dismissed at
-delta / (strata * rules): fixed-sequence testing within a rule, Bonferroni between. alpha is the limit divided by the
-number of rules, so with probability 1 - delta all strata at once lose at most `risk` of their good documents. A rule
-without enough labels for any cutoff is off in that stratum.
+Thresholds. Each rule rejects a document whose ratio is above a cutoff. The rules go together: level j of a fixed ladder
+holds one cutoff for each rule, and each level is stricter than the one before in all of them. Levels are chosen from
+labelled documents, by stratum (lang): of the n good ones (quality = 1) that pass the base rules, k would be rejected at a
+level by any rule. The hypothesis "more than `risk` of good documents are rejected" is dismissed at the exact binomial
+tail P(Bin(n, risk) <= k), the test behind the Clopper-Pearson bound. Along the ladder, from loose to strict, levels are
+taken while each is dismissed at delta / strata: fixed-sequence testing within a stratum, Bonferroni between strata. So
+with probability 1 - delta all strata at once lose at most `risk` of their good documents. A stratum without enough
+labels for the first level (some 60 to 90) has only the base rules.
 
 Base rules (too short, too repetitive) are fixed and stand apart.
 
@@ -89,14 +90,15 @@ def ratios() -> dict[str, Column]:
     }
 
 
-#: Grids, from loose to strict. They are fixed beforehand: a grid taken from the labelled data would spoil the test.
+#: The ladder: cutoffs by level, from loose to strict. It is fixed beforehand: one taken from the labelled data would spoil the test.
 GRIDS = {
-    "symbols": [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
-    "loud": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "repeats": [0.3, 0.27, 0.24, 0.21, 0.18, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05],
-    "word_length": [40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0],
+    "symbols": [2.0, 1.5, 1.2, 1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
+    "loud": [0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "dup_lines": [0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35],
+    "repeats": [0.3, 0.29, 0.28, 0.27, 0.26, 0.25, 0.24, 0.23, 0.22, 0.21, 0.2, 0.19],
+    "word_length": [40.0, 36.0, 32.0, 30.0, 28.0, 26.0, 24.0, 22.0, 20.0, 18.0, 17.0, 16.0],
 }
+LEVELS = len(GRIDS["symbols"])
 
 
 def log_gamma(x: Column) -> Column:
@@ -131,33 +133,45 @@ def stratum(column: str = "lang") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def certified_cutoffs(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected, p_value) of the strictest certified cutoff of each stratum and rule.
+#: Up to so many good labels their ids are broadcast, so that only labelled texts are measured for the test.
+MOST_LABELS = 2_000_000
 
-    Only numbers are shuffled: measures are taken where texts are read. The result has at most strata * rules rows.
+
+def certified_levels(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """(stratum, level, n_good, n_rejected, p_value) of the strictest certified level of each stratum that has one.
+
+    Only numbers are shuffled: measures are taken where texts are read. The result has a row for each stratum.
     """
-    alpha = risk / len(GRIDS)
-    good = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).groupBy("id").agg(F.max("quality").alias("quality")).where("quality = 1").select("id")
+    good = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).groupBy("id").agg(F.max("quality").alias("quality")).where("quality = 1 AND id IS NOT NULL").select("id")
+    good = cut(good)
+    few = good.count() <= MOST_LABELS
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), stratum(strata).alias("stratum"), F.col("text").cast("string").alias("text"))
+    if few:
+        plain = plain.join(F.broadcast(good), "id", "left_semi")
     rows = with_measures(plain).where(~base_failed()).select("id", "stratum", *[v.alias(k) for k, v in ratios().items()])
-    rows = rows.join(good, "id")
-    # a document's bin in a rule's grid: how many of the cutoffs it is above; by bin, few rows are left
-    bins = F.array(*[F.struct(F.lit(rule).alias("rule"), sum((F.col(rule) > x).cast("int") for x in grid).alias("bin")) for rule, grid in GRIDS.items()])
-    counts = rows.select("stratum", F.explode(bins).alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(F.count("*").alias("n"))
-    by_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("bin", "n")).alias("bins"))
-    steps = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("step"), F.lit(float(x)).alias("cutoff")) for rule, grid in GRIDS.items() for j, x in enumerate(grid)])
-    tested = by_rule.select("stratum", "rule", "n_good", "bins", F.explode(F.filter(steps, lambda s: s["rule"] == F.col("rule"))).alias("s"))
-    # cutoffs get smaller along the grid, so a value above cutoff j is above all earlier ones: its bin is over j
-    size = sum(1 for _ in GRIDS)
-    over = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["bin"] > F.col("s.step"), b["n"]).otherwise(F.lit(0)))
-    tested = tested.select("stratum", "rule", "n_good", F.col("s.step").alias("step"), F.col("s.cutoff").alias("cutoff"), over.alias("n_rejected"))
-    tested = tested.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha))
-    strata_count = by_rule.agg(F.count_distinct("stratum").alias("strata")).withColumn("one", F.lit(1))
-    tested = tested.withColumn("one", F.lit(1)).join(F.broadcast(strata_count), "one").drop("one")  # one row
-    by_rule = tested.groupBy("stratum", "rule").agg(F.array_sort(F.collect_list(F.struct("step", "cutoff", "n_good", "n_rejected", "p_value"))).alias("tests"), F.first("strata").alias("strata"))
-    failed = F.filter("tests", lambda t: t["p_value"] > F.lit(delta) / (F.col("strata") * size))
-    last = F.when(F.size(failed) > 0, failed[0]["step"]).otherwise(F.size("tests")) - 1
-    return by_rule.where(last >= 0).withColumn("t", F.get("tests", last)).select("stratum", "rule", "t.cutoff", "t.n_good", "t.n_rejected", "t.p_value")
+    if not few:
+        rows = rows.join(good, "id", "left_semi")
+    # how many levels reject a document: those from LEVELS - n on, as cutoffs fall along the ladder
+    over = F.greatest(*[sum((F.col(rule) > x).cast("int") for x in grid) for rule, grid in GRIDS.items()])
+    counts = rows.groupBy("stratum", over.alias("over")).agg(F.count("*").alias("n"))
+    by_stratum = counts.groupBy("stratum").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("over", "n")).alias("bins"))
+    tested = by_stratum.select("stratum", "n_good", "bins", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    rejected = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["over"] >= LEVELS - F.col("level"), b["n"]).otherwise(F.lit(0)))
+    tested = tested.select("stratum", "n_good", "level", rejected.alias("n_rejected"))
+    tested = tested.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), risk))
+    one = F.lit(1)
+    number = by_stratum.agg(F.count("*").alias("strata")).withColumn("one", one)  # one row
+    tests = tested.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("level", "n_good", "n_rejected", "p_value"))).alias("tests"))
+    tests = tests.withColumn("one", one).join(F.broadcast(number), "one")
+    failed = F.filter("tests", lambda t: t["p_value"] > F.lit(delta) / F.col("strata"))
+    last = F.when(F.size(failed) > 0, F.get(failed, F.lit(0))["level"]).otherwise(F.size("tests")) - 1
+    return tests.where(last >= 0).select("stratum", F.inline(F.array(F.get("tests", last))))
+
+
+def certified_cutoffs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(stratum, rule, cutoff, n_good, n_rejected, p_value): certified_levels() rule by rule."""
+    cutoffs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*map(F.lit, grid)).alias("grid")) for r, grid in GRIDS.items()]))
+    return certified_levels(docs, labels, **options).withColumn("r", cutoffs).select("stratum", "r.rule", F.get("r.grid", F.col("level")).alias("cutoff"), "n_good", "n_rejected", "p_value")
 
 
 #: More strata than this are joined by a shuffle instead of a broadcast.
@@ -166,8 +180,8 @@ MOST_STRATA = 10_000
 
 def judged(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """All columns of docs, the measures, and P + "base_failed" and P + "kept"."""
-    cutoffs = certified_cutoffs(docs, labels, strata, risk, delta).groupBy(F.col("stratum").alias(P + "stratum"))
-    cutoffs = cut(cutoffs.agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{P}cut_{r}") for r in GRIDS]))
+    levels = certified_levels(docs, labels, strata, risk, delta)
+    cutoffs = cut(levels.select(F.col("stratum").alias(P + "stratum"), *[F.get(F.array(*map(F.lit, grid)), F.col("level")).alias(f"{P}cut_{r}") for r, grid in GRIDS.items()]))
     if cutoffs.count() <= MOST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     rows = with_measures(docs).withColumn(P + "stratum", stratum(strata)).join(cutoffs, P + "stratum", "left")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: the session's checkpoint folder.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one machine) a folder is made here.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and Spark runs on one machine a folder is made
+    here; on a cluster without the setting this raises, as a folder of one machine would be lost with it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir()
 

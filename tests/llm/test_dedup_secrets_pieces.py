@@ -323,21 +323,70 @@ def test_encode_as_the_library(spark, library):
     assert piece_lattice.encode(docs.where("false")).count() == 0
 
 
-def test_heap_merges_as_the_fold(spark):
-    model = piece_lattice.Model.load()
+def ends_of(row):
+    return [i for i in range(1, len(row.unit) + 1) if row.words[i // 32] >> i % 32 & 1]
+
+
+def merged(unit, scores):
+    """Ends of the symbols after all merges: the best adjacent pair again and again, leftmost first."""
+    parts = list(unit)
+    while True:
+        able = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores]
+        if not able:
+            return list(np.cumsum([len(x) for x in parts]))
+        i = min(able)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_fold_merges_as_pair_by_pair(spark):
+    scores = {x: s for x, (_, s) in piece_lattice.Model.load().scores.items()}
     r = random.Random(9)
-    words = sorted({" " + "".join(r.choice(["tion", "in", "ter", "a", "s", "é", "日", " "]) for _ in range(r.randint(1, 10))) for _ in range(200)})
-    rows = spark.createDataFrame([(i % 5, w) for i, w in enumerate(words)], "owner long, unit string")
-    found = piece_lattice.segment(rows, {x: s for x, (_, s) in model.scores.items()}, True).collect()
+    words = {" " + "".join(r.choice(["tion", "in", "ter", "a", "s", "é", "日", "the", "x"]) for _ in range(r.randint(1, 10))) for _ in range(300)}
+    words |= {"".join(r.choice(["tion", "in", "ter", "a", "s", "é"]) for _ in range(n)) for n in (12, 14, 16, 25, 60, 150)} | {"x" * n for n in (40, 41, 42, 43, 63, 64, 65, 500)}
+    rows = spark.createDataFrame([(i % 5, w) for i, w in enumerate(sorted(words))], "owner long, unit string")
+    found = piece_lattice.segment(rows, scores, True).collect()
     assert len(found) == len(words)
     for x in found:
-        assert [i for i in range(1, len(x.unit) + 1) if x.bits >> i & 1] == model.merge(x.unit)
+        assert ends_of(x) == merged(x.unit, scores), x.unit
+
+
+def test_fold_takes_better_pieces_that_a_worse_merge_made_fit(spark):
+    """bc is worse than abc, which only a + bc makes; then abcd, better than both, and what is left of the string."""
+    scores = {"abcd": -1.0, "abc": -2.0, "bc": -5.0, "cd": -6.0, "da": -7.0, "bcd": -8.0, "dabc": -3.0}
+    r = random.Random(3)
+    words = {"abc", "abcd", "dabcdabc", "abcabcd"} | {"".join(r.choice("abcd") for _ in range(n)) for n in (5, 9, 20, 40, 41, 42, 80, 130) for _ in range(12)}
+    rows = spark.createDataFrame([(0, w) for w in sorted(words)], "owner long, unit string")
+    for x in piece_lattice.segment(rows, scores, True).collect():
+        assert ends_of(x) == merged(x.unit, scores), x.unit
+
+
+def test_units_are_cut_where_no_piece_reaches(library):
+    model = piece_lattice.Model.load()
+    scores = {x: s for x, (_, s) in model.scores.items()}
+    def ids(u):
+        ends = merged(u, scores)
+        parts = [u[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return [i for p in parts for i in ([model.scores[p][0]] if p in model.scores else [model.byte_ids[x] for x in p.encode()])]
+
+    for _, t in piece_corpus():
+        text = t or ""
+        units = [u.decode() for w in piece_lattice.words(text.encode()) for u in model.units(w)]
+        assert "".join(units) == (" " + text.replace("▁", " ") if text else "")
+        assert [i for u in units for i in ids(u)] == library.encode(text)
+
+
+def test_encode_very_long_texts(spark, library):
+    r = random.Random(4)
+    long = [" ".join("".join(r.choice("aeinorst,.1") for _ in range(r.randint(1, 9))) for _ in range(30_000)), "".join(r.choice("acgt") for _ in range(600)), "汉字" * 3000, "0af9" * 5000, " " * 2000]
+    docs = table(spark, list(enumerate(long)))
+    for x in piece_lattice.encode(docs).collect():
+        assert list(x.ids) == library.encode(long[x.doc_id])
 
 
 def test_best_path(spark):
     """The Viterbi fold for unigram pieces against all segmentations."""
     scores = {"a": -3.1, "b": -2.2, "ab": -4.0, "aba": -4.4, "ba": -3.5, "bab": -5.05, "abab": -7.9}
-    words = ["ab", "abab", "ababab", "bbab", "axb", "x", "aabbaabab"]
+    words = ["ab", "abab", "ababab", "bbab", "axb", "x", "aabbaabab", "abxab" * 3]
 
     def best(w):
         ways = [((0.0), [])]
@@ -356,6 +405,10 @@ def test_best_path(spark):
 
     rows = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)], "owner long, unit string")
     for r in piece_lattice.segment(rows, scores, False, -20.0).collect():
-        ends = [i for i in range(1, len(r.unit) + 1) if r.bits >> i & 1]
+        ends = ends_of(r)
         score = sum(scores.get(r.unit[a:b], -20.0) for a, b in zip([0, *ends], ends, strict=False))
         assert score == pytest.approx(best(r.unit)[0][0])
+    # longer than one long takes: each part of the path is the best one of its own
+    part = spark.createDataFrame([(0, "abx" * 60)], "owner long, unit string")
+    ends = ends_of(piece_lattice.segment(part, scores, False, -20.0).first())
+    assert ends == [e for i in range(60) for e in (3 * i + 2, 3 * i + 3)]

@@ -7,8 +7,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from skeinframe.llm import decontamination, license_scan, ngram_lm, quality_rules, substring_dedup
+from skeinframe.llm import blocks, decontamination, license_scan, near_dedup, ngram_lm, quality_rules, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, extra string, key string, block long"
 BENCH = "item_id long, text string"
@@ -76,13 +77,46 @@ def test_substring_dedup(docs, rows):
     assert sum(r.n_removed for r in found) > 500
 
 
-@pytest.mark.parametrize("prefixes", [((8, 1), (24, 10)), ((8, 2), (24, 3))])
-def test_substring_dedup_prefix_lengths(docs, rows, monkeypatch, prefixes):
-    monkeypatch.setattr(substring_dedup, "PREFIXES", prefixes)
+@pytest.mark.parametrize("group_bytes", [64, 16 * 64, 3 * 16 * 64])
+def test_substring_dedup_prefix_lengths(docs, rows, monkeypatch, group_bytes):
+    """Prefixes of 8, 15, 22 and 50 words, by how many documents share an anchor."""
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group_bytes)
     found = substring_dedup.dedup(docs, texts=False).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == expected_dedup(rows)
 
 
+def test_suffix_order_and_common_depth():
+    r = np.random.default_rng(5)
+    prefix = np.sort(r.integers(0, 3, 300).astype(np.uint64))
+    edges = r.integers(0, 2, (300, 6)).astype(np.uint32)
+    order, common = substring_dedup.suffix_order(prefix, edges)
+    want = sorted((int(p), *map(int, e)) for p, e in zip(prefix, edges, strict=True))
+    assert [(int(prefix[i]), *map(int, edges[i])) for i in order] == want
+    for a, b, depth in zip(want, want[1:], common.tolist(), strict=False):
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 7)
+        assert depth == n - 1
+
+
+@pytest.mark.parametrize("ask", [lambda n: substring_dedup.leaf_question(50, n), near_dedup.ask_frequencies])
+def test_a_block_sends_a_common_text_once(spark, ask):
+    """One text in half of all rows: owners get one row of it for each block, not one for each document."""
+    rows = [(i, " ".join(f"w{j}" for j in range(60)) if i % 2 else " ".join(f"u{i}x{j}" for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = blocks.ask(blocks.blocks(docs, blocks.split_words), ask(2)).collect()
+    n_blocks = len({r.block for r in sent})
+    texts = sum(len(np.frombuffer(blocks.unpack_parts(r.payload)[3], np.int64)) for r in sent)
+    assert texts <= 200 + n_blocks
+
+
+def test_substring_dedup_very_long_text(spark):
+    r = random.Random(7)
+    long = [r.choice(["ab", "cd", "é", "xyz"]) + str(r.randrange(10**6)) for _ in range(120_000)]
+    rows = [(1, " ".join(long[50_000:50_070])), (2, " ".join(long)), (3, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(docs, texts=False).collect()}
+    assert got == {1: (70, 0), 2: (120_000, 70), 3: (1, 0)}
+
+
 def test_substring_dedup_windows_of_any_block_size(docs, rows, monkeypatch):
     monkeypatch.setattr("skeinframe.llm.blocks.BLOCK_TOKENS", 700)
     found = substring_dedup.dedup(docs, texts=False).collect()
@@ -126,6 +160,41 @@ def test_binomial_tail(spark):
         assert r.p == pytest.approx(binomial_tail(r.k, r.n, 0.01), rel=1e-8)
 
 
+def base_fails(t):
+    m = expected_measures(t)
+    return m[0] < 20 or 100 * m[4] > 30 * m[0]
+
+
+def rule_ratios(t):
+    n, chars, symbols, dup, repeat = expected_measures(t)
+    lines = [s for s in t.split("\n") if words(s)]
+    loud = sum(x == "!" or "A" <= x <= "Z" for x in t)
+    return {"symbols": symbols / max(n, 1), "loud": loud / max(chars, 1), "dup_lines": dup / max(len(lines), 1), "repeats": repeat / max(n, 1), "word_length": chars / max(n, 1)}
+
+
+def test_certified_levels_stop_where_good_documents_would_go(spark):
+    """A tenth of the good documents are half capitals: levels that reject these are not certified, looser ones are."""
+    loud = lambda i: " ".join(("ABCD" if i % 10 == 0 and j % 2 else "abcd") + str(j) for j in range(30))
+    docs = spark.createDataFrame([(i, loud(i), "en") for i in range(300)] + [(i, loud(i), "de") for i in range(1000, 1050)], "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(i, 1, 0) for i in [*range(300), *range(1000, 1050)]], "doc_id long, quality int, toxic int")
+    ratio = rule_ratios(loud(0))["loud"]
+    found = quality_rules.certified_levels(docs, labelled).collect()
+    assert [(x.stratum, x.level, x.n_good, x.n_rejected) for x in found] == [("=en", max(j for j, x in enumerate(quality_rules.GRIDS["loud"]) if x >= ratio), 300, 0)]
+    assert all(x.kept for x in quality_rules.verdicts(docs, labelled).collect())
+
+
+def test_quality_very_long_text_and_empty_tables(spark):
+    r = random.Random(2)
+    long = " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(60_000)) + "\n" + "x" * 200_000
+    docs = spark.createDataFrame([(1, long, "en"), (1, None, None)], "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.n_words: tuple(r)[1:6] for r in quality_rules.verdicts(docs, labelled).collect()}
+    assert got == {60_001: tuple(expected_measures(long)), 0: (0, 0, 0, 0, 0)}
+    none = docs.where("false")
+    assert quality_rules.verdicts(none, labelled).count() == 0 and quality_rules.keep_good(none, labelled).count() == 0
+    assert quality_rules.verdicts(docs, labelled.where("false")).count() == 2
+
+
 def test_certified_cutoffs_keep_the_promise(spark):
     """Of good documents 0.1 % have many symbols, so cutoffs below their ratio can be certified, and bad ones are caught."""
     r = random.Random(3)
@@ -139,8 +208,16 @@ def test_certified_cutoffs_keep_the_promise(spark):
     docs, labelled = spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     cut = {(x.stratum, x.rule): x for x in quality_rules.certified_cutoffs(docs, labelled).collect()}
     assert cut[("=en", "symbols")].cutoff < 2 and cut[("null", "symbols")].cutoff < 2
-    for x in cut.values():
-        assert binomial_tail(x.n_rejected, x.n_good, 0.01) <= 0.05 / (2 * 5) * 1.0001
+    levels = {x.stratum: x for x in quality_rules.certified_levels(docs, labelled).collect()}
+    for name, lang in (("=en", "en"), ("null", None)):
+        good = [rule_ratios(t) for (_, t, k), (_, q, _) in zip(texts, labels, strict=True) if k == lang and q and not base_fails(t)]
+        taken = []
+        for j in range(quality_rules.LEVELS):
+            k = sum(any(x[r] > grid[j] for r, grid in quality_rules.GRIDS.items()) for x in good)
+            if binomial_tail(k, len(good), 0.05) > 0.05 / 2:
+                break
+            taken.append((j, len(good), k))
+        assert tuple(levels[name])[1:4] == taken[-1]
     found = {x.doc_id: x.kept for x in quality_rules.verdicts(docs, labelled).collect()}
     assert sum(not found[i] for i, good, _ in labels if good) <= 0.05 * 4500
     assert sum(not found[i] for i, good, _ in labels if not good) > 0.8 * 1500
@@ -179,11 +256,11 @@ def expected_scores(rows, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_ngram_scores(docs, rows, order, monkeypatch):
     monkeypatch.setattr("skeinframe.llm.blocks.BLOCK_TOKENS", 2000)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-    found = sorted((tuple(r) for r in ngram_lm.scores(docs, order=order).collect()), key=key)
+    found = sorted((tuple(r) for r in ngram_lm.scores(docs, order=order, mu=2.0).collect()), key=key)
     for a, b in zip(found, sorted(expected_scores(rows, order, 2.0), key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
