@@ -12,8 +12,9 @@ shares would weigh less with every copy, and the group would fall below the thre
    t = floor(ln w / r + beta) and keeps the smallest ln c - r (t - beta + 1). Two texts agree in a sample with the
    probability of their weighted Jaccard similarity.
 3. Samples are banded by `rows`. Texts that share a band are compared with its leader, a row each; a second key of each
-   band (two samples more) does so once more among closer texts. The similarity is exact. Then bands go on, with more
-   leaders a round, until none holds two texts of different classes that were not compared or ruled out by a bound.
+   band (two samples more) does so once more among closer texts. Texts of bands that still hold several classes are
+   then searched for links between classes, rarest shingles first, where most pairs that can't reach the threshold never
+   meet. The similarity of a pair is exact.
 4. Verified links become classes by alternating star contractions, over tables in the shared folder.
 
 Cases. Null or wordless text: a class of its own. Null doc_id: null class, never a duplicate. Rows that share a doc_id
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -260,74 +261,70 @@ def similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-#: Texts of a band, outside its largest class, that are compared with all its others in the first round; times GROWTH in each next one.
-LEADERS = 32
-GROWTH = 8
+def elements(vectors: pd.Series) -> pd.DataFrame:
+    """A column of vectors as arrays of shingles and of their weights."""
+    both = [unpack_vector(v) for v in vectors]
+    return pd.DataFrame({"e": [k.view(np.int32) for k, _ in both], "w": [w for _, w in both]})
+
+
+def able(texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, other), doc_id > other: pairs of different classes that may reach the threshold, and all that do.
+
+    texts: (doc_id, class_id, weight, vector), once each. Shingles have one order: those of a single class, then by the
+    number of texts that have them, rarest first. What two texts share lies, in both, at or after the first shingle they
+    share, so what weighs less from there on than the threshold asks for needs no look. As similar texts share at least
+    `threshold` of each one's weight, a text only stands under the shingles up to that remainder, and texts with much of
+    their own under none. Of a shingle's texts those outside its largest class are joined with those of other classes.
+    """
+    unpack = F.pandas_udf(elements, "e array<int>, w array<long>")
+    texts = texts.withColumns({"text": F.xxhash64("vector"), "u": unpack("vector")}).drop("vector")
+    rows = texts.select("doc_id", "text", "class_id", "weight", F.explode(F.arrays_zip("u.e", "u.w")).alias("z")).select("doc_id", "text", "class_id", "weight", "z.e", "z.w")
+    common = rows.groupBy("e").agg(F.count("*").alias("n"), F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("e", "n")
+    rest = F.sum("w").over(Window.partitionBy("doc_id", "text").orderBy(F.desc("n"), "e").rowsBetween(Window.unboundedPreceding, 0))
+    under = cut(rows.join(common, "e").withColumn("rest", rest).where(F.col("rest") >= threshold * F.col("weight")).select("e", "doc_id", "class_id", "weight", "rest"))
+    sizes = under.groupBy("e", "class_id").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("e").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("e", F.col("most.class_id").alias("largest"))
+    x, y = under.join(largest, "e").where("class_id <> largest").alias("x"), under.alias("y")
+    enough = F.least("x.rest", "y.rest") * (1 + threshold) >= threshold * (F.col("x.weight") + F.col("y.weight")) - 1e-6
+    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.class_id") != F.col("y.class_id")) & enough)
+    return pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("doc_id"), F.least("x.doc_id", "y.doc_id").alias("other")).distinct()
 
 
 def links(texts: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, other): other is the smallest id of the class that doc_id is linked to. texts: rows of TEXT.
 
     First each band's texts are compared with its leader, the one that shares bands with most others (what all its near
-    copies were made from, if it is there). Then bands whose texts are of several classes go on: texts outside a band's
-    largest class are compared with all its texts of other classes and leave it, until it holds one class. So of any two
-    texts that share a band, both are in one class, or they were compared, or a bound rules them out: similarity is at
-    most the ratio of total weights, and 1 - similarity is a metric, so two texts differ by no less than their
-    differences from the leader do.
+    copies were made from, if it is there). Then all texts of bands that hold several classes are searched for pairs of
+    different classes (`able`). So of any two texts that share a band, both are in one class, or they were compared, or
+    they can't reach the threshold.
     """
     similarity = F.pandas_udf(similarities, "double")
     vectors = texts.where("vector IS NOT NULL").select("doc_id", "weight", "vector")
     first, second = (vectors.select(F.col("doc_id").alias(n), F.col("weight").alias(f"{n}_weight"), F.col("vector").alias(f"{n}_vector")) for n in ("doc_id", "other"))
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(doc_id, other, s) of pairs; without those whose total weights differ by more than the threshold."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """(doc_id, other) of the pairs that reach the threshold; their total weights differ by no more than it."""
         both = pairs.distinct().join(first, "doc_id").join(second, "other")
         both = both.where(F.least("doc_id_weight", "other_weight") >= threshold * F.greatest("doc_id_weight", "other_weight"))
-        return cut(both.select("doc_id", "other", similarity("doc_id_vector", "other_vector").alias("s")))
-
-    def pair(a: str, b: str) -> list[Column]:
-        return [F.greatest(a, b).alias("doc_id"), F.least(a, b).alias("other")]
+        return cut(both.select("doc_id", "other", similarity("doc_id_vector", "other_vector").alias("s")).where(F.col("s") >= threshold).select("doc_id", "other"))
 
     members = texts.select("doc_id", F.explode("keys").alias("key")).distinct()
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     degree = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    # a doc_id with several texts has a range of weights, and no one difference from a leader
-    weights = vectors.groupBy("doc_id").agg(F.min("weight").alias("light"), F.max("weight").alias("heavy"), (F.count("*") == 1).alias("one"))
-    members = cut(members.join(degree.join(weights, "doc_id"), "doc_id"))
-    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "heavy", "one")).alias("b")
-    leaders = members.groupBy("key").agg(best, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("b.minus")).alias("leader"), F.col("b.heavy").alias("leader_weight"), (F.col("b.one")).alias("leader_one"))
-    tries = cut(members.join(leaders, "key"))
-    scored = compared(tries.where("doc_id <> leader").select(*pair("doc_id", "leader")))
-    named = components(scored.where(F.col("s") >= threshold).select("doc_id", "other"))
-
-    told = scored.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.max("s").alias("s"))
-    told = tries.join(told, (F.greatest("doc_id", "leader") == F.col("a")) & (F.least("doc_id", "leader") == F.col("b")), "left")
-    exact = F.col("one") & F.col("leader_one")
-    most = F.least("heavy", "leader_weight") / F.greatest("heavy", "leader_weight")
-    near = F.when(~exact, 0.0).when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", most))
-    far = F.when(~exact, 1.0).when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0)))
+    members = cut(members.join(degree, "doc_id"))
+    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("b")
+    leaders = members.groupBy("key").agg(best, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("b.minus")).alias("leader"))
+    tries = members.join(leaders, "key").where("doc_id <> leader")
+    named = components(linked(tries.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("other"))))
+
     # texts that share a second key share the first one too
-    members = cut(told.where("key & 1 = 0").select("doc_id", "key", "light", "heavy", near.alias("near"), far.alias("far")))
-    several = LEADERS
-    while True:
-        own = cut(members.join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
-        sizes = own.groupBy("key", "class_id").agg(F.count("*").alias("n"))
-        bands = sizes.groupBy("key").agg(F.max(F.struct("n", "class_id")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-        own = own.join(bands.select("key", F.col("most.class_id").alias("largest"), (F.col("n") - F.col("most.n")).alias("outside")), "key")
-        leads = (F.col("class_id") != F.col("largest")) & (F.pmod(F.xxhash64("doc_id", "key", F.lit(several)), F.col("outside")) < several)
-        own = cut(own.withColumn("leads", leads).drop("largest", "outside"))
-        if own.isEmpty():
-            return named.select("doc_id", F.col("class_id").alias("other"))
-        x, y = own.where("leads").alias("x"), own.alias("y")
-        able = (F.col("x.heavy") >= threshold * F.col("y.light")) & (F.col("y.heavy") >= threshold * F.col("x.light"))
-        able &= (F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far")) <= 1 - threshold + 1e-9)
-        once = ~F.col("y.leads") | (F.col("x.doc_id") < F.col("y.doc_id"))
-        tries = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") != F.col("y.class_id")) & once & able).select(*pair("x.doc_id", "y.doc_id"))
-        new = compared(tries).where(F.col("s") >= threshold).select("doc_id", "other")
-        if not new.isEmpty():
-            named = components(named.select("doc_id", F.col("class_id").alias("other")).unionByName(new))
-        members = cut(own.where("NOT leads").select("doc_id", "key", "light", "heavy", "near", "far"))
-        several *= GROWTH
+    own = cut(members.where("key & 1 = 0").select("doc_id", "key").join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    mixed = own.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("key")
+    mixed = own.join(mixed, "key").select("doc_id", "class_id").distinct()
+    more = linked(able(mixed.join(vectors, "doc_id").distinct(), threshold))
+    if not more.isEmpty():
+        named = components(named.select("doc_id", F.col("class_id").alias("other")).unionByName(more))
+    return named.select("doc_id", F.col("class_id").alias("other"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
