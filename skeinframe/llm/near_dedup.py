@@ -228,7 +228,8 @@ def prepared(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         keys = band_keys(samples(own.key, np.log(own.weight).astype(np.float32), own.starts, bands * rows), rows)
         return pd.DataFrame({"block": left.block.iloc[0], "place": np.repeat(wanted, keys.shape[1]), "key": keys.ravel()}, columns=columns)
 
-    keys = packed.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(sampled, "block long, place int, key long")
+    # kept, as both the count and the join read it, and sampling is what costs most
+    keys = cut(packed.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(sampled, "block long, place int, key long"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     busy = keys.join(shared, "key").select("block", F.lit(-2).cast("long").alias("owner"), F.lit(None).cast("binary").alias("payload"), "place", "key")
 

@@ -117,6 +117,32 @@ def test_links_under_a_leader_unlike_both(spark):
     assert joined(spark, texts) == {2: 1}
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_pairs_that_may_reach_the_threshold(spark, threshold):
+    """Every pair of different classes at the threshold or over is named; weights differ, ids and texts repeat."""
+    r = random.Random(5)
+    rows, base = [], {k: r.randint(1, 4) for k in range(60)}
+    for i in range(120):
+        own = dict(base if i % 3 else {k: r.randint(1, 4) for k in r.sample(range(90), 40)})
+        for k in r.sample(sorted(own), r.randint(0, 12)):
+            del own[k]
+            own[r.randrange(60, 400)] = r.randint(1, 4)
+        key = np.array(sorted(own), np.uint64) << np.uint64(32)
+        weight = np.array([own[k] for k in sorted(own)], np.uint32)
+        rows.append((i // 2 if i < 6 else i, i % 7, int(weight.sum()), near_dedup.pack_vector(key, weight), own))
+    rows.append((200, 50, *rows[10][2:]))
+    found = {(x.doc_id, x.other) for x in near_dedup.able(spark.createDataFrame([x[:4] for x in rows], "doc_id long, class_id long, weight long, vector binary"), threshold).collect()}
+
+    def like(a, b):
+        both = sum(min(w, b.get(k, 0)) for k, w in a.items())
+        return both / (sum(a.values()) + sum(b.values()) - both)
+
+    wanted = {(max(x[0], y[0]), min(x[0], y[0])) for n, x in enumerate(rows) for y in rows[:n] if x[0] != y[0] and x[1] != y[1] and like(x[4], y[4]) >= threshold}
+    every = sum(x[1] != y[1] for n, x in enumerate(rows) for y in rows[:n])
+    assert wanted and wanted <= found
+    assert len(found) < every
+
+
 def drifting(seed=11, n=240):
     """A chain, each text the one before with a few words changed, and texts that drift from one base each in their own way."""
     r = random.Random(seed)
