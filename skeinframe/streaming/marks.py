@@ -86,7 +86,7 @@ def without_repeats(marks: DataFrame, late: str = "10 seconds") -> DataFrame:
 def stash_batch(balances: DataFrame | None, moves: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, balance, ts) after a batch of moves (keys, ts, move_id, is_purchase, quantity), on top of earlier balances.
 
-    Moves not after a key's last one are dropped: the clamp at 0 makes order matter.
+    Moves not after a key's last one are dropped (late_moves has them): the clamp at 0 makes order matter.
     """
     if balances is not None:
         moves = moves.join(balances.select(*keys, F.col("ts").alias("last_ts")), keys, "left").where("last_ts IS NULL OR ts > last_ts").drop("last_ts")
@@ -96,11 +96,19 @@ def stash_batch(balances: DataFrame | None, moves: DataFrame, keys: list[str]) -
     return ledger.groupBy(*keys).agg(F.max(F.struct("ts", "move_id", "balance")).alias("m")).select(*keys, "m.balance", "m.ts")
 
 
-def stream_stash(moves: DataFrame, folder: str, checkpoint: str, keys: list[str], wrap: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """A stream writer that keeps balances by key in tables folder/batch=<n>."""
+def late_moves(balances: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, late): how many moves of each key are not after its last one, which stash_batch drops."""
+    last = balances.select(*keys, F.col("ts").alias("last_ts"))
+    return moves.join(last, keys).where("ts <= last_ts").groupBy(*keys).agg(F.count("*").alias("late"))
+
+
+def stream_stash(moves: DataFrame, folder: str, checkpoint: str, keys: list[str], wrap: Callable[[DataFrame], DataFrame] = lambda df: df, late: str | None = None):
+    """A stream writer that keeps balances by key in tables folder/batch=<n>, and counts of late moves in late/batch=<n>."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         old = latest_snapshot(batch.sparkSession, folder, epoch)
+        if late is not None and old is not None:
+            late_moves(old, batch, keys).write.mode("overwrite").parquet(f"{late}/batch={epoch}")
         wrap(stash_batch(old, batch, keys)).write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
     return moves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
