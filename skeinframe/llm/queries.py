@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, quality_rules, secret_scan, substring_dedup, url_filter, warc
+from . import chat_format, decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 #: The rules that op9 judges by.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -58,6 +58,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = f"{chat_format.END}{chat_format.ROLE} ok {chat_format.TEXT}"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    made = chat_format.examples(turns.unionByName(more))
+    return chat_format.read_back(made, in_order=True).drop("n_examples")
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -75,10 +83,23 @@ m AS (SELECT page_id, host, path, action, rhost || rpath AS rule, row_number() O
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE n = 1"""
 
 
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+e AS (SELECT *, 17 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) AS chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM c),
+p AS (SELECT *, 3 + sum(chars) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR n = n_turns) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination)}
+    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination, op11_chat_format)}
     return made
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_chat_format": OP11_SQL}
