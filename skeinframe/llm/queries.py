@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, quality_rules, secret_scan, substring_dedup, url_filter, warc
+from . import chat_format, decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, prefix_trie, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 #: The rules that op9 judges by.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -66,6 +66,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(made, in_order=True).drop("n_examples")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.paths(table(spark, sf_dir, "conversations"), near=5)
+    return prefix_trie.nodes(prefix_trie.grafted(found, most=9)).drop("turn_key")
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -96,10 +101,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id"""
 
 
+OP13_SQL = """
+WITH own AS (SELECT conv_id AS c, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS bytes,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+ids AS (SELECT c, c - c % 5 AS base, xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+               lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h FROM counts),
+built AS (SELECT i.c, x.n AS d, x.k, x.bytes FROM ids i JOIN own x ON x.c = i.base AND x.n <= i.h
+          UNION ALL SELECT i.c, least(i.h, coalesce(b.n, 0)) + x.n - i.h, x.k, x.bytes FROM ids i JOIN own x ON x.c = i.c AND x.n > i.h LEFT JOIN counts b ON b.c = i.base),
+m AS (SELECT c, d, md5(string_agg(k, ',') OVER (PARTITION BY c ORDER BY d)) AS node, bytes FROM built UNION ALL SELECT c, 0, 'root', 0 FROM ids),
+last AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+nodes AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY node, d),
+up AS (SELECT nodes.*, p.node AS parent FROM nodes LEFT JOIN m p ON p.c = nodes.conv_id AND p.d = nodes.d - 1),
+kids AS (SELECT parent AS node, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT a.node, sum((up.n_convs - 1) * up.bytes) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM up JOIN m a ON a.c = up.conv_id AND a.d <= up.d LEFT JOIN kids ON kids.node = up.node GROUP BY a.node),
+ends AS (SELECT m.node, sha256(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c)) AS sha FROM m JOIN last ON m.c = last.c AND m.d = last.d GROUP BY m.node)
+SELECT up.conv_id, CAST(up.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, up.n_convs, coalesce(kids.n, 0) AS n_children, below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
+FROM up JOIN below ON below.node = up.node LEFT JOIN kids ON kids.node = up.node LEFT JOIN ends ON ends.node = up.node LEFT JOIN nodes p ON p.node = up.parent"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination, op11_chat_format)}
+    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination, op11_chat_format, op13_prefix_trie)}
     return made
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_chat_format": OP11_SQL}
+    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_chat_format": OP11_SQL, "op13_prefix_trie": OP13_SQL}

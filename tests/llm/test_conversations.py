@@ -6,7 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from skeinframe.llm import chat_format
+from skeinframe.llm import chat_format, prefix_trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, example long, part string, extra int"
 
@@ -99,3 +99,81 @@ def test_formatting_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat_format.read_back(chat_format.examples(empty)).count() == 0
     assert chat_format.whole_texts(chat_format.examples(empty)).count() == 0
+
+
+def expected_nodes(rows, graft=True):
+    """The trie by brute force: every beginning of every rebuilt conversation as a tuple of turns."""
+    own = defaultdict(list)
+    for c, t, role, text, *_ in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((t is not None, t or 0, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9 if graft else 0
+        built[c] = tuple(own.get(c - c % 5, [])[:h] + turns[h:])
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, path in built.items():
+        ends[path].append(c)
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    leaves, saved, children = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    for node, got in members.items():
+        mine = (len(got) - 1) * len(node[-1][1].encode()) if node else 0
+        for d in range(len(node) + 1):
+            saved[node[:d]] += mine
+            leaves[node[:d]] += not children[node]
+    return sorted(
+        (min(v), len(k), min(members[k[:-1]]) if k else -1, len(v), children[k], leaves[k], saved[k], sha(",".join(map(str, sorted(ends.get(k, [])))))) for k, v in members.items()
+    )
+
+
+def got_nodes(df):
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect())
+
+
+def trees(seed=4, n=300):
+    """Conversations of few different turns, copies of one, repeated rows and gaps in the ids."""
+    r = random.Random(seed)
+    rows = []
+    for c in r.sample(range(n * 2), n):
+        kind = r.random()
+        if kind < 0.3:
+            turns = [("user", "same"), ("assistant", "é" * 5), ("user", "end")]
+        else:
+            turns = [(r.choice(["user", "assistant", None]), r.choice(["a", "b", "", None, "cc"])) for _ in range(r.choice([1, 2, 4, 7, 12]))]
+        rows += [(c, r.choice([t, t, t, None]), *x, 1, "p", 2) for t, x in enumerate(turns)]
+    rows += r.sample(rows, 20) + [(None, 0, "user", "x", 1, "p", 2)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("shard_turns,deepest", [(10**6, 64), (150, 64), (20, 64), (20, 2), (5, 1)])
+@pytest.mark.parametrize("graft", [True, False])
+def test_trie_equals_brute_force(spark, shard_turns, deepest, graft):
+    rows = trees()
+    found = prefix_trie.paths(spark.createDataFrame(rows, SCHEMA), near=5)
+    found = prefix_trie.grafted(found) if graft else found
+    assert got_nodes(prefix_trie.nodes(found, shard_turns, deepest)) == expected_nodes(rows, graft)
+
+
+def test_trie_of_copies_and_long_conversations(spark, monkeypatch):
+    """Half of all conversations are copies, so splitters fall among them; one conversation is long."""
+    monkeypatch.setattr(prefix_trie, "CHUNK", 16)
+    rows = [(c, t, "user", f"copy {t}") for c in range(0, 600, 2) for t in range(3)] + [(c, 0, "user", f"own {c}") for c in range(1, 600, 2)]
+    long = [(1000, t, "user", f"long {t}") for t in range(5000)]
+    df = spark.createDataFrame(rows + long, "conv_id long, turn long, role string, text string")
+    got = got_nodes(prefix_trie.nodes(prefix_trie.grafted(prefix_trie.paths(df, near=5)), 200, 64))
+    want = expected_nodes(rows)  # without the long one, as brute force takes the square of its length
+    assert sum(x[0] == 1000 and x[3] == 1 and x[6] == 0 for x in got) == 5000 and max(x[1] for x in got) == 5000
+    assert [x for x in got if x[0] != 1000 and x[1]] == [x for x in want if x[1]]
+    root, want_root = (next(x for x in y if x[1] == 0) for y in (got, want))
+    assert root[3] == want_root[3] + 1 and root[5] == want_root[5] + 1
+
+
+def test_trie_without_rows(spark):
+    assert prefix_trie.nodes(prefix_trie.grafted(prefix_trie.paths(spark.createDataFrame([], SCHEMA), near=5))).count() == 0
