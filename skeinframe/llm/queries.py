@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, license_scan, near_dedup, ngram_lm, piece_lattice, prefix_trie, quality_rules, secret_scan, substring_dedup, url_filter, warc
+from . import chat_format, decontamination, license_scan, near_dedup, ngram_lm, phrase_mining, piece_lattice, prefix_trie, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 #: The rules that op9 judges by.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -66,6 +66,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(made, in_order=True).drop("n_examples")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_trie.paths(table(spark, sf_dir, "conversations"), near=5)
     return prefix_trie.nodes(prefix_trie.grafted(found, most=9)).drop("turn_key")
@@ -101,6 +105,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id"""
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT doc, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece, generate_subscripts(string_split_regex(text, '[.,;:!?\x0A-\x0D]'), 1) AS pn FROM d),
+w AS (SELECT doc, lang, pn, unnest(regexp_extract_all(piece, '[^\x20\x09]+')) AS w, generate_subscripts(regexp_extract_all(piece, '[^\x20\x09]+'), 1) AS wn FROM p),
+s AS (SELECT lang, w AS w1, lead(w, 1) OVER q AS w2, lead(w, 2) OVER q AS w3, lead(w, 3) OVER q AS w4, lead(w, 4) OVER q AS w5 FROM w WINDOW q AS (PARTITION BY doc, pn ORDER BY wn)),
+f AS (SELECT lang, ws, len(ws) AS k, count(*) AS a FROM (SELECT lang, unnest([[w1], CASE WHEN w2 IS NOT NULL THEN [w1, w2] END, CASE WHEN w3 IS NOT NULL THEN [w1, w2, w3] END, CASE WHEN w4 IS NOT NULL THEN [w1, w2, w3, w4] END, CASE WHEN w5 IS NOT NULL THEN [w1, w2, w3, w4, w5] END]) AS ws FROM s) WHERE ws IS NOT NULL GROUP BY lang, ws HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+c AS (SELECT f.lang, f.ws, f.a, n.n, unnest(range(1, f.k)) AS cut FROM f JOIN n ON n.lang = f.lang WHERE f.k >= 2),
+sc AS (SELECT c.lang, c.ws, c.a, c.n, c.cut, x.a AS l, y.a AS r, CAST((1000::HUGEINT * c.a * c.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[:c.cut] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.cut + 1:]),
+b AS (SELECT lang, ws, a, n, arg_min({'l': l, 'r': r, 'score': score}, (score, cut)) AS m FROM sc GROUP BY lang, ws, a, n),
+inside AS (SELECT DISTINCT f.lang, f.ws[i:j] AS ws, f.a FROM f, range(1, 6) t(i), range(1, 6) u(j) WHERE i <= j AND j <= f.k AND j - i + 1 < f.k)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.m.l AS l, b.m.r AS r, b.n, b.m.score AS score FROM b ANTI JOIN inside ON inside.lang = b.lang AND inside.ws = b.ws AND inside.a = b.a)
+QUALIFY rank <= 2000"""
+
 OP13_SQL = """
 WITH own AS (SELECT conv_id AS c, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS bytes,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
@@ -121,9 +140,9 @@ FROM up JOIN below ON below.node = up.node LEFT JOIN kids ON kids.node = up.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination, op11_chat_format, op13_prefix_trie)}
+    made = {f.__name__: f for f in (op1_warc_index, op2_substring_dedup, op3_quality_rules, op4_sentencepiece, op5_secret_scan, op6_license_scan, op7_ngram_scores, op8_near_dedup, op9_url_filter, op10_decontamination, op11_chat_format, op12_phrase_mining, op13_prefix_trie)}
     return made
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_chat_format": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op1_warc_index": OP1_SQL, "op6_license_scan": license_scan.oracle_sql(), "op9_url_filter": OP9_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_chat_format": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_prefix_trie": OP13_SQL}
