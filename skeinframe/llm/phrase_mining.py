@@ -43,8 +43,8 @@ from .shared import new_folder
 BLOCK_WORDS = 1 << 20
 #: Tiles have this many ids a side in the corner, double with the ids, and never have more than WIDEST.
 NARROWEST, WIDEST = 64, 1024
-#: A tile is dense where it gets at least one entry for so many cells.
-DENSE = 16
+#: A tile is dense where it gets at least one entry for so many cells; all dense tiles of a task have so many times its entries.
+DENSE = 8
 U64, U32 = np.uint64, np.uint32
 #: No frequent phrase begins here.
 NONE = np.iinfo(np.uint32).max
@@ -142,15 +142,19 @@ def tile_of(pairs: np.ndarray) -> np.ndarray:
     return band(left).astype(U64) << U64(32) | band(right).astype(U64)
 
 
-def dense_counts(pairs: np.ndarray, counts: np.ndarray | None, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of one tile with totals, by an array of all its cells."""
-    rows, cols = np.int64(tile >> 32), np.int64(tile & 0xFFFFFFFF)
-    top, start, width = int(band_start(rows)), int(band_start(cols)), int(band_width(cols))
-    cell = ((pairs >> U64(32)).astype(np.int64) - top) * width + (pairs & U64(0xFFFFFFFF)).astype(np.int64) - start
+def dense_counts(pairs: np.ndarray, counts: np.ndarray | None, tiles: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs with totals, by an array of all cells of some tiles, side by side. place: each pair's tile among them."""
+    rows, cols = (tiles >> U64(32)).astype(np.int64), (tiles & U64(0xFFFFFFFF)).astype(np.int64)
+    top, left, width = band_start(rows), band_start(cols), band_width(cols)
+    ends = np.cumsum(band_width(rows) * width)
+    first = ends - band_width(rows) * width
+    cell = first[place] + ((pairs >> U64(32)).astype(np.int64) - top[place]) * width[place] + (pairs & U64(0xFFFFFFFF)).astype(np.int64) - left[place]
     # weights are summed as doubles, exact below 2 ** 53
     total = np.bincount(cell, counts) if counts is not None else np.bincount(cell)
     cell = np.flatnonzero(total)
-    return (cell // width + top).astype(U64) << U64(32) | (cell % width + start).astype(U64), total[cell].astype(np.int64)
+    at = np.searchsorted(ends, cell, side="right")
+    inside = cell - first[at]
+    return (inside // width[at] + top[at]).astype(U64) << U64(32) | (inside % width[at] + left[at]).astype(U64), total[cell].astype(np.int64)
 
 
 def sorted_counts(pairs: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -162,19 +166,30 @@ def sorted_counts(pairs: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndar
     return pairs[starts], total.astype(np.int64)
 
 
+def numbered(tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tiles, each pair's tile among them, and the pairs of each; without sorting where the plane is small."""
+    rows, cols = tiles >> U64(32), tiles & U64(0xFFFFFFFF)
+    width = int(cols.max()) + 1 if len(tiles) else 1
+    if len(tiles) and (int(rows.max()) + 1) * width <= 4 * len(tiles) + 1024:
+        code = (rows * U64(width) + cols).astype(np.int64)
+        n = np.bincount(code)
+        there = np.flatnonzero(n)
+        number = np.empty(len(n), np.int64)
+        number[there] = np.arange(len(there))
+        return (there // width).astype(U64) << U64(32) | (there % width).astype(U64), number[code], n[there]
+    kinds, place, n = np.unique(tiles, return_inverse=True, return_counts=True)
+    return kinds, place, n
+
+
 def count_pairs(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs in order with totals: dense tiles by bincount, what is left by sorting."""
-    tiles = tile_of(pairs)
-    found = []
-    kinds, n = np.unique(tiles, return_counts=True)
-    for tile, entries in zip(kinds.tolist(), n.tolist(), strict=True):
-        cells = int(band_width(np.int64(tile >> 32)) * band_width(np.int64(tile & 0xFFFFFFFF)))
-        if entries * DENSE >= cells:
-            here = tiles == U64(tile)
-            found.append(dense_counts(pairs[here], None if counts is None else counts[here], tile))
-            tiles, pairs = tiles[~here], pairs[~here]
-            counts = None if counts is None else counts[~here]
-    found.append(sorted_counts(pairs, counts))
+    kinds, place, n = numbered(tile_of(pairs))
+    dense = n * DENSE >= band_width((kinds >> U64(32)).astype(np.int64)) * band_width((kinds & U64(0xFFFFFFFF)).astype(np.int64))
+    here = dense[place]
+    some = lambda mask: None if counts is None else counts[mask]
+    found = [sorted_counts(pairs[~here], some(~here))]
+    if here.any():
+        found.append(dense_counts(pairs[here], some(here), kinds[dense], (np.cumsum(dense) - 1)[place[here]]))
     keys, totals = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     order = np.argsort(keys, kind="stable")
     return keys[order], totals[order]
@@ -190,7 +205,7 @@ def pairs_of(ids: np.ndarray) -> np.ndarray:
 
 
 def owners_of(lang: str, tiles: np.ndarray, owners: int) -> np.ndarray:
-    kinds, place = np.unique(tiles, return_inverse=True)
+    kinds, place, _ = numbered(tiles)
     head = lang.encode()
     return np.array([xxhash.xxh3_64_intdigest(head + t.to_bytes(8, "little")) % owners for t in kinds.tolist()], np.int64)[place] if len(kinds) else np.zeros(0, np.int64)
 
@@ -304,8 +319,12 @@ def renumbered_pairs(data: bytes, answers: list[bytes]) -> np.ndarray:
     keys, ids = np.concatenate([unpack_pairs(p[0]) for p in parts]), np.concatenate([unpack_ints(p[1], U32) for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
-    place = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-    return np.where(keys[place] == pairs, ids[place], NONE).astype(U32)
+    out = np.full(len(pairs), NONE, U32)
+    there = np.flatnonzero(pairs != np.iinfo(U64).max)
+    place = np.minimum(np.searchsorted(keys, pairs[there]), len(keys) - 1)
+    same = keys[place] == pairs[there]
+    out[there[same]] = ids[place[same]]
+    return out
 
 
 def without_lone(ids: np.ndarray) -> np.ndarray:
