@@ -15,7 +15,9 @@ from skeinframe.functions.text import baseline_rate, ceil_safe, normalise_code,
 from skeinframe.operators import grid, image, matching, progress, quality, regions, reports, stash, threads, usage
 from skeinframe.plans import sqlcolor
 from skeinframe.sources import codec, tables
-from skeinframe.sources.views import view, with_views
+from skeinframe.sources.views import stream_view, view, with_views
+from skeinframe.sources.folders import shared_folder
+from skeinframe.streaming import ledger, snapshot
 from skeinframe.streaming import marks as marks_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -834,3 +836,34 @@ def x1e(spark, d):
 @query("x2_autosave", with_views(", g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY design_id ORDER BY ts) + INTERVAL 1500 MILLISECONDS THEN 0 ELSE 1 END AS fresh FROM v_marks), s AS (SELECT *, sum(fresh) OVER (PARTITION BY design_id ORDER BY ts) AS burst FROM g) SELECT design_id, min(ts) AS saved_from, max(ts) + INTERVAL 1500 MILLISECONDS AS saved_at, count(*) AS n_marks, arg_max(idx, struct_pack(t := ts, m := mark_id)) AS last_idx FROM s GROUP BY design_id, burst", "marks"))
 def x2(spark, d):
     return marks_.autosave(marks_.without_repeats(view(spark, d, "marks"))).select("design_id", "saved_from", "saved_at", "n_marks", "last_idx")
+
+
+#: The watermark at the end of a stream over all events, which a last batch without data brings.
+WATERMARK = "date_trunc('milliseconds', (SELECT max(ts) FROM v_{})) - INTERVAL 10 SECONDS"
+
+
+@query("x1_stream_snapshot", with_views(" SELECT design_id, idx, arg_max(done, struct_pack(t := ts, m := mark_id)) AS done FROM v_marks GROUP BY 1, 2", "marks"))
+def x1s(spark, d):
+    folder = shared_folder(spark, "marks")
+    snapshot.stream_snapshot(stream_view(spark, d, "marks"), folder, f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return snapshot.snapshot(spark, folder).select("design_id", "idx", "done")
+
+
+AUTOSAVE_SQL = SQL["x2_autosave"]
+
+
+@query("x2_stream_autosave", f"WITH marks_ AS ({AUTOSAVE_SQL}) SELECT * FROM marks_ WHERE saved_at <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECONDS FROM events)")
+def x2s(spark, d):
+    folder = shared_folder(spark, "saves")
+    saves = marks_.autosave(marks_.without_repeats(stream_view(spark, d, "marks")), late=None).select("design_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("saved_from", "saved_at")], "n_marks", "last_idx")
+    saves.writeStream.format("parquet").option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start(folder).awaitTermination()
+    return spark.read.schema(saves.schema).parquet(folder)
+
+
+@query("x3_stream_ledger", with_views(LEDGER_SQL + f" SELECT user_id, move_id, balance FROM ledger WHERE ts <= {WATERMARK.format('moves')}", "moves"))
+def x3s(spark, d):
+    """Every move that the watermark has passed, with the balance after it."""
+    folder = shared_folder(spark, "ledger")
+    moves = ledger.stream_ledger(stream_view(spark, d, "moves"), ["user_id"])
+    moves.writeStream.format("parquet").option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start(folder).awaitTermination()
+    return spark.read.schema(moves.schema).parquet(folder).where("NOT late").select("user_id", "move_id", long("balance"))

@@ -93,6 +93,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raise KeyError(name)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same rows as a stream, for views of one table; ts as an instant, which event time has to be."""
+    source, where, columns = PLAIN[name]
+    # a stream's path is a folder or a pattern; this one fits the table whether it is one file or a folder of files
+    rows = spark.readStream.schema(table(spark, sf_dir, source).schema).parquet(f"{sf_dir}/{source}.parque[t]")
+    return (rows.where(where) if where else rows).selectExpr(*[f"CAST({e} AS TIMESTAMP) AS ts" if c == "ts" else f"{e} AS {c}" for c, e in columns.items()])
+
+
 STASH = {
     "user_id": "l_suppkey",
     "brand": "lower(p_brand)",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinframe.operators.stash import stash_ledger
@@ -42,38 +40,13 @@ def merge_marks(snapshot: DataFrame, marks: DataFrame) -> DataFrame:
     return apply_marks(snapshot.unionByName(marks.select(*snapshot.columns)))
 
 
-def stream_marks(marks: DataFrame, folder: str, checkpoint: str):
-    """Starts a stream of cell marks into snapshot tables folder/batch=<n>; read the highest with latest_snapshot().
-
-    Each micro-batch is merged with the last snapshot and written beside it, so a repeated batch writes the same again.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select("design_id", "idx", "done", "ts", "mark_id")
-        old = latest_snapshot(spark, folder, epoch)
-        (merge_marks(old, new) if old is not None else apply_marks(new)).write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
-
-    return marks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
-
-
-def latest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The snapshot of the highest batch (below `before`), or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return None
-    found = [int(n.split("=")[1]) for s in system.listStatus(path) if (n := s.getPath().getName()).startswith("batch=")]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{folder}/batch={max(found)}") if found else None
-
-
-def autosave(marks: DataFrame, quiet: str = "1500 milliseconds", late: str = "10 seconds") -> DataFrame:
+def autosave(marks: DataFrame, quiet: str = "1500 milliseconds", late: str | None = "10 seconds") -> DataFrame:
     """(design_id, saved_from, saved_at, n_marks, last_idx, last_done): one save for each burst of marks followed by quiet.
 
-    The same on a table and on a stream (append mode; the watermark bounds the state).
+    The same on a table and on a stream (append mode; the watermark bounds the state). late=None: ts has a watermark already,
+    as after without_repeats, and a query can have only one.
     """
-    rows = marks.withWatermark("ts", late) if marks.isStreaming else marks
+    rows = marks.withWatermark("ts", late) if marks.isStreaming and late is not None else marks
     bursts = rows.groupBy("design_id", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n_marks"), F.max(F.struct("ts", "mark_id", "idx", "done")).alias("m"))
     return bursts.select("design_id", F.col("w.start").alias("saved_from"), F.col("w.end").alias("saved_at"), "n_marks", F.col("m.idx").alias("last_idx"), F.col("m.done").alias("last_done"))
 
@@ -84,31 +57,21 @@ def without_repeats(marks: DataFrame, late: str = "10 seconds") -> DataFrame:
 
 
 def stash_batch(balances: DataFrame | None, moves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, balance, ts) after a batch of moves (keys, ts, move_id, is_purchase, quantity), on top of earlier balances.
+    """(keys, balance, ts, move_id) after a batch of moves (keys, ts, move_id, is_purchase, quantity), on top of earlier ones.
 
-    Moves not after a key's last one are dropped (late_moves has them): the clamp at 0 makes order matter.
+    The clamp at 0 makes order matter: moves that are not after a key's last one by (ts, move_id) are left to late_moves.
+    Batches must therefore follow each other in time; ledger.stream_ledger takes disorder within a watermark.
     """
     if balances is not None:
-        moves = moves.join(balances.select(*keys, F.col("ts").alias("last_ts")), keys, "left").where("last_ts IS NULL OR ts > last_ts").drop("last_ts")
-        first = balances.select(*keys, "ts", F.lit(-1).cast("long").alias("move_id"), F.lit(True).alias("is_purchase"), F.col("balance").alias("quantity"))
+        last = balances.select(*keys, F.struct("ts", "move_id").alias("last"))
+        moves = moves.join(last, keys, "left").where(F.col("last").isNull() | (F.struct("ts", "move_id") > F.col("last"))).drop("last")
+        first = balances.select(*keys, "ts", "move_id", F.lit(True).alias("is_purchase"), F.col("balance").alias("quantity"))
         moves = first.unionByName(moves.select(*first.columns))
     ledger = stash_ledger(moves, keys, ["ts", "move_id"])
-    return ledger.groupBy(*keys).agg(F.max(F.struct("ts", "move_id", "balance")).alias("m")).select(*keys, "m.balance", "m.ts")
+    return ledger.groupBy(*keys).agg(F.max(F.struct("ts", "move_id", "balance")).alias("m")).select(*keys, "m.balance", "m.ts", "m.move_id")
 
 
 def late_moves(balances: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, late): how many moves of each key are not after its last one, which stash_batch drops."""
-    last = balances.select(*keys, F.col("ts").alias("last_ts"))
-    return moves.join(last, keys).where("ts <= last_ts").groupBy(*keys).agg(F.count("*").alias("late"))
-
-
-def stream_stash(moves: DataFrame, folder: str, checkpoint: str, keys: list[str], wrap: Callable[[DataFrame], DataFrame] = lambda df: df, late: str | None = None):
-    """A stream writer that keeps balances by key in tables folder/batch=<n>, and counts of late moves in late/batch=<n>."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        old = latest_snapshot(batch.sparkSession, folder, epoch)
-        if late is not None and old is not None:
-            late_moves(old, batch, keys).write.mode("overwrite").parquet(f"{late}/batch={epoch}")
-        wrap(stash_batch(old, batch, keys)).write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
-
-    return moves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    """(keys, late): how many moves of each key are not after its last one, which stash_batch leaves out."""
+    last = balances.select(*keys, F.struct("ts", "move_id").alias("last"))
+    return moves.join(last, keys).where(F.struct("ts", "move_id") <= F.col("last")).groupBy(*keys).agg(F.count("*").alias("late"))

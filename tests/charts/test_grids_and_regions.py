@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skeinframe.functions import labmath
 from skeinframe.operators import grid, image, matching, quality, regions
 from skeinframe.sources import codec
-from skeinframe.streaming import marks
 
 
 def cells_of(spark, grids, name="pal_idx"):
@@ -229,15 +228,3 @@ def test_natural_colours(spark):
     rows = [(1, i, *((10, 10, 10) if i % 2 else (200, 200, 200)), i) for i in range(200)] + [(1, 200 + i, 90, 10, 200, i) for i in range(3)]
     pixels = spark.createDataFrame([(a, i, r, g, b) for a, i, r, g, b, _ in rows], "image_id long, idx long, r int, g int, b int")
     assert image.natural_colour_count(pixels).first().colours == 2
-
-
-def test_marks_stream_as_batch(spark, tmp_path):
-    r = random.Random(7)
-    rows = [(r.randrange(3), r.randrange(10), f"2024-01-01 00:00:{r.randrange(60):02d}", i, r.random() < 0.5) for i in range(120)]
-    table = spark.createDataFrame(rows, "design_id int, idx int, t string, mark_id int, done boolean").withColumn("ts", F.to_timestamp("t")).drop("t")
-    table.where("mark_id < 60").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    table.where("mark_id >= 60").coalesce(1).write.parquet(f"{tmp_path}/in/b")
-    stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    marks.stream_marks(stream, f"{tmp_path}/out", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
-    key = lambda df: sorted((r.design_id, r.idx, r.done) for r in df.collect())
-    assert key(marks.latest_snapshot(spark, f"{tmp_path}/out")) == key(marks.apply_marks(table))
