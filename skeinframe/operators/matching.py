@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 
 from skeinframe.functions import labmath
 from skeinframe.functions.color import lab_chroma, lab_hue, rgb_to_lab, weighted_lab_distance, with_ciede2000
-from skeinframe.operators.threads import small
+from skeinframe.operators import labindex
 
 
 def with_lab(df: DataFrame) -> DataFrame:
     return df.withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
 
 
-def _nearest(colours: DataFrame, palette: DataFrame, distance, top_n: int) -> DataFrame:
-    """(r, g, b, rank, brand, code, distance): each distinct colour against a palette.
+def _weighted(df: DataFrame, p: str, q: str, name: str) -> DataFrame:
+    return df.withColumn(name, weighted_lab_distance(F.col(p), F.col(q)))
 
-    Distances stay in generated code, right where a colour meets a thread, and are reduced to the best before anything
-    is shuffled: what moves is top_n rows for each distinct colour and task, not colours times threads.
+
+def candidate_pairs(colours: DataFrame, palette: DataFrame, top_n: int = 1, weighted: bool = False) -> DataFrame:
+    """(r, g, b, pos, brand, code, distance): distinct colours with the threads that may be among the nearest top_n.
+
+    A grid over Lab with a lower bound of the distance leaves out threads that are too far; no nearest one is lost.
     """
-    threads = small(with_lab(palette).select("pos", "brand", "code", F.col("lab").alias("thread_lab")))
-    rows = with_lab(colours.select("r", "g", "b").distinct()).join(threads, F.lit(True))
-    scored = distance(rows).select("r", "g", "b", F.struct("distance", "pos", "brand", "code").alias("t"))
+    threads = with_lab(palette).select("pos", "brand", "code", F.col("lab").alias("right_lab"))
+    rows = with_lab(colours.select("r", "g", "b").distinct())
+    distance, reach = (_weighted, labindex.weighted_reach) if weighted else (with_ciede2000, labindex.ciede_reach)
+    return labindex.candidates(rows, threads, [], "lab", distance, reach, top_n).drop("lab", "right_lab")
+
+
+def _nearest(pairs: DataFrame, top_n: int) -> DataFrame:
+    """(r, g, b, rank, brand, code, distance) of candidate pairs."""
+    scored = pairs.select("r", "g", "b", F.struct("distance", "pos", "brand", "code").alias("t"))
     if top_n == 1:
         best = scored.groupBy("r", "g", "b").agg(F.min("t").alias("t")).withColumn("at", F.lit(0))
     else:
@@ -33,33 +42,44 @@ def _nearest(colours: DataFrame, palette: DataFrame, distance, top_n: int) -> Da
 
 
 def match_threads(colours: DataFrame, palette: DataFrame, top_n: int = 1) -> DataFrame:
-    """Nearest threads by CIEDE2000, ties in palette order (pos)."""
-    return _nearest(colours, palette, lambda df: with_ciede2000(df, "lab", "thread_lab", "distance"), top_n)
+    """Nearest threads by CIEDE2000, ties in palette order (pos). A colour with a null channel has none."""
+    return _nearest(candidate_pairs(colours, palette, top_n), top_n)
 
 
 def weighted_match(colours: DataFrame, palette: DataFrame) -> DataFrame:
     """Nearest thread by the hue-weighted distance."""
-    return _nearest(colours, palette, lambda df: df.withColumn("distance", weighted_lab_distance(F.col("lab"), F.col("thread_lab"))), 1)
+    return _nearest(candidate_pairs(colours, palette, weighted=True), 1)
 
 
-def _pairs(palette: DataFrame) -> DataFrame:
-    """All pairs of threads of a brand, by a join on brand: a palette is a bounded dimension."""
-    a = with_lab(palette).select("brand", F.col("pos").alias("pos_a"), F.col("code").alias("code_a"), F.col("lab").alias("lab_a"))
-    b = small(with_lab(palette).select("brand", F.col("pos").alias("pos_b"), F.col("code").alias("code_b"), F.col("lab").alias("lab_b")))
-    return a.join(b, "brand")
+def _sides(palette: DataFrame) -> tuple[DataFrame, DataFrame]:
+    a = with_lab(palette).select("brand", F.col("pos").alias("pos_a"), F.col("code").alias("code_a"), "lab")
+    b = with_lab(palette).select("brand", F.col("pos").alias("pos_b"), F.col("code").alias("code_b"), F.col("lab").alias("right_lab"))
+    return a, b
+
+
+def collision_candidates(palette: DataFrame, jnd: float) -> DataFrame:
+    """Pairs of one brand's threads in reach of jnd, with `de`."""
+    a, b = _sides(palette)
+    pairs = labindex.near(a, b, ["brand"], "lab", *labindex.ciede_reach(F.lit(jnd), F.col("lab"))).where("pos_a < pos_b")
+    return with_ciede2000(pairs, "lab", "right_lab")
 
 
 def thread_collisions(palette: DataFrame, jnd: float = 2.3) -> DataFrame:
     """Pairs of one brand's threads closer than jnd; sort by de to read them."""
-    pairs = with_ciede2000(_pairs(palette).where("pos_a < pos_b"), "lab_a", "lab_b")
-    return pairs.where(F.col("de") < jnd).select("brand", "code_a", "code_b", "de")
+    return collision_candidates(palette, jnd).where(F.col("de") < jnd).select("brand", "code_a", "code_b", "de")
+
+
+def neighbour_candidates(palette: DataFrame) -> DataFrame:
+    """Pairs of one brand's threads, with `distance`; among them each thread's nearest other one."""
+    a, b = _sides(palette)
+    # the thread itself may be one of the two nearest
+    return labindex.candidates(a, b, ["brand"], "lab", with_ciede2000, labindex.ciede_reach, 2).where("pos_a <> pos_b")
 
 
 def nearest_neighbours(palette: DataFrame) -> DataFrame:
     """For each thread the closest other one of its brand, ties in palette order."""
-    pairs = with_ciede2000(_pairs(palette).where("pos_a <> pos_b"), "lab_a", "lab_b")
-    best = pairs.groupBy("brand", "code_a").agg(F.min(F.struct("de", "pos_b", "code_b")).alias("n"))
-    return best.select("brand", F.col("code_a").alias("code"), F.col("n.code_b").alias("nearest"), F.col("n.de").alias("de"))
+    best = neighbour_candidates(palette).groupBy("brand", "code_a").agg(F.min(F.struct("distance", "pos_b", "code_b")).alias("n"))
+    return best.select("brand", F.col("code_a").alias("code"), F.col("n.code_b").alias("nearest"), F.col("n.distance").alias("de"))
 
 
 #: A palette that is sent to tasks whole has at most so many threads.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions.color import rgb_to_lab, with_ciede2000
@@ -83,13 +83,64 @@ def consume_stash(stash: DataFrame, used: DataFrame, now: str) -> DataFrame:
     return rows.select("user_id", "key", "unit", left.alias("quantity"), F.when(F.col("used").isNotNull(), F.lit(now).cast("timestamp")).alias("updated_at"))
 
 
-def stash_ledger(moves: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+#: Keys with more moves than this are scanned in segments, but at most so many keys.
+HEAVY, MOST_HEAVY = 1_000_000, 1000
+#: Segments of a heavy key.
+SEGMENTS = 64
+
+
+def stash_ledger(moves: DataFrame, keys: list[str], order: list[str], heavy: int | None = HEAVY) -> DataFrame:
     """moves with `balance` after each, where a balance never falls below 0 at any step.
 
     With S the running sum of signed quantities, the clamped balance is S - min(0, smallest S so far): no loop needed.
     A start balance goes in as a first purchase.
+
+    A key with more than `heavy` moves (None: no key) doesn't go to one task. Its moves are cut into SEGMENTS by quantiles of
+    the first order column. A segment's sum and smallest running sum are all that later ones need from it, as
+    (sum, smallest) of two neighbours gives that of both: each segment is scanned by itself, the totals of a key's segments
+    in order, and both are put together row by row.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("is_purchase"), F.col("quantity")).otherwise(-F.col("quantity"))
+    if heavy is None:
+        return _scanned(moves, signed, keys, order)
+    n = moves.select(*keys).count()
+    if n <= heavy:
+        return _scanned(moves, signed, keys, order)
+    least = max(heavy, n // MOST_HEAVY)
+    cuts = F.expr(f"percentile_approx(CAST({order[0]} AS DOUBLE), array({', '.join(str(i / SEGMENTS) for i in range(1, SEGMENTS))}), 1000)")
+    some = moves.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least).drop("__n")
+    # at most MOST_HEAVY rows, as each stands for more than a MOST_HEAVYth of all
+    some = F.broadcast(some.select(*[F.col(k).alias(f"__{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    light = _scanned(moves.join(some, same, "left_anti"), signed, keys, order)
+    big = moves.join(some, same, "left_semi")
+    bounds = big.groupBy(*keys).agg(cuts.alias("__cuts")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__cuts")
+    rows = big.join(F.broadcast(bounds), same).withColumn("__seg", F.size(F.filter("__cuts", lambda x: x < F.col(order[0]).cast("double"))))
+    rows = rows.drop("__cuts", *[f"__{k}" for k in keys])
+    return light.unionByName(_in_segments(rows, signed, keys, order).select(*light.columns))
+
+
+def _scanned(moves: DataFrame, signed: Column, keys: list[str], order: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = moves.withColumn("running", F.sum(signed).over(upto))
     return rows.withColumn("balance", F.col("running") - F.least(F.lit(0), F.min("running").over(upto))).drop("running")
+
+
+def _in_segments(rows: DataFrame, signed: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """moves with a segment number `__seg` that rises with their order, scanned by segment."""
+    upto = Window.partitionBy(*keys, "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("running", F.sum(signed).over(upto)).withColumn("lowest", F.min("running").over(upto))
+    total = rows.groupBy(*keys, "__seg").agg(F.sum(signed).alias("sum"), F.min("running").alias("min"))
+    before = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    total = total.withColumn("floor", F.min(F.col("start") + F.col("min")).over(before))
+    # a row for each segment of a heavy key
+    total = F.broadcast(total.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__seg").alias("__at"), "start", "floor"))
+    same = F.col("__seg") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    running = F.col("running") + F.col("start")
+    lowest = F.least(F.lit(0), F.col("lowest") + F.col("start"), F.col("floor"))
+    return rows.join(total, same).withColumn("balance", running - lowest).drop("running", "lowest", "start", "floor", "__at", "__seg", *[f"__{k}" for k in keys])
