@@ -167,15 +167,29 @@ def diff_charts(a: DataFrame, b: DataFrame, sample: int = 12, value: str = "code
 def shape_mask(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """cells (shape_id, y, x, ...) with `inside`: centres inside a polygon by even-odd crossings.
 
-    edges (shape_id, x1, y1, x2, y2). Fewer than three edges: nothing is inside. Crossings are counted in the row against
-    the shape's folded edges (a polygon has a few hundred), so cells are never multiplied.
+    edges (shape_id, x1, y1, x2, y2). Fewer than three edges: nothing is inside. By scanline: an edge becomes its crossings
+    with the rows that it spans, and cells and crossings of a row, in order of x, are counted together. So work follows cells
+    and crossings, however many edges a polygon has, and a row, not a shape, is what a task holds.
     """
-    folded = edges.groupBy("shape_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    rows = cells.join(folded, "shape_id", "left")
-    cx, cy = F.col("x") + 0.5, F.col("y") + 0.5
-    crosses = lambda e: ((e["y1"] > cy) != (e["y2"] > cy)) & (cx < (e["x2"] - e["x1"]) * (cy - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"])
-    inside = F.when(F.size("edges") >= 3, F.size(F.filter("edges", crosses)) % 2 == 1).otherwise(F.lit(False))
-    return rows.withColumn("inside", F.coalesce(inside, F.lit(False))).drop("edges")
+    rows = cells.groupBy("shape_id").agg(F.min("y").alias("top"), F.max("y").alias("low"))
+    named = edges.select("shape_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    first = F.greatest(F.col("top").cast("long"), F.floor(F.least("y1", "y2") - 0.5))
+    last = F.least(F.col("low").cast("long"), F.ceil(F.greatest("y1", "y2") - 0.5))
+    spans = named.join(rows, "shape_id").withColumns({"first": first, "last": last}).where("first <= last AND y1 <> y2")
+    at = spans.withColumn("y", F.explode(F.sequence("first", "last")))
+    cy = F.col("y") + 0.5
+    at = at.where((F.col("y1") > cy) != (F.col("y2") > cy))
+    crossings = at.select("shape_id", F.col("y").cast(cells.schema["y"].dataType).alias("y"), ((F.col("x2") - F.col("x1")) * (cy - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("__at"), F.lit(0).alias("__cell"))
+    enough = named.groupBy("shape_id").agg((F.count("*") >= 3).alias("__enough"))
+    own = cells.withColumns({"__at": F.col("x") + F.lit(0.5).cast("double"), "__cell": F.lit(1)})
+    row = Window.partitionBy("shape_id", "y")
+    crossing = 1 - F.col("__cell")
+    # a crossing at a centre is not to its right
+    upto = row.orderBy("__at", "__cell").rowsBetween(Window.unboundedPreceding, 0)
+    beyond = F.sum(crossing).over(row) - F.sum(crossing).over(upto)
+    both = own.unionByName(crossings, allowMissingColumns=True).withColumn("__odd", beyond % 2 == 1).where("__cell = 1")
+    out = both.join(enough, "shape_id", "left").withColumn("inside", F.coalesce(F.col("__enough") & F.col("__odd"), F.lit(False)))
+    return out.select(*cells.columns, "inside")
 
 
 def stitchable_fraction(masked: DataFrame) -> DataFrame:
@@ -261,18 +275,29 @@ def despeckle(cells: DataFrame, protected: DataFrame | None = None, value: str =
     return rows.withColumn(value, F.when(flips, -F.col("best.minus")).otherwise(F.col(value)).cast(cells.schema[value].dataType)).select(*cells.columns)
 
 
-def edge_depth(cells: DataFrame, bands: int) -> DataFrame:
-    """cells (chart_id, y, x, inside) with `depth`: 4-connected distance from the outside, up to `bands`; -1 outside.
+def edge_depth(cells: DataFrame, bands: int | None = None) -> DataFrame:
+    """cells (chart_id, y, x, inside) with `depth`: 4-connected distance from the outside, up to `bands` if given; -1 outside.
 
-    Each round peels the cells that touch the outside or the grid's edge: bands rounds of two windows.
+    Cells next to the outside, to a cell that isn't there or to the grid's edge have depth 0. A shortest way to the outside
+    stays inside until its last step, so this is the distance in rows plus columns to the nearest outside cell, and two
+    sweeps give it for any depth: along rows the distance to the nearest outside cell of the row, then along columns the
+    smallest of that plus the rows in between, upwards and downwards.
     """
-    rows = cells.withColumn("depth", F.when(F.col("inside"), F.lit(bands)).otherwise(F.lit(-1)))
-    for d in range(bands):
-        deeper = lambda c, d=d: F.coalesce(F.col(c) >= d, F.lit(False))
-        rows = neighbours(rows, "depth")
-        peeled = (F.col("depth") == bands) & ~(deeper("up") & deeper("down") & deeper("left") & deeper("right")) if d == 0 else (F.col("depth") == bands) & ((F.col("up") == d - 1) | (F.col("down") == d - 1) | (F.col("left") == d - 1) | (F.col("right") == d - 1))
-        rows = rows.withColumn("depth", F.when(peeled, d).otherwise(F.col("depth"))).select(*cells.columns, "depth")
-    return rows
+    across, down = Window.partitionBy("chart_id", "y").orderBy("x"), Window.partitionBy("chart_id", "x").orderBy("y")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    after = lambda w: w.rowsBetween(0, Window.unboundedFollowing)
+    out = ~F.coalesce(F.col("inside"), F.lit(False))
+    x, y = F.col("x"), F.col("y")
+    gone = lambda c, step, w: ~F.lag(c, step).over(w).eqNullSafe(F.col(c) - step)  # noqa: E731  the next cell isn't there
+    rows = cells.withColumns({"__l": F.when(out, x).when(gone("x", 1, across), x - 1), "__r": F.when(out, x).when(gone("x", -1, across), x + 1)})
+    rows = rows.withColumn("__row", F.least(x - F.max("__l").over(before(across)), F.min("__r").over(after(across)) - x))
+    # what lies above or below a gap is outside, at distance 0
+    up = F.least(F.col("__row") - y, F.when(gone("y", 1, down), 1 - y))
+    low = F.least(F.col("__row") + y, F.when(gone("y", -1, down), 1 + y))
+    rows = rows.withColumns({"__u": up, "__d": low})
+    far = F.least(F.min("__u").over(before(down)) + y, F.min("__d").over(after(down)) - y) - 1
+    far = F.least(far, F.lit(bands)) if bands is not None else far
+    return rows.withColumn("depth", F.when(out, F.lit(-1)).otherwise(far).cast("int")).select(*cells.columns, "depth")
 
 
 def shape_border(cells: DataFrame, colours: list[str], bands: int, value: str = "code") -> DataFrame:

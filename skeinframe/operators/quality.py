@@ -152,12 +152,44 @@ def sub_stitch_share(pixels: DataFrame, grid_w: int, src_w: int, white: int = 24
     return sums.select("image_id", "ink_share", F.when(fits, 1 - F.col("kept") / F.col("n")).alias("lost"))
 
 
-def smallest_fit(pixels: DataFrame, src_w: int, src_h: int, candidates: list[int], max_lost: float = 0.42, max_mixed: float = 0.35) -> DataFrame:
-    """(image_id, stitches): the first candidate width, in order, at which neither measure warns; null if none."""
-    out = None
-    for pos, w in enumerate(candidates):
-        h = max(1, int(w * src_h / src_w + 0.5))
-        both = mode_cells(pixels, w, h, src_w, src_h).join(sub_stitch_share(pixels, w, src_w), "image_id")
-        fine = both.select("image_id", F.when((F.coalesce("lost", F.lit(0.0)) < max_lost) & (F.col("mixed_share") < max_mixed), F.struct(F.lit(pos).alias("pos"), F.lit(w).alias("w"))).alias("fit"))
-        out = fine if out is None else out.unionByName(fine)
-    return out.groupBy("image_id").agg(F.min("fit")["w"].alias("stitches"))
+def smallest_fit(pixels: DataFrame, src_w: int, src_h: int, candidates: list[int], max_lost: float = 0.42, max_mixed: float = 0.35, white: int = 244, share: float = 0.6, bucket: int = 48) -> DataFrame:
+    """(image_id, stitches): the first candidate width, in order, at which neither measure warns; null if none.
+
+    The measures are mode_cells and sub_stitch_share, for all candidates in one pass: the pixels are read once, eroded by each
+    radius in one window over columns, and then counted once for each candidate grid.
+    """
+    spark = pixels.sparkSession
+    sizes = [(pos, w, max(1, int(w * src_h / src_w + 0.5)), max(1, int(src_w / w / 2 + 0.5))) for pos, w in enumerate(candidates)]
+    radii = sorted({r for *_, r in sizes})
+    ink = (~is_plain_white(F.col("r"), F.col("g"), F.col("b"), white)).cast("int")
+    row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+
+    def eroded(name: str, r: int, w) -> Column:
+        w = w.rowsBetween(-r, r)
+        return F.when(F.count("*").over(w) == 2 * r + 1, F.min(name).over(w)).otherwise(0)
+
+    coarse = F.struct(*[F.floor(F.col(c) / bucket).alias(c) for c in "rgb"])
+    rows = pixels.select("image_id", "y", "x", coarse.alias("bucket"), ink.alias("ink"))
+    rows = rows.withColumns({f"row_{r}": eroded("ink", r, row) for r in radii}).withColumns({f"kept_{r}": eroded(f"row_{r}", r, col) for r in radii})
+    # windows of cells overlap where a grid is finer than the image; a pixel's ink counts with its first cell only
+    cuts = {}
+    for axis, length, at in (("y", src_h, 2), ("x", src_w, 1)):
+        found = [(p, size[0], k) for size in sizes for k, (a, b) in enumerate(cell_windows(size[at], length)) for p in range(a, b)]
+        table = spark.createDataFrame(found, f"{axis} int, pos int, c{axis} int").groupBy(axis).agg(F.collect_list(F.struct("pos", f"c{axis}")).alias(f"in_{axis}"))
+        cuts[axis] = F.broadcast(table)  # a row for each line of pixels, with an entry or more for each candidate
+    rows = rows.join(cuts["y"], "y").join(cuts["x"], "x")
+    kept = F.element_at(F.create_map(*[v for pos, *_, r in sizes for v in (F.lit(pos), F.col(f"kept_{r}"))]), F.col("a.pos"))
+    rows = rows.select("image_id", "bucket", "ink", *[f"kept_{r}" for r in radii], "in_x", "in_y", F.explode("in_y").alias("a"))
+    rows = rows.withColumn("first_y", F.array_min(F.filter("in_y", lambda e: e["pos"] == F.col("a.pos")))["cy"])
+    rows = rows.withColumn("own_x", F.filter("in_x", lambda e: e["pos"] == F.col("a.pos"))).select("image_id", "bucket", "ink", kept.alias("kept"), "a", "first_y", F.array_min("own_x")["cx"].alias("first_x"), F.explode("own_x").alias("b"))
+    first = (F.col("a.cy") == F.col("first_y")) & (F.col("b.cx") == F.col("first_x"))
+    own = lambda c: F.sum(F.when(first, F.col(c)).otherwise(0))
+    counts = rows.groupBy("image_id", F.col("a.pos").alias("pos"), F.col("a.cy").alias("cy"), F.col("b.cx").alias("cx"), "bucket").agg(F.count("*").alias("n"), F.sum(first.cast("int")).alias("pixels"), own("ink").alias("ink"), own("kept").alias("kept"))
+    cells = counts.groupBy("image_id", "pos", "cy", "cx").agg((F.max("n") / F.sum("n")).alias("top"), *[F.sum(c).alias(c) for c in ("pixels", "ink", "kept")])
+    each = cells.groupBy("image_id", "pos").agg((F.count_if(F.col("top") < share) / F.count("*")).alias("mixed_share"), *[F.sum(c).alias(c) for c in ("pixels", "ink", "kept")])
+    ink_share = F.col("ink") / F.col("pixels")
+    lost = F.when((ink_share > 0.02) & (ink_share < 0.85) & (F.col("ink") > 50), 1 - F.col("kept") / F.col("ink")).otherwise(0.0)
+    fits = (lost < max_lost) & (F.col("mixed_share") < max_mixed)
+    best = each.groupBy("image_id").agg(F.min(F.when(fits, F.col("pos"))).alias("pos"))
+    width = F.get(F.array(*map(F.lit, candidates)), F.col("pos"))
+    return best.select("image_id", width.alias("stitches"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinframe.functions.color import hex_to_lab, hex_to_rgb, hue_delta, lab_chroma, lab_hue, palette_class, rgb_to_hex, rgb_to_lab
 from skeinframe.functions.text import baseline_rate, ceil_safe, normalise_code, percent, round_half_up, stash_key, to_unit
-from skeinframe.operators import grid, image, matching, progress, quality, regions, reports, stash, threads, usage
+from skeinframe.operators import grid, image, matching, progress, quality, regions, reports, stash, threads, tiles, usage
 from skeinframe.plans import sqlcolor
 from skeinframe.sources import codec, tables
 from skeinframe.sources.views import stream_view, view, with_views
@@ -573,6 +573,30 @@ def w2(spark, d):
     return grid.despeckle(view(spark, d, "cells")).select("chart_id", "idx", "pal_idx")
 
 
+#: A disc with a hole in each chart; the last chart has fewer rows. Depth by the nearest of all places outside.
+MASK = "(x - 9) * (x - 9) + (y - 10) * (y - 10) <= 90 AND (x - 12) * (x - 12) + (y - 8) * (y - 8) > chart_id % 5"
+MASK_SQL = f""", m AS (SELECT *, {MASK} AS inside FROM v_cells), places AS (SELECT a.range - 1 AS y, b.range - 1 AS x FROM range(22) a CROSS JOIN range(22) b),
+outside AS (SELECT c.chart_id, p.y, p.x FROM (SELECT DISTINCT chart_id FROM m) c CROSS JOIN places p ANTI JOIN (SELECT chart_id, y, x FROM m WHERE inside) i ON i.chart_id = c.chart_id AND i.y = p.y AND i.x = p.x),
+near AS (SELECT m.chart_id, m.idx, min(abs(m.y - o.y) + abs(m.x - o.x)) - 1 AS depth FROM m JOIN outside o ON o.chart_id = m.chart_id WHERE m.inside GROUP BY ALL),
+deep AS (SELECT m.chart_id, m.idx, m.pal_idx, CAST(coalesce(near.depth, -1) AS INT) AS depth FROM m LEFT JOIN near ON near.chart_id = m.chart_id AND near.idx = m.idx)"""
+
+
+def masked(spark, d):
+    return view(spark, d, "cells").withColumn("inside", F.expr(MASK))
+
+
+@query("w8_masked_depth", with_views(MASK_SQL + " SELECT chart_id, idx, depth FROM deep", "cells"))
+def w8m(spark, d):
+    return grid.edge_depth(masked(spark, d)).select("chart_id", "idx", "depth")
+
+
+@query("w8_shape_border", with_views(MASK_SQL + " SELECT chart_id, idx, CASE WHEN depth BETWEEN 0 AND 2 THEN CASE depth WHEN 0 THEN 'x' ELSE 'y' END ELSE CAST(pal_idx AS VARCHAR) END AS code, max(depth) OVER (PARTITION BY chart_id) < 3 AS collapsed FROM deep", "cells"))
+def w8b(spark, d):
+    """A border of three bands in two colours."""
+    rows = masked(spark, d).withColumn("code", F.col("pal_idx").cast("string"))
+    return grid.shape_border(rows, ["x", "y"], 3).select("chart_id", "idx", "code", "collapsed")
+
+
 @query("w8_edge_depth", with_views(" SELECT chart_id, idx, least(3, x, y, 19 - x, 19 - y) AS depth FROM v_cells WHERE chart_id IN (SELECT chart_id FROM v_cells GROUP BY 1 HAVING count(*) = 400)", "cells"))
 def w8(spark, d):
     cells = view(spark, d, "cells")
@@ -625,6 +649,12 @@ def r1(spark, d):
     return regions.region_stats(regions.label_regions(view(spark, d, "cells")))
 
 
+@query("r1_tiled_labels", over_regions(" SELECT * FROM reg"))
+def r1_tiled(spark, d):
+    """The same in tiles of 7 cells, with their seams united."""
+    return regions.region_stats(tiles.label_regions_tiled(view(spark, d, "cells"), tile=7))
+
+
 @query("r2_find_confetti", with_views(" SELECT a.chart_id, a.idx AS region, a.pal_idx FROM v_cells a WHERE NOT EXISTS (SELECT 1 FROM v_cells b WHERE a.chart_id = b.chart_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.pal_idx = b.pal_idx)", "cells"))
 def r2(spark, d):
     return regions.find_confetti(view(spark, d, "cells"), 1).select("chart_id", "region", "pal_idx")
@@ -727,11 +757,28 @@ def w5(spark, d):
     return quality.sub_stitch_share(view(spark, d, "pixels"), 4, 8, white=150).withColumns({c: r6(c) for c in ("ink_share", "lost")})
 
 
-@query("w6_smallest_fit")
+def fit_sql(white: int) -> str:
+    """W6 over candidates of 2, 4 and 8 cells a side of 8x8 images."""
+    return with_views(f""", cand AS (SELECT * FROM (VALUES (0, 2, 2), (1, 4, 1), (2, 8, 1)) t(pos, w, rad)), n AS (SELECT image_id, pos, y * w // 8 AS cy, x * w // 8 AS cx, r // 48 AS r, g // 48 AS g, b // 48 AS b, count(*) AS n FROM v_pixels CROSS JOIN cand GROUP BY ALL),
+c AS (SELECT image_id, pos, cy, cx, max(n) / sum(n) AS top FROM n GROUP BY ALL), m AS (SELECT image_id, pos, avg(CASE WHEN top < 0.6 THEN 1.0::DOUBLE ELSE 0 END) AS mixed FROM c GROUP BY image_id, pos),
+i AS (SELECT image_id, y, x, CASE WHEN least(r, g, b) >= {white} AND greatest(r, g, b) - least(r, g, b) <= 8 THEN 0 ELSE 1 END AS ink FROM v_pixels),
+k AS (SELECT a.image_id, pos, rad, a.y, a.x, a.ink, sum(b.ink) AS around FROM i a CROSS JOIN cand JOIN i b ON a.image_id = b.image_id AND abs(a.y - b.y) <= rad AND abs(a.x - b.x) <= rad GROUP BY ALL),
+s AS (SELECT image_id, pos, avg(ink::DOUBLE) AS share, sum(ink) AS n, count(CASE WHEN around = (2 * rad + 1) * (2 * rad + 1) THEN 1 END) AS kept FROM k GROUP BY image_id, pos),
+f AS (SELECT image_id, pos, w, mixed < 0.35 AND CASE WHEN share > 0.02 AND share < 0.85 AND n > 50 THEN 1 - kept / n::DOUBLE ELSE 0 END < 0.42 AS fits FROM m JOIN s USING (image_id, pos) JOIN cand USING (pos))
+SELECT image_id, arg_min(w, pos) FILTER (fits) AS stitches FROM f GROUP BY image_id""", "pixels")
+
+
+@query("w6_smallest_fit", fit_sql(244))
 def w6(spark, d):
     return quality.smallest_fit(view(spark, d, "pixels"), 8, 8, [2, 4, 8])
 
 
+@query("w6_smallest_fit_ink", fit_sql(100))
+def w6_ink(spark, d):
+    """With so low a white floor that ink is lost too."""
+    return quality.smallest_fit(view(spark, d, "pixels"), 8, 8, [2, 4, 8], white=100)
+
+
 @query("a25_box_average", with_views(" SELECT image_id, CAST(floor(y / 2) AS INT) AS y, CAST(floor(x / 2) AS INT) AS x, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(g) + 0.5) AS INT) AS g, CAST(floor(avg(b) + 0.5) AS INT) AS b FROM v_pixels GROUP BY 1, 2, 3", "pixels"))
 def a25(spark, d):
     return image.box_average(view(spark, d, "pixels"), 4, 4, 8, 8).select("image_id", "y", "x", "r", "g", "b")

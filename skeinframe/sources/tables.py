@@ -70,6 +70,23 @@ def read_designs(spark: SparkSession, path: str, source: str = "parquet", **opti
     return parse_designs((reader if source == "jdbc" else reader.schema(DESIGN)).load(*([path] if path else [])))
 
 
+def read_designs_jdbc(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """Designs of a database table in `parts` ranges of a number, date or timestamp column, each read by a task of its own.
+
+    column is spelt as the database has it.
+    The ends come from one aggregate that the database answers; rows outside or null go to the first and last range. Filters
+    and column choices on the result are part of the database's query.
+    """
+    given = options | {"url": url}
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    ends = spark.read.format("jdbc").options(**given, query=f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}").load().first()
+    reader = spark.read.format("jdbc").options(**given, dbtable=table)
+    if ends[0] is not None and ends[0] < ends[1]:
+        reader = reader.options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=str(parts))
+    rows = reader.load()
+    return parse_designs(rows.withColumnsRenamed({c: c.lower() for c in rows.columns}))
+
+
 def merge_rows(base: DataFrame, changes: DataFrame, keys: list[str], deleted: str | None = None) -> DataFrame:
     """base with changed rows replaced, new ones added, and those flagged in column `deleted` dropped. Null keys are equal."""
     same = [base[k].eqNullSafe(changes[k]) for k in keys]
