@@ -10,8 +10,8 @@ runs of the upper and lower half, z_r; serial correlation at lag one, z_s. The s
 squares: small for random strings, large for words, paths and counters.
 
 False discoveries. What ordinary text scores is taken from the corpus: every distinct text, without pattern spans and
-candidates, gives all stretches of its letters and digits for each length class, end to end, and so each class has its
-own null distribution that grows with the input. Copies count once. A candidate's p-value is the share of its class's null at or below its statistic, weighted by length
+candidates, is cut end to end into stretches of its letters and digits, of each class's length in turn, and so each class
+has its own null distribution that grows with the input. Copies count once. A candidate's p-value is the share of its class's null at or below its statistic, weighted by length
 (longer strings tell more). Benjamini-Hochberg over all candidates at level `fdr` sets one cutoff a class. Statistics
 are counted in steps of 1/8, rounded against the candidate, so only (class, step) counts are shuffled.
 
@@ -89,7 +89,7 @@ def battery(coded: Column) -> Column:
     zero, one = F.lit(0.0), F.lit(1.0)
     # the sum of squared counts: the j-th of equal sorted codes adds 2 j - 1
     squares = F.aggregate(
-        F.array_sort(v),
+        F.sort_array(v),
         F.struct(F.lit(-1).alias("last"), zero.alias("run"), zero.alias("sum")),
         lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(one).alias("run"), (a["sum"] + F.when(x == a["last"], 2 * a["run"] + 1).otherwise(one)).alias("sum")),
         lambda a: a["sum"],
@@ -134,13 +134,19 @@ def class_of(length: Column) -> Column:
     return sum((length >= x).cast("int") for x in CLASSES[1:])
 
 
+def may_assign(text: Column) -> Column:
+    """False only where no assign pattern can match: a cheap search for its words."""
+    low = F.lower(text)
+    return low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs, P + "base" (pattern spans) and P + "cands" (candidates: start, end, class, step)."""
     text = c("text")
     keep = [F.col(f"`{x}`") for x in docs.columns]
     rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(P + "text"))
     gates = {
-        "assign": (ASSIGN, text.rlike("(?i)passw|secret|token|api_?key"), 2),
+        "assign": (ASSIGN, may_assign(text), 2),
         "access": (ACCESS, text.contains("AKIA"), 0),
         "hex": (HEX, text.rlike("[0-9a-f]{24}"), 0),
         "random": (CANDIDATE, text.rlike("[A-Za-z0-9+/_-]{20}"), 0),
@@ -162,21 +168,33 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def null_steps(docs: DataFrame) -> DataFrame:
-    """(cls, step) of ordinary text: for each distinct text and class all stretches of its letters and digits."""
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
+    """(cls, step, n) of ordinary text: how many stretches of each class have a step.
+
+    Each distinct text, without pattern spans and candidates, is cut end to end into stretches of its letters and digits, of
+    20, 28, 40, 56 and 80 in turn; each character counts once. A text's steps are worked out in its row, as small numbers;
+    what is shuffled to count copies once are these and 128 bits of the text's hash, not texts.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text, F.length(text)).alias("k"), text.alias("t"))
     # pattern spans and candidates are what is tested
-    plain = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), CANDIDATE, " ")
-    rows = rows.select(F.regexp_replace(plain, "[^A-Za-z0-9]", "").alias("t"))
-    rows = rows.select(F.explode(F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(f".{{{n}}}"), F.lit(0)) for n in CLASSES]))).alias("token"))
-    rows = rows.select(codes(F.col("token")).alias("coded"))
-    rows = rows.select(battery(F.col("coded")).alias("b"))
-    return rows.select(class_of(F.col("b")["n"]).alias("cls"), step_of(statistic(F.col("b"))).alias("step"))
+    plain = F.when(may_assign(F.col("t")), F.regexp_replace("t", ASSIGN, " ")).otherwise(F.col("t"))
+    rows = rows.select("h", "k", plain.alias("t"))
+    rows = rows.select("h", "k", F.regexp_replace(F.regexp_replace("t", CANDIDATE, " "), "[^A-Za-z0-9]+", "").alias("t"))
+    turn = sum(CLASSES)
+    rows = rows.select("h", "k", F.regexp_extract_all("t", F.lit(f".{{1,{turn}}}"), F.lit(0)).alias("turns"))
+    starts = [sum(CLASSES[:i]) + 1 for i in range(len(CLASSES))]
+    cut = F.flatten(F.transform("turns", lambda c: F.array(*[F.substring(c, a, n) for a, n in zip(starts, CLASSES, strict=True)])))
+    coded = F.transform(F.filter(cut, lambda x: F.length(x).isin(*CLASSES)), codes)
+    steps = F.transform(F.transform(coded, battery), lambda b: (class_of(b["n"]) * (STEPS + 1) + step_of(statistic(b))).cast("smallint"))
+    once = rows.select("h", "k", steps.alias("steps")).groupBy("h", "k").agg(F.first("steps").alias("steps"))
+    counts = once.select(F.explode_outer("steps").alias("code")).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"))
+    return counts.select(F.floor(F.col("code") / (STEPS + 1)).cast("int").alias("cls"), (F.col("code") % (STEPS + 1)).cast("int").alias("step"), "n")
 
 
 def cutoffs(found: DataFrame, docs: DataFrame, fdr: float) -> dict[int, int]:
     """The largest step that counts as random, by class. found: with_spans(docs); at most classes * steps rows move."""
     cands = found.select(F.explode_outer(P + "cands").alias("x")).where("x IS NOT NULL").groupBy("x.cls", "x.step").agg(F.count("*").alias("n"))
-    null = null_steps(docs).groupBy("cls", "step").agg(F.count("*").alias("n"))
+    null = null_steps(docs)
     both = cands.select("cls", "step", F.col("n").alias("n"), F.lit(0).cast("long").alias("n0")).unionByName(null.select("cls", "step", F.lit(0).cast("long").alias("n"), F.col("n").alias("n0")))
     counts: dict[int, dict[int, list[int]]] = {}
     for r in both.groupBy("cls", "step").agg(F.sum("n").alias("n"), F.sum("n0").alias("n0")).collect():  # at most len(CLASSES) * STEPS rows

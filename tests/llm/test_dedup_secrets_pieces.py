@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from skeinframe.llm import near_dedup, piece_lattice, secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, block long"
@@ -256,10 +257,16 @@ def test_secret_scan(spark):
 def test_null_has_every_stretch_of_distinct_texts(spark):
     rows, _ = secret_corpus()
     plain = [re.sub("[^A-Za-z0-9]", "", re.sub(secret_scan.CANDIDATE, " ", re.sub(BASE[0][1], " ", t))) for t in {t or "" for _, t in rows}]
-    want = Counter({k: sum(len(t) // n for t in plain) for k, n in enumerate(secret_scan.CLASSES)})
+    want = Counter()
+    for t in plain:  # stretches of 20, 28, 40, 56 and 80 in turn, end to end
+        at = 0
+        while at < len(t):
+            k, length = next((k, n) for k, n in enumerate(secret_scan.CLASSES) if sum(secret_scan.CLASSES[:k]) == at % sum(secret_scan.CLASSES))
+            want[k] += at + length <= len(t)
+            at += length
     copies = [(5000 + i, rows[0][1]) for i in range(200)]
-    got = secret_scan.null_steps(table(spark, rows + copies)).groupBy("cls").count().collect()
-    assert Counter({r.cls: r["count"] for r in got}) == want
+    got = secret_scan.null_steps(table(spark, rows + copies)).groupBy("cls").agg(F.sum("n").alias("n")).collect()
+    assert Counter({r.cls: r.n for r in got}) == want
 
 
 def test_secret_scan_at_its_default_fdr(spark):
@@ -311,7 +318,6 @@ def battery(token):
 
 
 def test_battery(spark):
-    from pyspark.sql import functions as F
 
     tokens = ["Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5", "0123456789abcdef0123", "deadbeef00112233445566778899", "thereandthereandTHEREAND99"]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.codes(F.col("t")).alias("c")).select("t", secret_scan.battery(F.col("c")).alias("b"))
