@@ -171,7 +171,7 @@ def null_steps(docs: DataFrame) -> DataFrame:
     """(cls, step, n) of ordinary text: how many stretches of each class have a step.
 
     Each distinct text, without pattern spans and candidates, is cut end to end into stretches of its letters and digits, of
-    20, 28, 40, 56 and 80 in turn; each character counts once. A text's steps are worked out in its row, as small numbers;
+    20, 28, 40, 56 and 80 in turn; each character counts once, and what is left at the end counts if it has one of these lengths. A text's steps are worked out in its row, as small numbers;
     what is shuffled to count copies once are these and 128 bits of the text's hash, not texts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
