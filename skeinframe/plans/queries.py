@@ -1,6 +1,6 @@
 """Registered queries, one or more for each operator, over the views, and their DuckDB SQL.
 
-Every query reads whole tables. Doubles are rounded on both sides, flags are booleans and counts bigints.
+Every query reads whole tables, but for w8_edge_depth (full charts) and the view stash (lines of quantity under 25). Doubles are rounded on both sides, flags are booleans and counts bigints.
 """
 
 from __future__ import annotations
