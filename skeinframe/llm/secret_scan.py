@@ -36,6 +36,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 CLASSES = (20, 28, 40, 56, 80)
 #: Statistics are counted in this many steps of 1/8.
 STEPS = 160
+#: Strings shorter than this have their squared counts folded in one number; longer ones, which might not fit, in a struct.
+PACKED = 1 << 18
 HEX_LOWER, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -86,38 +88,47 @@ def battery(coded: Column) -> Column:
     k = coded[0].cast("double")
     v = F.slice(coded, 2, F.size(coded) - 1)
     n = (F.size(coded) - 1).cast("double")
-    zero, one = F.lit(0.0), F.lit(1.0)
-    # the sum of squared counts: the j-th of equal sorted codes adds 2 j - 1
-    squares = F.aggregate(
+    zero = F.lit(0).cast("long")
+    whole = lambda x: F.lit(x).cast("long")
+    low = lambda a, mask: a.bitwiseAND(whole(mask))
+    # The folds carry one number, not a struct: several times cheaper, as structs are made anew for each symbol.
+    # squares: the j-th of equal sorted codes adds 2 j - 1; sum << 25, equal ones so far << 7, last code + 1
+    packed = F.aggregate(
+        F.sort_array(v),
+        zero,
+        lambda a, x: F.when(low(a, 127) == x + 1, a + F.shiftleft(2 * low(F.shiftright(a, 7), PACKED - 1) + 1, 25) + 128).otherwise(F.shiftleft(F.shiftright(a, 25) + 1, 25) + 129 + x),
+        lambda a: F.shiftright(a, 25),
+    )
+    wide = F.aggregate(
         F.sort_array(v),
         F.struct(F.lit(-1).alias("last"), zero.alias("run"), zero.alias("sum")),
-        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(one).alias("run"), (a["sum"] + F.when(x == a["last"], 2 * a["run"] + 1).otherwise(one)).alias("sum")),
+        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(whole(1)).alias("run"), (a["sum"] + F.when(x == a["last"], 2 * a["run"] + 1).otherwise(whole(1))).alias("sum")),
         lambda a: a["sum"],
     )
+    squares = F.when(F.size(v) < PACKED, packed).otherwise(wide)
     z_c = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    # one pass for upper codes, runs, and the sums of the serial correlation
-    sums = F.aggregate(
+    # upper codes << 33, runs << 2, half of the last code (1 lower, 2 upper)
+    one_up = whole(1 << 33)
+    halves = F.aggregate(
         v,
-        F.struct(F.lit(-1).alias("last"), zero.alias("up"), zero.alias("runs"), zero.alias("s"), zero.alias("ss"), zero.alias("sx")),
-        lambda a, x: F.struct(
-            x.alias("last"),
-            (a["up"] + F.when(2 * x >= k, one).otherwise(zero)).alias("up"),
-            (a["runs"] + F.when((a["last"] < 0) | ((2 * x >= k) != (2 * a["last"] >= k)), one).otherwise(zero)).alias("runs"),
-            (a["s"] + x).alias("s"),
-            (a["ss"] + x * x).alias("ss"),
-            (a["sx"] + F.when(a["last"] >= 0, x * a["last"]).otherwise(zero)).alias("sx"),
-        ),
+        zero,
+        lambda a, x: F.when(2 * x >= coded[0], F.when(low(a, 3) == 2, a + one_up).otherwise(a - low(a, 3) + 6 + one_up)).otherwise(F.when(low(a, 3) == 1, a).otherwise(a - low(a, 3) + 5)),
+        lambda a: F.struct(F.shiftright(a, 33).alias("up"), low(F.shiftright(a, 2), (1 << 31) - 1).alias("runs")),
     )
+    # products of neighbours << 7, last code
+    products = F.aggregate(v, zero, lambda a, x: F.shiftleft(F.shiftright(a, 7) + low(a, 127) * x, 7) + x, lambda a: F.shiftright(a, 7))
+    sums = F.struct(halves.alias("halves"), F.aggregate(v, zero, lambda a, x: a + x).alias("s"), F.aggregate(v, zero, lambda a, x: a + x * x).alias("ss"), products.alias("sx"))
     return F.struct(z_c.alias("z_c"), n.alias("n"), sums.alias("t"), coded[1].cast("double").alias("first"), F.element_at(coded, -1).cast("double").alias("last"))
 
 
 def statistic(b: Column) -> Column:
     """From battery(): the root of the sum of squares; strings of one half of the alphabet count as not random."""
     n, t = b["n"], b["t"]
-    up, down = t["up"], n - t["up"]
+    up = t["halves"]["up"].cast("double")
+    down = n - up
     mean_runs = 2 * up * down / n + 1
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_r = (t["runs"] - mean_runs) / F.sqrt(F.greatest(var_runs, F.lit(1e-9)))
+    z_r = (t["halves"]["runs"] - mean_runs) / F.sqrt(F.greatest(var_runs, F.lit(1e-9)))
     m = t["s"] / n
     spread = t["ss"] - n * m * m
     r = (t["sx"] - m * (2 * t["s"] - b["first"] - b["last"]) + (n - 1) * m * m) / F.greatest(spread, F.lit(1e-9))
@@ -179,7 +190,11 @@ def null_steps(docs: DataFrame) -> DataFrame:
     # pattern spans and candidates are what is tested
     plain = F.when(may_assign(F.col("t")), F.regexp_replace("t", ASSIGN, " ")).otherwise(F.col("t"))
     rows = rows.select("h", "k", plain.alias("t"))
-    rows = rows.select("h", "k", F.regexp_replace(F.regexp_replace("t", CANDIDATE, " "), "[^A-Za-z0-9]+", "").alias("t"))
+    # candidates are the pieces of 20 symbols and more; the rest is joined, letters and digits only
+    short = F.array_join(F.filter(F.split("t", "[^A-Za-z0-9+/_-]+"), lambda w: F.length(w) < CLASSES[0]), "")
+    for symbol in "+/_-":
+        short = F.replace(short, F.lit(symbol), F.lit(""))
+    rows = rows.select("h", "k", short.alias("t"))
     turn = sum(CLASSES)
     rows = rows.select("h", "k", F.regexp_extract_all("t", F.lit(f".{{1,{turn}}}"), F.lit(0)).alias("turns"))
     starts = [sum(CLASSES[:i]) + 1 for i in range(len(CLASSES))]

@@ -319,12 +319,37 @@ def battery(token):
     return math.sqrt(max(z_c, 0) ** 2 + z_r**2 + z_s**2)
 
 
-def test_battery(spark):
-
+@pytest.mark.parametrize("packed", [1 << 18, 24])
+def test_battery(spark, monkeypatch, packed):
+    monkeypatch.setattr(secret_scan, "PACKED", packed)
+    r = random.Random(3)
     tokens = ["Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5", "0123456789abcdef0123", "deadbeef00112233445566778899", "thereandthereandTHEREAND99"]
+    tokens += ["".join(r.choice(secret_scan.BASE64) for _ in range(n)) for n in (20, 23, 24, 25, 79, 80, 5000)]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.codes(F.col("t")).alias("c")).select("t", secret_scan.battery(F.col("c")).alias("b"))
-    for r in rows.select("t", secret_scan.statistic(F.col("b")).alias("s")).collect():
-        assert r.s == pytest.approx(battery(r.t), rel=1e-9)
+    for x in rows.select("t", secret_scan.statistic(F.col("b")).alias("s")).collect():
+        assert x.s == pytest.approx(battery(x.t), rel=1e-9)
+
+
+def test_secrets_of_very_long_texts(spark):
+    r = random.Random(4)
+    blob = "".join(r.choice(secret_scan.BASE64) for _ in range(300_000))  # beyond PACKED
+    text = "plain words go on " * 40_000 + blob + " token: abcdefgh"
+    got = secret_scan.scan(table(spark, [(1, text), (2, None), (2, "")])).collect()
+    want = sorted((a, b) for a, _, b, kind in base_spans(text) if kind == "assign")
+    assert [tuple(map(int, s.split(":")[1:])) for x in got for s in x.spans.split(",") if s.startswith("assign")] == want
+    start = text.index(blob)
+    assert any(s == f"random:{start}:{start + len(blob)}" for x in got for s in x.spans.split(","))
+
+
+def test_secrets_of_no_rows_and_clashing_columns(spark):
+    none = table(spark, [])
+    assert secret_scan.scan(none).collect() == [] and secret_scan.redact(none).collect() == []
+    named = table(spark, [(1, "token: abcdefgh"), (1, "token: abcdefgh")])
+    for name in ("spans", "h", "k", "t", "steps", "cls", "step"):
+        named = named.withColumn(name, F.lit(name))
+    out = secret_scan.redact(named)
+    assert out.columns == named.columns and {(x.text, x.spans, x.h) for x in out.collect()} == {("[SECRET]", "spans", "h")} and out.count() == 2
+    assert [x.n_assign for x in secret_scan.scan(named).collect()] == [1, 1]
 
 
 @pytest.fixture(scope="module")
