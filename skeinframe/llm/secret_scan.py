@@ -107,34 +107,49 @@ def battery(coded: Column) -> Column:
     )
     squares = F.when(F.size(v) < PACKED, packed).otherwise(wide)
     z_c = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    # upper codes << 33, runs << 2, half of the last code (1 lower, 2 upper)
-    one_up = whole(1 << 33)
-    halves = F.aggregate(
+    rest = F.transform(F.array(F.struct(z_c.alias("z_c"), (coded[0] / 2).cast("int").alias("half"), v.alias("v"))), lambda y: after_chi_squared(y, n, coded))
+    return F.get(rest, 0)
+
+
+def after_chi_squared(y: Column, n: Column, coded: Column) -> Column:
+    """battery()'s struct. The sums are left out where chi-squared alone says the last step, which they can't lower."""
+    v, half = y["v"], y["half"]
+    zero = F.lit(0).cast("long")
+    odd = lambda a: a.bitwiseAND(F.lit(1).cast("long")) == 1
+    # changes of half << 1, the last code's half
+    changes = F.aggregate(
         v,
-        zero,
-        lambda a, x: F.when(2 * x >= coded[0], F.when(low(a, 3) == 2, a + one_up).otherwise(a - low(a, 3) + 6 + one_up)).otherwise(F.when(low(a, 3) == 1, a).otherwise(a - low(a, 3) + 5)),
-        lambda a: F.struct(F.shiftright(a, 33).alias("up"), low(F.shiftright(a, 2), (1 << 31) - 1).alias("runs")),
+        F.when(coded[1] >= half, zero + 1).otherwise(zero),
+        lambda a, x: F.when(x >= half, F.when(odd(a), a).otherwise(a + 3)).otherwise(F.when(odd(a), a + 1).otherwise(a)),
+        lambda a: F.shiftright(a, 1),
     )
     # products of neighbours << 7, last code
-    products = F.aggregate(v, zero, lambda a, x: F.shiftleft(F.shiftright(a, 7) + low(a, 127) * x, 7) + x, lambda a: F.shiftright(a, 7))
-    sums = F.struct(halves.alias("halves"), F.aggregate(v, zero, lambda a, x: a + x).alias("s"), F.aggregate(v, zero, lambda a, x: a + x * x).alias("ss"), products.alias("sx"))
-    return F.struct(z_c.alias("z_c"), n.alias("n"), sums.alias("t"), coded[1].cast("double").alias("first"), F.element_at(coded, -1).cast("double").alias("last"))
+    products = F.aggregate(v, zero, lambda a, x: F.shiftleft(F.shiftright(a, 7) + a.bitwiseAND(F.lit(127).cast("long")) * x, 7) + x, lambda a: F.shiftright(a, 7))
+    sums = F.struct(
+        F.size(F.filter(v, lambda x: x >= half)).alias("up"), (changes + 1).alias("runs"),
+        F.aggregate(v, zero, lambda a, x: a + x).alias("s"), F.aggregate(v, zero, lambda a, x: a + x * x).alias("ss"), products.alias("sx"),
+    )
+    sums = F.when(y["z_c"] < STEPS / 8, sums)
+    return F.struct(y["z_c"].alias("z_c"), n.alias("n"), sums.alias("t"), coded[1].cast("double").alias("first"), F.element_at(coded, -1).cast("double").alias("last"))
 
 
 def statistic(b: Column) -> Column:
-    """From battery(): the root of the sum of squares; strings of one half of the alphabet count as not random."""
+    """From battery(): the root of the sum of squares; strings of one half of the alphabet count as not random.
+
+    Where chi-squared alone says the last step, it stands for the root.
+    """
     n, t = b["n"], b["t"]
-    up = t["halves"]["up"].cast("double")
+    up = t["up"].cast("double")
     down = n - up
     mean_runs = 2 * up * down / n + 1
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    z_r = (t["halves"]["runs"] - mean_runs) / F.sqrt(F.greatest(var_runs, F.lit(1e-9)))
+    z_r = (t["runs"] - mean_runs) / F.sqrt(F.greatest(var_runs, F.lit(1e-9)))
     m = t["s"] / n
     spread = t["ss"] - n * m * m
     r = (t["sx"] - m * (2 * t["s"] - b["first"] - b["last"]) + (n - 1) * m * m) / F.greatest(spread, F.lit(1e-9))
     z_s = (r + 1 / n) * F.sqrt(n)
     z_c = F.greatest(b["z_c"], F.lit(0.0))
-    return F.when((var_runs > 0) & (spread > 0), F.sqrt(z_c * z_c + z_r * z_r + z_s * z_s)).otherwise(F.lit(1e3))
+    return F.when(t.isNull(), z_c).when((var_runs > 0) & (spread > 0), F.sqrt(z_c * z_c + z_r * z_r + z_s * z_s)).otherwise(F.lit(1e3))
 
 
 def step_of(value: Column) -> Column:
