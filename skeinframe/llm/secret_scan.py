@@ -205,8 +205,9 @@ def null_steps(docs: DataFrame) -> DataFrame:
     # pattern spans and candidates are what is tested
     plain = F.when(may_assign(F.col("t")), F.regexp_replace("t", ASSIGN, " ")).otherwise(F.col("t"))
     rows = rows.select("h", "k", plain.alias("t"))
-    # candidates are the pieces of 20 symbols and more; the rest is joined, letters and digits only
-    short = F.array_join(F.filter(F.split("t", "[^A-Za-z0-9+/_-]+"), lambda w: F.length(w) < CLASSES[0]), "")
+    # candidates are the pieces of 20 symbols and more; the rest is joined, letters and digits only. \w (ASCII) is a seventh
+    # of the time of the same class as ranges
+    short = F.array_join(F.filter(F.split("t", r"[^\w+/-]+"), lambda w: F.length(w) < CLASSES[0]), "")
     for symbol in "+/_-":
         short = F.replace(short, F.lit(symbol), F.lit(""))
     rows = rows.select("h", "k", short.alias("t"))
