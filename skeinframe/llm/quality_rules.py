@@ -3,18 +3,22 @@
 Measures. Every whole text gets word, symbol, line and repetition counts (`with_measures`), per row and without a shuffle.
 
 Thresholds. Each rule rejects a document whose ratio is above a cutoff. The rules go together: level j of a fixed ladder
-holds one cutoff for each rule, and each level is stricter than the one before in all of them. Levels are chosen from
-labelled documents, by stratum (lang): of the n good ones (quality = 1) that pass the base rules, k would be rejected at a
-level by any rule. The hypothesis "more than `risk` of good documents are rejected" is dismissed at the exact binomial
-tail P(Bin(n, risk) <= k), the test behind the Clopper-Pearson bound. Along the ladder, from loose to strict, levels are
-taken while each is dismissed at delta / strata: fixed-sequence testing within a stratum, Bonferroni between strata. So
-with probability 1 - delta all strata at once lose at most `risk` of their good documents. A stratum without enough
-labels for the first level (some 60 to 90) has only the base rules.
+holds one cutoff for each rule, and each level is stricter than the one before in all of them. Labelled documents that
+pass the base rules are split by a hash of their text (so copies stay together): a third chooses, the rest is the holdout.
+By stratum (lang), the first part names the level that rejects most of its bad documents (quality = 0), of equal ones the
+loosest, among those that reject no more than `risk` of its good ones (quality = 1); if none rejects a bad one, the
+strictest of them.
+The holdout certifies: of its n good documents, k would be rejected at a level by any rule. The hypothesis "more than
+`risk` of good documents are rejected" is dismissed at the exact binomial tail P(Bin(n, risk) <= k), the test behind the
+Clopper-Pearson bound. Along the ladder, from loose to the chosen level, levels are taken while each is dismissed at
+delta / strata: fixed-sequence testing within a stratum, Bonferroni between strata. So with probability 1 - delta all
+strata at once lose at most `risk` of their good documents. A stratum without enough labels for the first level (60 to 90
+good ones in the holdout) has only the base rules.
 
 Base rules (too short, too repetitive) are fixed and stand apart.
 
 Cases. Null text: no words, so base_failed. Null lang: a stratum of its own. Labels are joined on doc_id; a doc_id with
-several labels is good if any says so; labels without a document and null ids count for nothing. Rows that share a
+several labels is good if any says so; labels without a document, null ids and other qualities count for nothing. Rows that share a
 doc_id are measured each. No labels or empty tables: all rules off, no rows. Extra columns are dropped by `verdicts` and
 kept by `keep_good`.
 """
@@ -133,39 +137,66 @@ def stratum(column: str = "lang") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-#: Up to so many good labels their ids are broadcast, so that only labelled texts are measured for the test.
+#: Up to so many labels are broadcast, so that only labelled texts are measured for the test.
 MOST_LABELS = 2_000_000
+#: One text of so many is used to choose a level; the others are the holdout.
+CHOOSING = 3
+
+
+def chooses(text: Column) -> Column:
+    """True for texts of the part that chooses a level, false for the holdout."""
+    return F.pmod(F.xxhash64(F.lit("holdout"), text), F.lit(CHOOSING)) == 0
 
 
 def certified_levels(docs: DataFrame, labels: DataFrame, strata: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, level, n_good, n_rejected, p_value) of the strictest certified level of each stratum that has one.
+    """(stratum, level, n_good, n_rejected, p_value, n_bad, n_bad_rejected), the certified level of each stratum that has one.
 
-    Only numbers are shuffled: measures are taken where texts are read. The result has a row for each stratum.
+    All counts are those of the holdout. Only numbers are shuffled: measures are taken where texts are read. The result
+    has a row for each stratum.
     """
-    good = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).groupBy("id").agg(F.max("quality").alias("quality")).where("quality = 1 AND id IS NOT NULL").select("id")
-    good = cut(good)
-    few = good.count() <= MOST_LABELS
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), stratum(strata).alias("stratum"), F.col("text").cast("string").alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).groupBy("id").agg(F.max("quality").alias("quality"))
+    known = cut(known.where("quality IN (0, 1) AND id IS NOT NULL").select("id", (F.col("quality") == 1).alias("good")))
+    few = known.count() <= MOST_LABELS
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), stratum(strata).alias("stratum"), chooses(text).alias("chooses"), text.alias("text"))
     if few:
-        plain = plain.join(F.broadcast(good), "id", "left_semi")
-    rows = with_measures(plain).where(~base_failed()).select("id", "stratum", *[v.alias(k) for k, v in ratios().items()])
+        plain = plain.join(F.broadcast(known), "id")
+    rows = with_measures(plain).where(~base_failed()).select("id", "stratum", "chooses", *(["good"] if few else []), *[v.alias(k) for k, v in ratios().items()])
     if not few:
-        rows = rows.join(good, "id", "left_semi")
+        rows = rows.join(known, "id")
     # how many levels reject a document: those from LEVELS - n on, as cutoffs fall along the ladder
     over = F.greatest(*[sum((F.col(rule) > x).cast("int") for x in grid) for rule, grid in GRIDS.items()])
-    counts = rows.groupBy("stratum", over.alias("over")).agg(F.count("*").alias("n"))
-    by_stratum = counts.groupBy("stratum").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("over", "n")).alias("bins"))
-    tested = by_stratum.select("stratum", "n_good", "bins", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
-    rejected = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["over"] >= LEVELS - F.col("level"), b["n"]).otherwise(F.lit(0)))
-    tested = tested.select("stratum", "n_good", "level", rejected.alias("n_rejected"))
+    counts = rows.groupBy("stratum", "chooses", "good", over.alias("over")).agg(F.count("*").alias("n"))
+    by_stratum = counts.groupBy("stratum").agg(F.collect_list(F.struct("chooses", "good", "over", "n")).alias("bins"))  # 52 bins at most
+
+    def total(choosing: bool, good: bool, from_level: Column | None = None) -> Column:
+        held = lambda b: (b["chooses"] == choosing) & (b["good"] == good) & (F.lit(True) if from_level is None else b["over"] >= LEVELS - from_level)
+        return F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(held(b), b["n"]).otherwise(F.lit(0)))
+
+    level = F.col("level")
+    tested = by_stratum.select("stratum", "bins", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")).select(
+        "stratum",
+        "level",
+        (total(True, True, level) <= F.lit(risk) * total(True, True)).alias("allowed"),
+        total(True, False, level).alias("caught"),
+        total(False, True).alias("n_good"),
+        total(False, True, level).alias("n_rejected"),
+        total(False, False).alias("n_bad"),
+        total(False, False, level).alias("n_bad_rejected"),
+    )
     tested = tested.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), risk))
     one = F.lit(1)
     number = by_stratum.agg(F.count("*").alias("strata")).withColumn("one", one)  # one row
-    tests = tested.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("level", "n_good", "n_rejected", "p_value"))).alias("tests"))
+    tests = tested.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("level", "n_good", "n_rejected", "p_value", "n_bad", "n_bad_rejected", "allowed", "caught"))).alias("tests"))
     tests = tests.withColumn("one", one).join(F.broadcast(number), "one")
+    allowed = F.filter("tests", lambda t: t["allowed"])
+    catching = F.filter(allowed, lambda t: t["caught"] > 0)
+    best = F.array_max(F.transform(catching, lambda t: F.struct(t["caught"].alias("caught"), (-t["level"]).alias("loose"))))
+    chosen = F.coalesce(-best["loose"], F.array_max(F.transform(allowed, lambda t: t["level"])))
     failed = F.filter("tests", lambda t: t["p_value"] > F.lit(delta) / F.col("strata"))
-    last = F.when(F.size(failed) > 0, F.get(failed, F.lit(0))["level"]).otherwise(F.size("tests")) - 1
-    return tests.where(last >= 0).select("stratum", F.inline(F.array(F.get("tests", last))))
+    certified = F.when(F.size(failed) > 0, F.get(failed, F.lit(0))["level"]).otherwise(F.size("tests")) - 1
+    last = F.when(F.size(allowed) > 0, F.least(certified, chosen)).otherwise(-1)
+    return tests.where(last >= 0).select("stratum", F.inline(F.array(F.get("tests", last)))).drop("allowed", "caught")
 
 
 def certified_cutoffs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

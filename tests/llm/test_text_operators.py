@@ -172,15 +172,48 @@ def rule_ratios(t):
     return {"symbols": symbols / max(n, 1), "loud": loud / max(chars, 1), "dup_lines": dup / max(len(lines), 1), "repeats": repeat / max(n, 1), "word_length": chars / max(n, 1)}
 
 
-def test_certified_levels_stop_where_good_documents_would_go(spark):
-    """A tenth of the good documents are half capitals: levels that reject these are not certified, looser ones are."""
-    loud = lambda i: " ".join(("ABCD" if i % 10 == 0 and j % 2 else "abcd") + str(j) for j in range(30))
-    docs = spark.createDataFrame([(i, loud(i), "en") for i in range(300)] + [(i, loud(i), "de") for i in range(1000, 1050)], "doc_id long, text string, lang string")
-    labelled = spark.createDataFrame([(i, 1, 0) for i in [*range(300), *range(1000, 1050)]], "doc_id long, quality int, toxic int")
-    ratio = rule_ratios(loud(0))["loud"]
+def sides(spark, texts):
+    """{text: True for the part that chooses, False for the holdout}."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(t,) for t in set(texts)], "text string")
+    return dict(frame.select("text", quality_rules.chooses(F.col("text"))).toPandas().itertuples(index=False, name=None))
+
+
+def test_levels_stop_where_good_documents_of_the_holdout_would_go(spark):
+    """A tenth of the holdout's good documents are half capitals; no document of the part that chooses shows it."""
+    loud = lambda i, every: " ".join(("ABCDEFGH" if j % every == 0 else "abcdefgh") + f"{i:04}{j:02}" for j in range(30))
+    texts = {i: loud(i, 2 if i % 10 == 0 else 99) for i in range(600)}
+    on = sides(spark, texts.values())
+    good = {i: t for i, t in texts.items() if i % 10 or not on[t]}
+    bad = {1000 + i: loud(1000 + i, 1 + i % 2) for i in range(60)}  # one half as loud as the good ones
+    few = {2000 + i: loud(2000 + i, 99) for i in range(50)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in (good | bad).items()] + [(i, t, "de") for i, t in few.items()], "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(i, int(i not in bad), 0) for i in [*good, *bad, *few]], "doc_id long, quality int, toxic int")
+    half = [rule_ratios(t)["loud"] for i, t in good.items() if i % 10 == 0]
+    held = [t for t in good.values() if not on[t]]
+    assert 0.07 < len(half) / len(held) < 0.13
+    grid = quality_rules.GRIDS["loud"]
+    wanted = max(j for j, x in enumerate(grid) if x >= max(half))  # the last level that lets half capitals pass
+    caught = [sum(rule_ratios(t)["loud"] > x for t in bad.values()) for x in grid]
+    assert caught[wanted] < caught[-1], "the part that chooses must want more than the holdout allows"
     found = quality_rules.certified_levels(docs, labelled).collect()
-    assert [(x.stratum, x.level, x.n_good, x.n_rejected) for x in found] == [("=en", max(j for j, x in enumerate(quality_rules.GRIDS["loud"]) if x >= ratio), 300, 0)]
-    assert all(x.kept for x in quality_rules.verdicts(docs, labelled).collect())
+    assert [x.stratum for x in found] == ["=en"]
+    side = sides(spark, bad.values())
+    bad_held = [t for t in bad.values() if not side[t]]
+    for x in found:
+        assert tuple(x)[1:4] == (wanted, len(held), 0) and (x.n_bad, x.n_bad_rejected) == (len(bad_held), sum(rule_ratios(t)["loud"] > grid[wanted] for t in bad_held))
+    kept = {x.doc_id for x in quality_rules.verdicts(docs, labelled).where("kept").collect()}
+    assert kept >= {*good, *few}
+
+
+def test_without_bad_labels_the_strictest_allowed_level_is_tested(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30)), "en") for i in range(400)], "doc_id long, text string, lang string")
+    labelled = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    on = sides(spark, [x.text for x in docs.collect()])
+    found = [tuple(x)[:4] for x in quality_rules.certified_levels(docs, labelled).collect()]
+    assert found == [("=en", quality_rules.LEVELS - 1, sum(not x for x in on.values()), 0)]
+    assert quality_rules.keep_good(docs, labelled).count() == 400
 
 
 def test_quality_very_long_text_and_empty_tables(spark):
@@ -209,15 +242,21 @@ def test_certified_cutoffs_keep_the_promise(spark):
     cut = {(x.stratum, x.rule): x for x in quality_rules.certified_cutoffs(docs, labelled).collect()}
     assert cut[("=en", "symbols")].cutoff < 2 and cut[("null", "symbols")].cutoff < 2
     levels = {x.stratum: x for x in quality_rules.certified_levels(docs, labelled).collect()}
+    on = sides(spark, [t for _, t, _ in texts])
     for name, lang in (("=en", "en"), ("null", None)):
-        good = [rule_ratios(t) for (_, t, k), (_, q, _) in zip(texts, labels, strict=True) if k == lang and q and not base_fails(t)]
+        mine = [(on[t], q, rule_ratios(t)) for (_, t, k), (_, q, _) in zip(texts, labels, strict=True) if k == lang and not base_fails(t)]
+        gone = lambda choosing, q, j: sum(any(x[r] > grid[j] for r, grid in quality_rules.GRIDS.items()) for c, g, x in mine if (c, g) == (choosing, q))  # noqa: E731, B023
+        size = lambda choosing, q: sum((c, g) == (choosing, q) for c, g, _ in mine)  # noqa: E731, B023
+        allowed = [j for j in range(quality_rules.LEVELS) if gone(True, 1, j) <= 0.05 * size(True, 1)]
+        chosen = max(allowed, key=lambda j: (gone(True, 0, j), -j if gone(True, 0, max(allowed)) else j))
         taken = []
-        for j in range(quality_rules.LEVELS):
-            k = sum(any(x[r] > grid[j] for r, grid in quality_rules.GRIDS.items()) for x in good)
-            if binomial_tail(k, len(good), 0.05) > 0.05 / 2:
+        for j in range(chosen + 1):
+            if binomial_tail(gone(False, 1, j), size(False, 1), 0.05) > 0.05 / 2:
                 break
-            taken.append((j, len(good), k))
-        assert tuple(levels[name])[1:4] == taken[-1]
+            taken.append((j, size(False, 1), gone(False, 1, j)))
+        x = levels[name]
+        assert tuple(x)[1:4] == taken[-1] and x.p_value == pytest.approx(binomial_tail(x.n_rejected, x.n_good, 0.05), rel=1e-8)
+        assert (x.n_bad, x.n_bad_rejected) == (size(False, 0), gone(False, 0, x.level))
     found = {x.doc_id: x.kept for x in quality_rules.verdicts(docs, labelled).collect()}
     assert sum(not found[i] for i, good, _ in labels if good) <= 0.05 * 4500
     assert sum(not found[i] for i, good, _ in labels if not good) > 0.8 * 1500
