@@ -107,7 +107,8 @@ def stash_ledger(moves: DataFrame, keys: list[str], order: list[str], heavy: int
     if n <= heavy:
         return _scanned(moves, signed, keys, order)
     least = max(heavy, n // MOST_HEAVY)
-    cuts = F.expr(f"percentile_approx(CAST({order[0]} AS DOUBLE), array({', '.join(str(i / SEGMENTS) for i in range(1, SEGMENTS))}), 1000)")
+    # of the column's own type, which may be a number, a date or a time with or without zone
+    cuts = F.percentile_approx(order[0], [i / SEGMENTS for i in range(1, SEGMENTS)], 1000)
     some = moves.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least).drop("__n")
     # at most MOST_HEAVY rows, as each stands for more than a MOST_HEAVYth of all
     some = F.broadcast(some.select(*[F.col(k).alias(f"__{k}") for k in keys]))
@@ -117,7 +118,7 @@ def stash_ledger(moves: DataFrame, keys: list[str], order: list[str], heavy: int
     light = _scanned(moves.join(some, same, "left_anti"), signed, keys, order)
     big = moves.join(some, same, "left_semi")
     bounds = big.groupBy(*keys).agg(cuts.alias("__cuts")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__cuts")
-    rows = big.join(F.broadcast(bounds), same).withColumn("__seg", F.size(F.filter("__cuts", lambda x: x < F.col(order[0]).cast("double"))))
+    rows = big.join(F.broadcast(bounds), same).withColumn("__seg", F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(order[0]))), F.lit(0)))
     rows = rows.drop("__cuts", *[f"__{k}" for k in keys])
     return light.unionByName(_in_segments(rows, signed, keys, order).select(*light.columns))
 

@@ -40,6 +40,21 @@ def test_timestamps_as_order(spark):
     assert {r.move_id: r.balance for r in got.collect()} == one_by_one(rows)
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date", "double", "decimal(20,3)"])
+def test_order_columns_of_other_types(spark, kind):
+    rows = moves(10, 800)
+    own = {"timestamp_ntz": F.timestamp_seconds("ts").cast(kind), "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("ts").cast("int"))}
+    df = spark.createDataFrame(rows, MOVES).withColumn("ts", own.get(kind, F.col("ts").cast(kind)))
+    got = stash.stash_ledger(df, ["user_id"], ["ts", "move_id"], 100)
+    assert {r.move_id: r.balance for r in got.collect()} == one_by_one(rows)
+
+
+def test_heavy_key_without_times(spark):
+    rows = [(1, None, i, i % 3 > 0, 2) for i in range(50)]
+    got = stash.stash_ledger(spark.createDataFrame(rows, MOVES), ["user_id"], ["ts", "move_id"], 10)
+    assert {r.move_id: r.balance for r in got.collect()} == one_by_one([(1, 0, *x[2:]) for x in rows])
+
+
 def test_a_heavy_key_is_spread_over_tasks(spark):
     """No task sees more than a few hundredths of the key that has half of the rows."""
     n = 40_000
