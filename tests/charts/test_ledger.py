@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from skeinframe.operators import stash
+from skeinframe.streaming import marks
 
 MOVES = "user_id long, ts long, move_id long, is_purchase boolean, quantity long"
 
@@ -69,5 +70,18 @@ def test_a_heavy_key_is_spread_over_tasks(spark):
     assert got.where("user_id = 1").count() == n / 2 + 1
 
 
+def test_batches_of_heavy_keys_without_zone(spark, monkeypatch):
+    monkeypatch.setattr(stash.stash_ledger, "__defaults__", (100,))
+    rows = moves(12, 900)
+    df = spark.createDataFrame(rows, MOVES).withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+    half = F.col("ts") < F.timestamp_seconds(F.lit(250)).cast("timestamp_ntz")
+    got = marks.stash_batch(marks.stash_batch(None, df.where(half), ["user_id"]), df.where(~half), ["user_id"])
+    after, last = one_by_one(rows), {}
+    for user, t, i, *_ in rows:
+        last[user] = max(last.get(user, (-1, -1)), (t, i))
+    want = {user: after[i] for user, (_, i) in last.items() if user is not None}  # a null user's first balance is no start
+    assert {r.user_id: r.balance for r in got.collect() if r.user_id is not None} == want
+
+
 def test_no_moves(spark):
     assert stash.stash_ledger(spark.createDataFrame([], MOVES), ["user_id"], ["ts", "move_id"]).count() == 0
