@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinframe.functions.color import rgb_to_lab, with_ciede2000
 from skeinframe.functions.text import stash_key
+from skeinframe.operators import labindex
 
 
 def index_stash(stash: DataFrame) -> DataFrame:
@@ -44,19 +45,32 @@ def suggest_from_stash(needs: DataFrame, stash: DataFrame, threads: DataFrame, m
     """For needs (user_id, brand, code): the owned thread to use instead, if any.
 
     Exactly the thread itself (quantity above 0): difference 0. Else the closest owned shade of any brand within max_de,
-    ties in stash order (key). Needs without a known colour give no row. Pairs of shades are compared once, not for each
-    user: distinct (needed, owned) keys, then joined back.
+    ties in stash order (key). Needs without a known colour give no row. Pairs of colours are compared once, not for each
+    user or thread; a user's needs meet their stash by equal keys, then by colour, of which the first owned key stands.
     """
-    shades = threads.select(stash_key(F.col("brand"), F.col("code")).alias("key"), rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).dropDuplicates(["key"])
+    rgb = ["r", "g", "b"]
+    shades = threads.select(stash_key(F.col("brand"), F.col("code")).alias("key"), *rgb).dropDuplicates(["key"])
     own = index_stash(stash).where("quantity > 0").groupBy("user_id", "key").agg(F.sum("quantity").alias("quantity"))
-    want = needs.withColumn("need_key", stash_key(F.col("brand"), F.col("code")))
-    pairs = want.join(own.withColumnRenamed("key", "own_key"), "user_id").select("need_key", "own_key").distinct()
-    pairs = pairs.join(shades.select(F.col("key").alias("need_key"), F.col("lab").alias("need_lab")), "need_key").join(shades.select(F.col("key").alias("own_key"), F.col("lab").alias("own_lab")), "own_key", "left")
-    same = F.col("need_key") == F.col("own_key")
-    close = with_ciede2000(pairs, "need_lab", "own_lab").select("need_key", "own_key", F.when(same, 0.0).otherwise(F.col("de")).alias("de")).where(F.col("de") <= max_de)
-    found = want.join(own.withColumnRenamed("key", "own_key"), "user_id").join(close, ["need_key", "own_key"])
-    best = found.groupBy("user_id", "need_key").agg(F.min(F.struct((F.col("need_key") != F.col("own_key")).alias("other"), "de", "own_key", "quantity")).alias("b"))
-    return best.select("user_id", F.col("need_key").alias("key"), F.col("b.own_key").alias("suggested_key"), F.col("b.de").alias("de"), (~F.col("b.other")).alias("exact"), F.col("b.quantity").alias("quantity"))
+    want = needs.select("user_id", stash_key(F.col("brand"), F.col("code")).alias("key")).distinct().join(shades, "key")
+    rows = want.join(own, ["user_id", "key"], "left")
+    exact = rows.where("quantity IS NOT NULL").select("user_id", "key", F.col("key").alias("suggested_key"), F.lit(0.0).alias("de"), F.lit(True).alias("exact"), "quantity").where(F.col("de") <= max_de)
+    other = rows.where("quantity IS NULL").drop("quantity")
+    owned = own.join(shades, "key").groupBy("user_id", *rgb).agg(F.min(F.struct("key", "quantity")).alias("first"))
+    wanted = other.select("user_id", *rgb).distinct()
+    close = close_colours(want.select(*rgb), threads.select(*rgb), max_de)
+    found = wanted.join(close, rgb).join(owned.withColumnsRenamed({c: f"{c}2" for c in rgb}), ["user_id", *[f"{c}2" for c in rgb]])
+    best = found.groupBy("user_id", *rgb).agg(F.min(F.struct("de", "first")).alias("best"))
+    near = other.join(best, ["user_id", *rgb])
+    return exact.unionByName(near.select("user_id", "key", F.col("best.first.key").alias("suggested_key"), "best.de", F.lit(False).alias("exact"), F.col("best.first.quantity").alias("quantity")))
+
+
+def close_colours(left: DataFrame, right: DataFrame, max_de: float) -> DataFrame:
+    """(r, g, b, r2, g2, b2, de): distinct colours of left and right within max_de."""
+    rgb, known = ["r", "g", "b"], "r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"
+    a, b = (x.where(known).distinct().withColumn("lab", rgb_to_lab(*map(F.col, rgb))) for x in (left, right))
+    b = b.withColumnsRenamed({c: f"{c}2" for c in rgb} | {"lab": "right_lab"})
+    pairs = labindex.near(a, b, [], "lab", *labindex.ciede_reach(F.lit(max_de), F.col("lab")))
+    return with_ciede2000(pairs, "lab", "right_lab").where(F.col("de") <= max_de).drop("lab", "right_lab")
 
 
 def stash_box(stash: DataFrame, threads: DataFrame) -> DataFrame:
