@@ -1,18 +1,22 @@
 """From pixels to thread charts: clusters, votes and palette steps.
 
-Counting, joining and voting over pixels is Spark's; what is greedy over the few dozen colours of one image runs as one
-numpy call for each image.
+Counting, joining and voting over pixels is Spark's; what is greedy over the few dozen colours of one image runs in numpy, in
+a call for each image or, where millions of small images are usual, for many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions import labmath
 from skeinframe.functions.color import is_plain_white, lab_chroma, lab_dist_sq, lab_hue, rgb_to_lab, with_ciede2000
+from skeinframe.operators.groups import FIRST, firsts, flags, in_groups, ranges, whole_groups
 from skeinframe.operators.quality import cell_of, in_windows
 from skeinframe.operators.regions import label_regions
 
@@ -175,32 +179,63 @@ def cull_tiny(palette: DataFrame, usage: DataFrame, floor: int | None = None, pr
     return rows.select("chart_id", F.col("pal_idx").cast("int").alias("pal_idx"), "r", "g", "b", "n").groupBy("chart_id").applyInPandas(cull, "chart_id long, pal_idx int, survivor int")
 
 
-def _median_cut(rgb: np.ndarray, target: int) -> list[np.ndarray]:
-    boxes = [rgb] if len(rgb) else []
-    while len(boxes) < target:
-        spread = [(np.ptp(b, axis=0).max() * len(b) if len(b) > 1 else 0) for b in boxes]
-        i = int(np.argmax(spread)) if spread else 0
-        if not spread or spread[i] <= 0:
+def _spread(rgb: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The range of each channel in boxes of the given sizes, end to end."""
+    at = np.cumsum(size) - size
+    return np.maximum.reduceat(rgb, at) - np.minimum.reduceat(rgb, at) if len(size) else np.zeros((0, 3), rgb.dtype)
+
+
+def _median_cuts(rgb: np.ndarray, image: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Median cuts of many images at once, into target[image] boxes each: (order, box's image, start, size).
+
+    image rises. A box is order[start : start + size]; an image's boxes stand in the order in which they were made. Each round
+    cuts one box of each image that needs more: that with the widest channel times its pixels.
+    """
+    order, start = np.arange(len(rgb)), firsts(image)
+    of, size = image[start], np.diff(np.r_[start, len(rgb)])
+    spread = _spread(rgb, size)
+    for made in range(1, int(target.max())):
+        weight = np.where(size > 1, spread.max(axis=1) * size, 0)
+        best = np.lexsort((np.arange(len(of)), -weight, of))
+        best = best[firsts(of[best])]
+        best = best[(weight[best] > 0) & (target[of[best]] > made)]
+        if not len(best):
             break
-        box = boxes.pop(i)
-        box = box[np.argsort(box[:, int(np.ptp(box, axis=0).argmax())], kind="stable")]
-        boxes += [box[: len(box) // 2], box[len(box) // 2 :]]
-    return boxes
-
-
-def _representative(box: np.ndarray, fusion: float = 12.0, near: float = 6.0) -> np.ndarray:
-    """The mean of a tight box; of a wide one the mean of its largest greedy group, so that the colour is a real one."""
-    mean = np.floor(box.mean(axis=0) + 0.5)
-    lab = labmath.rgb_to_lab(box[:: max(1, len(box) // 64)])
-    if len(box) < 4 or labmath.ciede2000(labmath.rgb_to_lab(mean), lab).max() <= fusion:
-        return mean
-    rest, best = box[:: max(1, len(box) // 512)].astype(float), None
-    while len(rest):
-        close = labmath.ciede2000(labmath.rgb_to_lab(rest[0]), labmath.rgb_to_lab(rest)) <= near
-        if best is None or close.sum() > len(best):
-            best = rest[close]
-        rest = rest[~close]
-    return np.floor(best.mean(axis=0) + 0.5)
+        rows, box = ranges(start[best], size[best]), np.repeat(np.arange(len(best)), size[best])
+        own = order[rows]
+        order[rows] = own[np.lexsort((rgb[own, spread[best].argmax(axis=1)[box]], box))]
+        low = size[best] // 2
+        starts, sizes = np.r_[start[best], start[best] + low], np.r_[low, size[best] - low]
+        left = np.ones(len(of), bool)
+        left[best] = False
+        spread = np.vstack([spread[left], _spread(rgb[order[ranges(starts, sizes)]], sizes)])
+        of, start, size = np.r_[of[left], of[best], of[best]], np.r_[start[left], starts], np.r_[size[left], sizes]
+    return order, of, start, size
+
+
+def _representatives(rgb: np.ndarray, size: np.ndarray, fusion: float = 12.0, near: float = 6.0) -> np.ndarray:
+    """Colours of boxes that stand end to end: the mean of a tight box; of a wide one the mean of its largest greedy group, so
+    that the colour is a real one."""
+    start, box = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(rgb)) - start[box]
+    colour = np.floor(np.add.reduceat(rgb, start) / size[:, None] + 0.5)
+    some = at % np.maximum(1, size // 64)[box] == 0
+    apart = labmath.ciede2000(labmath.rgb_to_lab(colour)[box[some]], labmath.rgb_to_lab(rgb[some]))
+    wide = (size >= 4) & ~(np.maximum.reduceat(apart, firsts(box[some])) <= fusion)
+    some = wide[box] & (at % np.maximum(1, size // 512)[box] == 0)
+    rest, of, best = rgb[some], box[some], np.zeros(len(size), np.int64)
+    lab = labmath.rgb_to_lab(rest)
+    while len(of):
+        head = firsts(of)
+        close = labmath.ciede2000(np.repeat(lab[head], np.diff(np.r_[head, len(of)]), axis=0), lab) <= near
+        n, total = np.add.reduceat(close.astype(np.int64), head), np.add.reduceat(rest * close[:, None], head)
+        larger = n > best[of[head]]
+        colour[of[head][larger]] = np.floor(total[larger] / n[larger, None] + 0.5)
+        best[of[head][larger]] = n[larger]
+        left = np.bincount(of[~close], minlength=len(size))
+        on = ~close & (left > best)[of]  # what is left of a box can't be larger than its best group
+        rest, of, lab = rest[on], of[on], lab[on]
+    return colour
 
 
 def derive_clusters(pixels: DataFrame, target: int, sample: int = 24_000, skip_white: int | None = None, flat: str | None = None) -> DataFrame:
@@ -210,36 +245,71 @@ def derive_clusters(pixels: DataFrame, target: int, sample: int = 24_000, skip_w
     itself. flat: a boolean column; only its pixels count where they are 200 and 5 % of the sample at least. Vivid: chroma
     at or over the image's 80th percentile and 20, for at most a third of the target. Neutral: of bands of 18 L with
     chroma up to 6, 20 pixels and 0.15 %, the darkest and the largest other one. An image of skipped white only has one
-    white cluster.
+    white cluster. Small images are worked on many at once.
     """
-    n = F.count("*").over(Window.partitionBy("image_id"))
+    every = Window.partitionBy("image_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count("*").over(every)
     rows = pixels.withColumn("stride", F.greatest(F.lit(1), F.ceil(n / sample))).where(F.col("idx") % F.col("stride") == 0)
-    white = F.lit(False) if skip_white is None else is_plain_white(F.col("r"), F.col("g"), F.col("b"), skip_white)
+    white = F.lit(False) if skip_white is None else F.coalesce(is_plain_white(F.col("r"), F.col("g"), F.col("b"), skip_white), F.lit(False))
     rows = rows.withColumns({"skipped": white, "plain": F.lit(True) if flat is None else F.coalesce(F.col(flat), F.lit(False))})
 
-    def neutral_bands(lab: np.ndarray, free: np.ndarray) -> list[np.ndarray]:
-        """Masks of the darkest and the largest other band of neutral tones."""
-        band = np.where(free & (np.hypot(lab[:, 1], lab[:, 2]) <= 6), np.floor(lab[:, 0] / 18), -1)
-        viable = [m for b in np.unique(band[band >= 0]) if (m := band == b).sum() >= max(20, 0.0015 * len(lab))]
-        return viable[:1] + sorted(viable[1:], key=lambda m: -m.sum())[:1] if len(lab) >= 50 else []
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        own = pdf[~pdf.skipped]
-        chosen = own[own.plain] if own.plain.sum() >= max(200, 0.05 * len(own)) else own
-        rgb = chosen[["r", "g", "b"]].to_numpy(np.int64) if len(chosen) else np.array([[255, 255, 255]])
-        lab = labmath.rgb_to_lab(rgb)
-        chroma = np.hypot(lab[:, 1], lab[:, 2])
-        vivid = (chroma >= np.sort(chroma)[min(len(chroma) - 1, int(0.8 * len(chroma)))]) & (chroma >= 20)
-        bucket = (np.degrees(np.arctan2(lab[:, 2], lab[:, 1])) % 360 // 60).astype(int)
-        groups = [(vivid & (bucket == h)) for h in range(6)]
-        groups = [g for g in groups if g.sum() >= max(4, 0.002 * len(rgb))][: max(1, target // 3)]
-        groups += neutral_bands(lab, ~np.any(groups, axis=0) if groups else np.ones(len(rgb), bool))
-        rest = ~np.any(groups, axis=0) if groups else np.ones(len(rgb), bool)
-        out = [(rgb[g], True) for g in groups] + [(b, False) for b in _median_cut(rgb[rest], max(1, target - len(groups)))]
-        return pd.DataFrame([(pdf.image_id.iloc[0], i, *map(int, _representative(b)), len(b), p) for i, (b, p) in enumerate(out)], columns=["image_id", "cluster_id", "r", "g", "b", "population", "protected"])
-
-    return rows.select("image_id", "idx", "r", "g", "b", "skipped", "plain").groupBy("image_id").applyInPandas(cut, CLUSTER)
+    def grouped(lab: np.ndarray, image: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of each pixel's reserved group in its image or -1, groups of each image)."""
+        images, chroma = len(size), np.hypot(lab[:, 1], lab[:, 2])
+        level = chroma[np.lexsort((chroma, image))][np.cumsum(size) - size + np.minimum(size - 1, (0.8 * size).astype(np.int64))]
+        vivid = (chroma >= level[image]) & (chroma >= 20)
+        bucket = (np.degrees(np.arctan2(lab[:, 2], lab[:, 1])) % 360 // 60).astype(np.int64)
+        kept = np.bincount((image * 7 + bucket)[vivid], minlength=images * 7).reshape(-1, 7) >= np.maximum(4, 0.002 * size)[:, None]
+        kept[:, 6] = False  # 360 degrees, by rounding
+        kept &= np.cumsum(kept, axis=1) <= max(1, target // 3)
+        group = np.where(vivid & kept[image, bucket], (np.cumsum(kept, axis=1) - 1)[image, bucket], -1)
+        groups = kept.sum(axis=1)
+        # the darkest and the largest other band of neutral tones
+        band = np.where((group < 0) & (chroma <= 6), np.floor(lab[:, 0] / 18), -1).astype(np.int64)
+        bands = max(0, int(band.max())) + 1
+        size_of = np.bincount((image * bands + band)[band >= 0], minlength=images * bands).reshape(-1, bands)
+        viable = (size_of >= np.maximum(20, 0.0015 * size)[:, None]) & (size >= 50)[:, None]
+        darkest = viable.argmax(axis=1)
+        others = np.where(viable & (np.arange(bands) != darkest[:, None]), size_of, 0)
+        for chosen, has in ((darkest, viable.any(axis=1)), (others.argmax(axis=1), others.any(axis=1))):
+            group = np.where((band >= 0) & has[image] & (band == chosen[image]), groups[image], group)
+            groups = groups + has
+        return group, groups
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            first, skipped, plain = (flags(table[c]) for c in (FIRST, "skipped", "plain"))
+            rgb, image = np.stack([table[c].to_numpy() for c in ("r", "g", "b")], axis=1).astype(np.int64), np.cumsum(first) - 1
+            images = int(image[-1]) + 1
+            enough = np.bincount(image[~skipped & plain], minlength=images) >= np.maximum(200, 0.05 * np.bincount(image[~skipped], minlength=images))
+            own = ~skipped & (plain | ~enough[image])
+            bare = np.setdiff1d(np.arange(images), image[own])
+            rgb, image = np.vstack([rgb[own], np.full((len(bare), 3), 255)]), np.r_[image[own], bare]
+            if len(bare):
+                by = np.argsort(image, kind="stable")
+                rgb, image = rgb[by], image[by]
+            group, groups = grouped(labmath.rgb_to_lab(rgb), image, np.bincount(image, minlength=images))
+            reserved, rest = np.flatnonzero(group >= 0), np.flatnonzero(group < 0)
+            reserved = reserved[np.lexsort((group[reserved], image[reserved]))]
+            at = firsts(image[reserved] * (int(groups.max()) + 1) + group[reserved])
+            order, of, start, size = _median_cuts(rgb[rest], image[rest], np.maximum(1, target - groups))
+            by = np.argsort(of, kind="stable")
+            of, start, size = of[by], start[by], size[by]
+            place = groups[of] + np.arange(len(of)) - np.repeat(firsts(of), np.diff(np.r_[firsts(of), len(of)]))
+            boxes = np.r_[reserved, rest[order[ranges(start, size)]]]
+            sizes = np.r_[np.diff(np.r_[at, len(reserved)]), size].astype(np.int64)
+            colour = _representatives(rgb[boxes], sizes)
+            ids = table["image_id"].take(pa.array(np.flatnonzero(first)[np.r_[image[reserved[at]], of]]))
+            yield _cluster_rows(ids, np.r_[group[reserved[at]], place], colour, sizes, np.arange(len(sizes)) < len(at))
+
+    rows = rows.select(F.col("image_id").cast("long").alias("image_id"), "idx", "r", "g", "b", "skipped", "plain")
+    return in_groups(rows, ["image_id"], ["idx"]).mapInArrow(cut, CLUSTER)
+
+
+def _cluster_rows(ids: pa.ChunkedArray, place: np.ndarray, colour: np.ndarray, population: np.ndarray, protected: np.ndarray) -> pa.RecordBatch:
+    """A batch of CLUSTER."""
+    columns = [ids.combine_chunks(), pa.array(place, pa.int32()), *[pa.array(colour[:, k].astype(np.int32)) for k in range(3)], pa.array(population, pa.int64()), pa.array(protected, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["image_id", "cluster_id", "r", "g", "b", "population", "protected"])
 
 
 def merge_clusters(clusters: DataFrame, threshold: float, ceiling: int, patches: DataFrame | None = None) -> DataFrame:
