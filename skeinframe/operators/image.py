@@ -317,44 +317,87 @@ def merge_clusters(clusters: DataFrame, threshold: float, ceiling: int, patches:
 
     A pair with populations over 8 to 1, or with patches of 8 cells or more on both sides, only merges within a quarter of
     the threshold. Down to the ceiling the pair with the least d (1 + log2 ratio) goes. Of colours over 12 apart in
-    CIEDE2000 the larger keeps its colour. patches (image_id, cluster_id, largest).
+    CIEDE2000 the larger keeps its colour. patches (image_id, cluster_id, largest). Small images are merged many at once.
     """
     rows = clusters.join(patches.select("image_id", "cluster_id", "largest"), ["image_id", "cluster_id"], "left") if patches is not None else clusters.withColumn("largest", F.lit(0).cast("long"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = [[np.array([x.r, x.g, x.b], float), int(x.population), bool(x.protected), 0 if pd.isna(x.largest) else int(x.largest)] for x in pdf.sort_values("cluster_id").itertuples()]
-
-        def best(cost) -> tuple[int, int] | None:
-            lab = labmath.rgb_to_lab(np.array([h[0] for h in have]))
-            d = ((lab[:, None] - lab[None]) ** 2).sum(axis=2)
-            found = [(c, i, j) for i in range(len(have)) for j in range(i + 1, len(have)) if (c := cost(d[i, j], have[i], have[j])) is not None]
-            return min(found)[1:] if found else None
-
-        def join(i: int, j: int) -> None:
-            b, a = have.pop(j), have.pop(i)
-            wa, wb = max(1, a[1]), max(1, b[1])
-            apart = labmath.ciede2000(*labmath.rgb_to_lab(np.array([a[0], b[0]])))
-            colour = (a if wa >= wb else b)[0] if apart > 12 else np.floor((a[0] * wa + b[0] * wb) / (wa + wb) + 0.5)
-            have.append([colour, a[1] + b[1], a[2] or b[2], max(a[3], b[3])])
-
-        ratio = lambda a, b: max(a[1], b[1]) / max(1, min(a[1], b[1]))
-
-        def close(d, a, b):
-            if d >= threshold:
-                return None
-            return d if d <= threshold / 4 or (ratio(a, b) <= 8 and min(a[3], b[3]) < 8) else None
-
-        while len(have) > 1 and (pair := best(close)):
-            join(*pair)
-        while len(have) > max(1, ceiling):
-            forced = sum(not h[2] for h in have) <= ceiling
-            score = lambda d, a, b, forced=forced: d * (1 + np.log2(min(ratio(a, b), 64))) if forced or not (a[2] or b[2]) else None
-            if not (pair := best(score)):
-                break
-            join(*pair)
-        return pd.DataFrame([(pdf.image_id.iloc[0], i, *map(int, h[0]), h[1], h[2]) for i, h in enumerate(have)], columns=["image_id", "cluster_id", "r", "g", "b", "population", "protected"])
-
-    return rows.groupBy("image_id").applyInPandas(merge, CLUSTER)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 20_000):
+            at = np.flatnonzero(flags(table[FIRST]))
+            size = np.diff(np.r_[at, table.num_rows])
+            # images of as many clusters together, so that their pairs take PAIRS numbers at most
+            for k in np.unique(size):
+                same, most = at[size == k], max(1, PAIRS // int(2 * k) ** 2)
+                for i in range(0, len(same), most):
+                    rows = same[i : i + most, None] + np.arange(k)
+                    rgb = np.stack([table[c].to_numpy() for c in ("r", "g", "b")], axis=1)[rows].astype(float)
+                    population, largest, protected = (table[c].to_numpy()[rows] for c in ("population", "largest", "protected"))
+                    image, place, *merged = _merged(rgb, population, protected, largest, threshold, ceiling)
+                    yield _cluster_rows(table["image_id"].take(pa.array(same[i : i + most][image])), place, *merged)
+
+    rows = rows.select(F.col("image_id").cast("long").alias("image_id"), "cluster_id", "r", "g", "b", F.col("population").cast("long").alias("population"), F.coalesce("protected", F.lit(False)).alias("protected"), F.coalesce(F.col("largest").cast("long"), F.lit(0)).alias("largest"))
+    return in_groups(rows, ["image_id"], ["cluster_id"]).mapInArrow(merge, CLUSTER)
+
+
+#: Numbers in the table of all pairs of clusters that images which are merged together may take.
+PAIRS = 1 << 21
+
+
+def _merged(rgb: np.ndarray, population: np.ndarray, protected: np.ndarray, largest: np.ndarray, threshold: float, ceiling: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, place, colour, population, protected) of what merge_clusters leaves of images of k clusters each.
+
+    Arrays (images, k). A merged cluster comes after all others of its image, so a merge only adds a place; each round merges
+    the best pair of every image that has one.
+    """
+    images, k = population.shape
+    grown = lambda x: np.concatenate([x, np.zeros((images, k - 1, *x.shape[2:]), x.dtype)], axis=1)
+    rgb, population, protected, largest, here = grown(rgb), grown(population), grown(protected), grown(largest), grown(np.ones((images, k), bool))
+    lab, end = labmath.rgb_to_lab(rgb), np.full(images, k)
+
+    def costs(i: np.ndarray, a: tuple, b: tuple, down: bool) -> np.ndarray:
+        """Of merging clusters at a with those at b, in images i; inf: they don't merge. down: to the ceiling."""
+        d = ((lab[i, a] - lab[i, b]) ** 2).sum(axis=-1)
+        ratio = np.maximum(population[i, a], population[i, b]) / np.maximum(1, np.minimum(population[i, a], population[i, b]))
+        if down:
+            # two clusters without population have a ratio of 0 and go first
+            cost = np.where(ratio < 1, -np.inf, d * (1 + np.log2(np.clip(ratio, 1, 64))))
+        else:
+            cost = np.where((d < threshold) & ((d <= threshold / 4) | ((ratio <= 8) & (np.minimum(largest[i, a], largest[i, b]) < 8))), d, np.inf)
+        return np.where(here[i, a] & here[i, b] & (a < b), cost, np.inf)
+
+    def merge_all(down: bool) -> None:
+        places = np.arange(2 * k - 1)
+        table = costs(np.arange(images)[:, None, None], places[:, None], places[None], down)
+        on = np.arange(images)
+        while len(on):
+            cost = table[on]
+            if down:
+                forced = (here[on] & ~protected[on]).sum(axis=1) <= ceiling
+                cost = np.where(forced[:, None, None] | ~(protected[on][:, :, None] | protected[on][:, None]), cost, np.inf)
+                cost = np.where((here[on].sum(axis=1) > max(1, ceiling))[:, None, None], cost, np.inf)
+            best = cost.reshape(len(on), -1).argmin(axis=1)
+            has = cost.reshape(len(on), -1)[np.arange(len(on)), best] < np.inf
+            on, best = on[has], best[has]
+            i, j, new = best // (2 * k - 1), best % (2 * k - 1), end[on]
+            wi, wj = np.maximum(1, population[on, i])[:, None], np.maximum(1, population[on, j])[:, None]
+            apart = labmath.ciede2000(lab[on, i], lab[on, j])[:, None]
+            mixed = np.floor((rgb[on, i] * wi + rgb[on, j] * wj) / (wi + wj) + 0.5)
+            rgb[on, new] = np.where(apart > 12, np.where(wi >= wj, rgb[on, i], rgb[on, j]), mixed)
+            lab[on, new] = labmath.rgb_to_lab(rgb[on, new])
+            population[on, new], protected[on, new] = population[on, i] + population[on, j], protected[on, i] | protected[on, j]
+            largest[on, new], here[on, new] = np.maximum(largest[on, i], largest[on, j]), True
+            for gone in (i, j):
+                here[on, gone] = False
+                table[on, gone] = np.inf
+                table[on, :, gone] = np.inf
+            table[on, :, new] = costs(on[:, None], places[None], new[:, None], down)
+            end[on] += 1
+
+    if k > 1:
+        merge_all(False)
+        merge_all(True)
+    image, at = np.nonzero(here)
+    return image, (np.cumsum(here, axis=1) - 1)[image, at], rgb[image, at], population[image, at], protected[image, at]
 
 
 def natural_colour_count(pixels: DataFrame, distance: int = 40, sample: int = 40_000, most: int = 300, flat: str | None = None) -> DataFrame:
