@@ -99,8 +99,8 @@ def consume_stash(stash: DataFrame, used: DataFrame, now: str) -> DataFrame:
 
 #: Keys with more moves than this are scanned in segments, but at most so many keys.
 HEAVY, MOST_HEAVY = 1_000_000, 1000
-#: Segments of a heavy key.
-SEGMENTS = 64
+#: Segments of a heavy key; segments of all moves where only the last balances are asked for.
+SEGMENTS, MOST_SEGMENTS = 64, 1000
 
 
 def stash_ledger(moves: DataFrame, keys: list[str], order: list[str], heavy: int | None = HEAVY) -> DataFrame:
@@ -137,6 +137,49 @@ def stash_ledger(moves: DataFrame, keys: list[str], order: list[str], heavy: int
     return light.unionByName(_in_segments(rows, signed, keys, order).select(*light.columns))
 
 
+def stash_balances(moves: DataFrame, keys: list[str], order: list[str], balances: DataFrame | None = None, heavy: int = HEAVY) -> DataFrame:
+    """(keys, balance, order) after the last move of each key: what stash_ledger has in its last row, without the other rows.
+
+    balances, of the same form, are where the keys start; moves that are not after a key's last one by order don't count. The
+    end of a key follows from (sum, smallest running sum) of its segments, here ranges of the first order column that hold
+    about `heavy` moves of all keys together (at most MOST_SEGMENTS), so that no task scans more of one key. What is counted
+    at once is the given moves alone; balances are not worked out before the result is.
+    """
+    n = moves.count()
+    by = [*keys, "__seg"] if n > heavy else keys
+    rows = moves
+    if n > heavy:
+        segments = min(MOST_SEGMENTS, -(-n // heavy))
+        cuts = F.percentile_approx(order[0], [i / segments for i in range(1, segments)], 10_000)
+        rows = rows.join(F.broadcast(moves.agg(cuts.alias("__cuts"))))
+        rows = rows.withColumn("__seg", F.greatest(F.lit(0), F.size(F.filter("__cuts", lambda x: x < F.col(order[0]))))).drop("__cuts")
+    if balances is not None:
+        last = balances.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*order).alias("__last"))
+        rows = rows.join(last, same_keys(keys), "left").where(F.col("__last").isNull() | (F.struct(*order) > F.col("__last")))
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    signed = F.when(F.col("is_purchase"), F.col("quantity")).otherwise(-F.col("quantity"))
+    rows = rows.select(*by, *order, signed.alias("signed")).withColumn("running", F.sum("signed").over(upto))
+    ends = rows.groupBy(*by).agg(F.sum("signed").alias("sum"), F.min("running").alias("floor"), F.max(F.struct(*order)).alias("last"))
+    if by is keys and balances is None:
+        total = ends
+    else:
+        ends = ends if "__seg" in by else ends.withColumn("__seg", F.lit(0))
+        if balances is not None:
+            ends = ends.unionByName(balances.select(*keys, F.lit(-1).alias("__seg"), F.col("balance").alias("sum"), F.col("balance").alias("floor"), F.struct(*order).alias("last")))
+        before = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("floor", F.col("floor") + F.coalesce(F.sum("sum").over(before), F.lit(0)))
+        total = ends.groupBy(*keys).agg(F.sum("sum").alias("sum"), F.min("floor").alias("floor"), F.max("last").alias("last"))
+    return total.select(*keys, (F.col("sum") - F.least(F.lit(0), F.col("floor"))).alias("balance"), *[f"last.{c}" for c in order])
+
+
+def same_keys(keys: list[str]) -> Column:
+    """That each key equals the column of its name with __ in front; null equals null."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return same
+
+
 def _scanned(moves: DataFrame, signed: Column, keys: list[str], order: list[str]) -> DataFrame:
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = moves.withColumn("running", F.sum(signed).over(upto))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinframe.operators.stash import stash_ledger
+from skeinframe.operators.stash import HEAVY, same_keys, stash_balances
 
 
 def expand_marks(marks: DataFrame, dims: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -56,22 +56,16 @@ def without_repeats(marks: DataFrame, late: str = "10 seconds") -> DataFrame:
     return marks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["mark_id"]) if marks.isStreaming else marks.dropDuplicates(["mark_id"])
 
 
-def stash_batch(balances: DataFrame | None, moves: DataFrame, keys: list[str]) -> DataFrame:
+def stash_batch(balances: DataFrame | None, moves: DataFrame, keys: list[str], heavy: int = HEAVY) -> DataFrame:
     """(keys, balance, ts, move_id) after a batch of moves (keys, ts, move_id, is_purchase, quantity), on top of earlier ones.
 
     The clamp at 0 makes order matter: moves that are not after a key's last one by (ts, move_id) are left to late_moves.
     Batches must therefore follow each other in time; ledger.stream_ledger takes disorder within a watermark.
     """
-    if balances is not None:
-        last = balances.select(*keys, F.struct("ts", "move_id").alias("last"))
-        moves = moves.join(last, keys, "left").where(F.col("last").isNull() | (F.struct("ts", "move_id") > F.col("last"))).drop("last")
-        first = balances.select(*keys, "ts", "move_id", F.lit(True).alias("is_purchase"), F.col("balance").alias("quantity"))
-        moves = first.unionByName(moves.select(*first.columns))
-    ledger = stash_ledger(moves, keys, ["ts", "move_id"])
-    return ledger.groupBy(*keys).agg(F.max(F.struct("ts", "move_id", "balance")).alias("m")).select(*keys, "m.balance", "m.ts", "m.move_id")
+    return stash_balances(moves, keys, ["ts", "move_id"], balances, heavy)
 
 
 def late_moves(balances: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, late): how many moves of each key are not after its last one, which stash_batch leaves out."""
-    last = balances.select(*keys, F.struct("ts", "move_id").alias("last"))
-    return moves.join(last, keys).where(F.struct("ts", "move_id") <= F.col("last")).groupBy(*keys).agg(F.count("*").alias("late"))
+    last = balances.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct("ts", "move_id").alias("__last"))
+    return moves.join(last, same_keys(keys)).where(F.struct("ts", "move_id") <= F.col("__last")).groupBy(*keys).agg(F.count("*").alias("late"))

@@ -85,3 +85,35 @@ def test_batches_of_heavy_keys_without_zone(spark, monkeypatch):
 
 def test_no_moves(spark):
     assert stash.stash_ledger(spark.createDataFrame([], MOVES), ["user_id"], ["ts", "move_id"]).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [10**6, 200, 30, 1])
+def test_batches_are_the_ledger_of_all_moves(spark, heavy):
+    """Three batches, each cut into ranges of time; keys with no moves in a batch keep their balance, null is a key."""
+    rows = moves(14, 900)
+    df = spark.createDataFrame(rows, MOVES).withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    balances = None
+    for part in (at < 150, (at >= 150) & (at < 160), at >= 160):
+        balances = marks.stash_batch(balances, df.where(part), ["user_id"], heavy)
+    after, last = one_by_one(rows), {}
+    for user, t, i, *_ in rows:
+        last[user] = max(last.get(user, (-1, -1)), (t, i))
+    assert balances.columns == ["user_id", "balance", "ts", "move_id"]
+    assert {r.user_id: (r.balance, r.move_id) for r in balances.collect()} == {u: (after[i], i) for u, (_, i) in last.items()}
+
+
+@pytest.mark.parametrize("heavy", [10**6, 2])
+def test_late_moves_without_a_key(spark, heavy):
+    first = marks.stash_batch(None, spark.createDataFrame([(None, 5, 1, True, 3), (None, 6, 2, False, 1)], MOVES), ["user_id"], heavy)
+    more = spark.createDataFrame([(None, 4, 3, False, 9), (None, 6, 2, True, 9), (None, 7, 5, True, 2), (1, 1, 6, True, 4)], MOVES)
+    assert {(r.user_id, r.balance) for r in marks.stash_batch(first, more, ["user_id"], heavy).collect()} == {(None, 4), (1, 4)}
+    assert {(r.user_id, r.late) for r in marks.late_moves(first, more, ["user_id"]).collect()} == {(None, 2)}
+
+
+def test_plans_of_batches_stay_small(spark):
+    """A batch on top of another reads the earlier moves twice with their cuts, for what is late and for where keys start."""
+    df = spark.createDataFrame(moves(15, 900), MOVES)
+    got = marks.stash_batch(marks.stash_batch(None, df.where("ts < 250"), ["user_id"], 100), df.where("ts >= 250"), ["user_id"], 100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 6
